@@ -44,15 +44,18 @@ def classify(source: DataFrame, options: PackOptions, ignore_files: DataFrame |
 
     path, is_file, is_dir, kind = (F.col(c) for c in ("rel_path", "is_file", "is_dir", "kind"))
     entries = entries.where(path != "")
+    rule_table = None
     if options.respect_ignore_files and (ignore_files is not None or "content" in source.columns):
         found = rules.ignore_files(entries) if ignore_files is None else ignore_files
-        programs = rules.programs(rules.rules(rules.ignore_lines(found)))
-        verdicts = durable(rules.directory_verdicts(dirs, programs))
-        dirs = dirs.join(verdicts.where("pruned").select("project_id", "dir"),
-                         ["project_id", "dir"], "left_anti")
+        # as large as the ignore files alone; looked for once
+        rule_table = durable(rules.rules(rules.ignore_lines(found)))
+    if rule_table is not None and not rule_table.isEmpty():
+        verdicts = durable(rules.directory_verdicts(dirs, rules.programs(rule_table)))
+        dirs = durable(dirs.join(verdicts.where("pruned").select("project_id", "dir"),
+                                 ["project_id", "dir"], "left_anti"))
         entries = rules.with_verdict(entries, verdicts)
     else:
-        entries = entries.withColumn("rule_pruned", F.lit(False)).withColumn("rule_ignored", F.lit(False))
+        entries = entries.withColumns({"rule_pruned": F.lit(False), "rule_ignored": F.lit(False)})
 
     if "dir_id" in source.columns:
         entries, dirs = _drop_repeats(entries, dirs, outline)

@@ -4,21 +4,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from packmill.operators.durable import durable
 
+# A table is broadcast whole only if it was measured to be no larger than this.
+BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_ROWS = 200_000
 # Any key beyond the heaviest HOT_KEYS owns less than 1/HOT_KEYS of all rows.
 HOT_KEYS = 256
 
 
+def _is_small(table: DataFrame) -> bool:
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in table.dtypes if kind == "string"]
+    size = sum(texts[1:], texts[0]).cast("long") if texts else F.lit(0)
+    found = table.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return found[0] <= BROADCAST_ROWS and found[1] <= BROADCAST_BYTES
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, weight: str) -> DataFrame:
     """`rows` with the columns of `table`, NULL where no key matches.
 
-    `weight` names the table's column with the number of rows per key.  The entries of
-    the heaviest keys, at most HOT_KEYS of them, are broadcast; rows that found theirs
-    get a join key of their own, made from `spread`, a column that differs from row to
-    row.  All keys left are light, so the shuffled join is balanced.  The table is
-    needed twice and therefore materialised; the rows are read once.
+    The table is materialised and measured.  A small one is broadcast.  Otherwise only
+    the entries of the heaviest keys are, at most HOT_KEYS of them; `weight` names the
+    table's column with the number of rows per key.  Rows that found theirs get a join
+    key of their own, made from `spread`, a column that differs from row to row, and all
+    keys left are light, so the shuffled join is balanced.  The rows are read once.
     """
+    table = durable(table)
+    if _is_small(table):
+        return rows.join(F.broadcast(table.drop(weight)), keys, "left")
     values = [c for c in table.columns if c not in keys and c != weight]
-    entries = durable(table.select(*keys, weight, F.struct(*values).alias("_entry")))
+    entries = table.select(*keys, weight, F.struct(*values).alias("_entry"))
     heavy = F.broadcast(entries.orderBy(F.desc(weight)).limit(HOT_KEYS).select(
         *keys, F.col("_entry").alias("_hot")))
 
