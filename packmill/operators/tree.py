@@ -46,8 +46,7 @@ def file_nodes(files: DataFrame) -> DataFrame:
 def link_nodes(classified: Classified) -> DataFrame:
     """Links that are shown but lead to no packed file: directories, the outside, nothing."""
     links = classified.entries.where(
-        (F.col("kind") == "link") & ~F.col("is_file")
-        & (F.col("ignore_reason").isNull() | (F.col("ignore_reason") == "outside_root")))
+        (F.col("kind") == "link") & F.coalesce(F.col("ignore_reason") == "outside_root", ~F.col("is_file")))
     path = F.col("rel_path")
     links = links.select("project_id", "rel_path", "parent", "link_target", "is_dir", "ignore_reason",
                          "resolved_rel_path", order_key(path, F.lit(False)).alias("sort_key"))

@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from packmill.constants import REASON_PERMISSION
 from packmill.functions.paths import base_name
@@ -56,7 +57,8 @@ def read_contents(rows: DataFrame, root: str, layout: str = "project") -> DataFr
             if found:
                 yield flush(batch.num_rows)
 
-    schema = rows.schema.add("content", "binary").add("read_error", "string")
+    schema = StructType([*rows.schema.fields, StructField("content", BinaryType()),
+                         StructField("read_error", StringType())])
     return rows.mapInArrow(read, schema)
 
 
