@@ -309,7 +309,7 @@ def tree_with_skips(spark, sf_dir):
 
 
 def _linked(spark, sf_dir):
-    return durable(links.resolve_links(durable(corpora.linked_manifest(spark, sf_dir))))
+    return links.resolve_links(durable(corpora.linked_manifest(spark, sf_dir)))
 
 
 @query

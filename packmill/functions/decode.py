@@ -74,7 +74,7 @@ def encoding(content: Column) -> Column:
     """Codec the text was read with, NULL when there is none."""
     plain = (F.when(_is_utf8(content), "utf-8")
              .when(F.contains(content, _hex("98")), "latin-1").otherwise("cp1251"))
-    return F.when(skip_reason(content).isNull(), F.coalesce(bom(content), plain))
+    return F.when(content.isNotNull() & skip_reason(content).isNull(), F.coalesce(bom(content), plain))
 
 
 def text(content: Column, enc: Column) -> Column:

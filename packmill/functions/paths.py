@@ -28,12 +28,15 @@ def depth(path: Column) -> Column:
 
 def ancestors(path: Column, own: bool = False) -> Column:
     """Directories above the path, the root ('') first; with `own` the path too."""
-    p = parts(path)
-    last = F.size(p) if own else F.size(p) - 1
-    chain = F.transform(
-        F.sequence(F.lit(0), last), lambda n: F.array_join(F.slice(p, 1, n), "/"))
-    return F.when(path == "", F.array(F.lit("")) if own else F.expr("array()").cast("array<string>")
-                  ).otherwise(chain)
+    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    chain = F.transform(F.sequence(F.lit(0), slashes + int(own)),
+                        lambda n: F.call_function("substring_index", path, F.lit("/"), n))
+    root = F.array(F.lit("")) if own else F.array().cast("array<string>")
+    return F.when(path == "", root).otherwise(chain)
+
+
+def _piece(flag: Column, name: Column) -> Column:
+    return F.concat(flag, F.lower(name), F.lit("\0"), name, F.lit("\0"))
 
 
 def order_key(path: Column, is_dir: Column) -> Column:
@@ -45,9 +48,8 @@ def order_key(path: Column, is_dir: Column) -> Column:
     no NUL, a shorter name sorts before its extensions and a directory before
     its contents.  The root's key is ''.
     """
-    p = parts(path)
-    end = F.size(p) - 1
-    leaf = F.when(is_dir, F.lit("0")).otherwise(F.lit("1"))
-    pieces = F.transform(p, lambda x, i: F.concat(
-        F.when(i == end, leaf).otherwise(F.lit("0")), F.lower(x), F.lit("\0"), x, F.lit("\0")))
-    return F.when(path == "", F.lit("")).otherwise(F.array_join(pieces, ""))
+    folder = parent(path)
+    above = F.when(folder == "", "").otherwise(F.array_join(
+        F.transform(parts(folder), lambda name: _piece(F.lit("0"), name)), ""))
+    leaf = _piece(F.when(is_dir, "0").otherwise("1"), base_name(path))
+    return F.when(path == "", "").otherwise(F.concat(above, leaf))

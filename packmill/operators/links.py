@@ -68,8 +68,8 @@ def resolve_links(manifest: DataFrame) -> DataFrame:
                        F.lit("dir").alias("kind")))
     kinds = things.groupBy("project_id", "at").agg(
         F.min("kind").alias("target_kind"))  # 'dir' before 'file'
-    found = done.join(kinds, ["project_id", "at"], "left").select(
-        "project_id", "rel_path", F.col("at").alias("resolved_rel_path"), "target_kind")
+    found = durable(done.join(kinds, ["project_id", "at"], "left").select(
+        "project_id", "rel_path", F.col("at").alias("resolved_rel_path"), "target_kind"))
     plain = base.where(F.col("kind") != "link").withColumn(
         "resolved_rel_path", path).withColumn("target_kind", F.lit(None).cast("string"))
     linked = base.where(F.col("kind") == "link").join(found, ["project_id", "rel_path"], "left")

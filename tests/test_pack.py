@@ -200,23 +200,26 @@ def test_deep_nesting(spark):
 
 # ---- exact tokens
 
-def byte_pair_encoder():
-    """Small vocabulary with the usual way of cutting a text into pieces."""
-    import tiktoken
-    ranks = {bytes([b]): b for b in range(256)}
-    for pair in (b"\n\n", b"==", b"====", b"--", b"---", b" ---", b"``", b"```", b"```\n", b" ---\n", b" ---\n\n",
-                 b"```\n\n", b"\n\n\n", b"in", b"th", b"  ", b"    ", b"===\n", b"=\n", b"=\n\n", b")\n", b")\n\n"):
-        ranks[pair] = len(ranks)
-    pattern = (r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|"""
-               r"""\s*[\r\n]|\s+(?!\S)|\s""")
-    return tiktoken.Encoding("small", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|end|>": len(ranks)})
+def small_encoder():
+    """Loader of a small vocabulary with the usual way of cutting a text into pieces; a
+    function in a function, so that it travels to the Python workers by value."""
+    def byte_pair_encoder():
+        import tiktoken
+        ranks = {bytes([b]): b for b in range(256)}
+        for pair in (b"\n\n", b"==", b"====", b"--", b"---", b" ---", b"``", b"```", b"```\n", b" ---\n", b" ---\n\n",
+                     b"```\n\n", b"\n\n\n", b"in", b"th", b"  ", b"    ", b"===\n", b"=\n", b"=\n\n", b")\n", b")\n\n"):
+            ranks[pair] = len(ranks)
+        pattern = (r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|"""
+                   r"""\s*[\r\n]|\s+(?!\S)|\s""")
+        return tiktoken.Encoding("small", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|end|>": len(ranks)})
+    return byte_pair_encoder
 
 
 @pytest.mark.parametrize("fmt", ["text", "markdown"])
 @pytest.mark.parametrize("tree", [True, False])
 def test_exact_tokens_add_up(files, document, monkeypatch, fmt, tree):
     """The sum over the parts is the count of the whole draft."""
-    encoder = byte_pair_encoder
+    encoder = small_encoder()
     monkeypatch.setattr(exact, "count_tokens", tx.exact_token_counter(encoder))
     monkeypatch.setattr(pack_module.exact, "count_tokens", exact.count_tokens)
     content = {**SAMPLE, "z (1)/x).py": "a\n\n  \n", "q.md": "````\n```", "empty.txt": "", "n.txt": "\n\n", "w ": " x "}
@@ -229,7 +232,7 @@ def test_exact_tokens_add_up(files, document, monkeypatch, fmt, tree):
 
 
 def test_special_token_falls_back(files, document, monkeypatch):
-    monkeypatch.setattr(exact, "count_tokens", tx.exact_token_counter(byte_pair_encoder))
+    monkeypatch.setattr(exact, "count_tokens", tx.exact_token_counter(small_encoder()))
     _, report = document(pack_table(files({"a.txt": "x <|end|> y"}), options(token_counting="exact")))
     assert report.token_method == "heuristic (~4 chars/token)" and report.estimated_tokens > 0
 
