@@ -7,8 +7,8 @@ number of projects compile on the executors, without a Python worker.
 from pyspark.sql import Column, DataFrame, functions as F
 
 # what Python calls white space and what it takes for the end of a line
-SPACE = r"[\s\x1c-\x1f\x85   -     　]"
-LINE_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])"
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LINE_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
 # one unit of a glob: escaped character, character class, run of stars, any other character
 TOKEN = r"(?s)(\\.|\[[!^]?\]?[^\]]*\]|\*+|.)"
 

@@ -13,8 +13,9 @@ def check_format(fmt: str) -> str:
 
 
 def language(path: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(F.element_at(known, suffix(path)), F.lit(""))
+    known = F.str_to_map(F.lit(",".join(f"{ext}:{tag}" for ext, tag in LANGUAGES.items())),
+                         F.lit(","), F.lit(":"))
+    return F.coalesce(F.try_element_at(known, suffix(path)), F.lit(""))
 
 
 def longest_ticks(text: Column) -> Column:

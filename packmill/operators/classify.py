@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from packmill.functions.paths import ancestors
 from packmill.functions.patterns import excluded
@@ -44,11 +44,14 @@ def classify(source: DataFrame, options: PackOptions, ignore_files: DataFrame |
 
     path, is_file, is_dir, kind = (F.col(c) for c in ("rel_path", "is_file", "is_dir", "kind"))
     entries = entries.where(path != "")
+    if not options.respect_ignore_files:
+        ignore_files = None
+    elif ignore_files is None and "content" in source.columns and rules.has_ignore_files(entries):
+        ignore_files = rules.ignore_files(entries)
     rule_table = None
-    if options.respect_ignore_files and (ignore_files is not None or "content" in source.columns):
-        found = rules.ignore_files(entries) if ignore_files is None else ignore_files
+    if ignore_files is not None:
         # as large as the ignore files alone; looked for once
-        rule_table = durable(rules.rules(rules.ignore_lines(found)))
+        rule_table = durable(rules.rules(rules.ignore_lines(ignore_files)))
     if rule_table is not None and not rule_table.isEmpty():
         verdicts = durable(rules.directory_verdicts(dirs, rules.programs(rule_table)))
         dirs = durable(dirs.join(verdicts.where("pruned").select("project_id", "dir"),
@@ -87,6 +90,14 @@ def classify(source: DataFrame, options: PackOptions, ignore_files: DataFrame |
         dirs)
 
 
+def by_path_alone(options: PackOptions) -> Column:
+    """Whether a row's own path keeps it.  `classify` says the same and more; as a filter of
+    its own this needs no join, so Spark drops most ignored rows, contents and all, before."""
+    path, is_file = F.col("rel_path"), F.col("is_file")
+    return (filters.builtin_reason(path, is_file, F.col("resolved_rel_path")).isNull()
+            & ~excluded(path, F.col("is_dir"), options.exclude_patterns))
+
+
 def _drop_repeats(entries: DataFrame, dirs: DataFrame, outline: DataFrame):
     """Marks what lies in a directory whose identity was met before."""
     ids = outline.where((F.col("kind") == "dir") & F.col("dir_id").isNotNull()).select(

@@ -5,7 +5,7 @@ from pyspark.sql import Column, functions as F
 from packmill.constants import (
     ALLOWED_HIDDEN_FILES, IGNORED_EXTENSIONS, IGNORED_FILE_NAMES, IGNORED_NAMES, LEFTOVER_NAME,
     TOOL_IGNORE_FILE, VCS_IGNORE_FILE)
-from packmill.functions.paths import base_name, suffix
+from packmill.functions.paths import base_name
 from packmill.functions.patterns import quote
 from packmill.functions.text import human_bytes
 
@@ -20,6 +20,8 @@ def _any_of(names) -> str:
 
 _NAMES = rf"(?:^|/)(?:{_any_of(IGNORED_NAMES)})/"
 _HIDDEN = rf"(?:^|/)(?!(?:{_any_of(ALLOWED_HIDDEN_FILES)})(?:/|\z))\."
+# the last extension, whose dot is not the first character of the name
+_BINARY = rf"(?s)^.+(?:{_any_of(IGNORED_EXTENSIONS)})\z"
 
 
 def ignored_name(path: Column, is_file: Column) -> Column:
@@ -50,7 +52,7 @@ def builtin_reason(path: Column, is_file: Column, resolved: Column | None = None
     return (F.when(ignored_name(where, is_file), "ignored_name")
             .when(egg_info(where), "egg_info")
             .when(hidden(where), "hidden")
-            .when(is_file & suffix(path).isin(*IGNORED_EXTENSIONS), "binary_extension")
+            .when(is_file & F.lower(base_name(path)).rlike(_BINARY), "binary_extension")
             .when(is_file & F.lower(base_name(path)).isin(*junk), "junk_name"))
 
 

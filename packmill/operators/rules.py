@@ -16,6 +16,13 @@ def ignore_files(entries: DataFrame) -> DataFrame:
         "project_id", parent(path).alias("dir"), base_name(path).alias("name"), "content")
 
 
+def has_ignore_files(entries: DataFrame) -> bool:
+    """Whether there are any; reads paths only, so that a corpus without ignore files is
+    spared a pass over its contents."""
+    return not entries.where(is_ignore_file(F.col("rel_path"), F.col("is_file"))).select(
+        "rel_path").isEmpty()
+
+
 def ignore_lines(files: DataFrame) -> DataFrame:
     """Their lines; a byte order mark is dropped and malformed UTF-8 replaced."""
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"^\x{FEFF}", "")

@@ -8,7 +8,7 @@ from packmill.constants import METHOD_EXACT, METHOD_HEURISTIC, METHOD_OFF
 from packmill.functions import decode, render, text as tx
 from packmill.functions.paths import order_key
 from packmill.operators import tree
-from packmill.operators.classify import classify
+from packmill.operators.classify import by_path_alone, classify
 from packmill.operators.durable import durable
 from packmill.operators.filters import size_reason
 from packmill.options import PackOptions
@@ -55,7 +55,8 @@ class Pack:
     @cached_property
     def files(self) -> DataFrame:
         """Files to pack: text or skip_reason, encoding, transcoded."""
-        kept = self.entries.where("is_file and ignore_reason is null").withColumn(
+        kept = self.entries.where("is_file and ignore_reason is null").where(
+            by_path_alone(self.options)).withColumn(
             "too_big", size_reason(F.col("size_bytes"), self.options.max_file_size))
         if self.root is None:
             kept = kept.withColumn("content", F.when(F.col("too_big").isNull(), F.col("content")))

@@ -2,6 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from packmill.constants import TOOL_IGNORE_FILE
 from packmill import PackOptions, pack_table
 from packmill.operators import inventory, lookup as lookup_module, rules
 
@@ -106,8 +107,8 @@ CASES = [
     {("", ".gitignore"): "a[-]b\nÄ*\n"}, {("src", ".gitignore"): "*.log\n"}, {("src", ".gitignore"): "/deep\n/\n!\n"},
     {("src", ".gitignore"): "**/a.log\n!a.log\n"}, {("docs", ".gitignore"): "deep/\n!deep/er\n"},
     {("", ".gitignore"): "*.log\n", ("src", ".gitignore"): "!a.log\n"},
-    {("", ".gitignore"): "*.log\n", ("", ".pyaiignore"): "!keep.log\n"},
-    {("", ".gitignore"): "!keep.log\n", ("", ".pyaiignore"): "*.log\n"},
+    {("", ".gitignore"): "*.log\n", ("", TOOL_IGNORE_FILE): "!keep.log\n"},
+    {("", ".gitignore"): "!keep.log\n", ("", TOOL_IGNORE_FILE): "*.log\n"},
     {("", ".gitignore"): "  *.log  \r\n\r\n# c\r\n!keep.log\r\n"}, {("", ".gitignore"): "**/**/foo\n"},
     {("", ".gitignore"): "foo/**/**/bar\n"}, {("", ".gitignore"): "a.log\n!a.log\nsrc/a.log\n!*.log\n*.md\n!docs/a.md\n"}]
 
@@ -160,7 +161,7 @@ def test_directory_name_with_special_characters_is_literal(spark):
 
 def test_rule_order(spark):
     lines = spark.createDataFrame(
-        [("p", d, n, i, f"{d}{n}{i}") for d in ("", "b", "a", "a/c") for n in (".pyaiignore", ".gitignore")
+        [("p", d, n, i, f"{d}{n}{i}") for d in ("", "b", "a", "a/c") for n in (TOOL_IGNORE_FILE, ".gitignore")
          for i in (1, 2)], "project_id string, dir string, name string, line_no int, line string")
     got = [(r.rule_order.dir, r.rule_order.is_tool, r.rule_order.line_no)
            for r in rules.rules(lines).orderBy("rule_order").collect()]
