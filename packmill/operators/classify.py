@@ -69,8 +69,10 @@ def classify(source: DataFrame, options: PackOptions, ignore_files: DataFrame |
     parent = F.col("parent")
     outside = (kind == "link") & F.col("resolved_rel_path").isNull()
     # what holds for the directories above holds for an entry, wherever a link leads
+    with_links = [F.when(kind == "link", filters.builtin_reason(parent, F.lit(False)))
+                  ] if "link_target" in source.columns else []
     inherited = F.coalesce(
-        F.when(F.col("kind") == "link", filters.builtin_reason(parent, F.lit(False))),
+        *with_links,
         F.when(F.col("below_repeat"), "repeated_directory"),
         F.when(excluded(parent, F.lit(True), options.exclude_patterns), "user_glob"),
         F.when(F.col("rule_pruned"), "ignore_file"))

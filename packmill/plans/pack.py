@@ -20,11 +20,18 @@ from packmill.sources.listing import read_listing
 HEADER, TREE_OPENING, TREE, TREE_CLOSING, FILES_OPENING, BLOCK = range(6)
 
 
-def _measures(row: Column) -> Column:
-    """Lines, characters and bytes a row adds to the document, its newline included."""
-    return F.struct((tx.newlines(row) + 1).alias("lines"),
-                    (F.length(row).cast("long") + 1).alias("chars"),
-                    (F.octet_length(row).cast("long") + 1).alias("bytes"))
+# what a row of text adds to the document, the newline after it included
+_MEASURES = {
+    "lines": r"octet_length({0}) - octet_length(replace({0}, '\n', '')) + 1",
+    "chars": "length({0}) + 1",
+    "bytes": "octet_length({0}) + 1",
+}
+
+
+def _adds(name: str) -> Column:
+    """struct<lines, chars, bytes> of a text column."""
+    return F.struct(*[F.expr(f"CAST({sql.format(name)} AS BIGINT)").alias(measure)
+                      for measure, sql in _MEASURES.items()])
 
 
 class Pack:
@@ -91,14 +98,13 @@ class Pack:
         document.  Kept in the checkpoint folder, since tree and statistics both need it
         and the contents are read but once for them."""
         block = render.file_block(F.col("rel_path"), F.col("text"), self._format)
-        rows = self.files.withColumn("block", block)
-        measures = _measures(F.concat(F.lit("\n"), F.col("block")))
-        tokens = (exact.block_tokens(F.col("block"), F.col("text"), self._format)
+        rows = self.files.withColumn("row", F.concat(F.lit("\n"), block))
+        tokens = (exact.block_tokens(F.expr("substr(row, 2)"), F.col("text"), self._format)
                   if self.options.token_counting == "exact" else F.lit(None))
         return durable(rows.select(
             "project_id", "rel_path", "kind", "link_target", "skip_reason", "encoding", "transcoded",
             "sort_key", tx.line_count(F.col("text")).alias("source_lines"),
-            measures.alias("adds"), tokens.alias("tokens")))
+            _adds("row").alias("adds"), tokens.alias("tokens")))
 
     @cached_property
     def projects(self) -> DataFrame:
@@ -123,22 +129,20 @@ class Pack:
     def stats(self) -> DataFrame:
         """One row per project with everything the header and the report tell."""
         options, fmt = self.options, self._format
-        skipped, packed = F.col("skip_reason").isNotNull(), F.col("skip_reason").isNull()
+        packed = "skip_reason IS NULL"
 
-        def total(column, condition=None):
-            value = F.col(column) if condition is None else F.when(condition, F.col(column))
-            return F.coalesce(F.sum(value), F.lit(0).cast("long"))
+        def total(column, condition="true"):
+            return F.expr(f"coalesce(sum({column}) FILTER (WHERE {condition}), 0L)")
 
         # sums, so a project of any size is added up before it is brought together
         sums = self.facts.groupBy("project_id").agg(
-            F.count_if(packed).alias("packed"), F.count_if(skipped).alias("skipped"),
+            F.expr(f"count_if({packed})").alias("packed"), F.expr(f"count_if(NOT ({packed}))").alias("skipped"),
             total("source_lines", packed).alias("source_lines"),
             *[total(f"adds.{m}", packed).alias(f"block_{m}") for m in ("lines", "chars", "bytes")],
-            *(exact.sum_blocks(packed) if options.token_counting == "exact" else []))
+            *(exact.sum_blocks(F.expr(packed)) if options.token_counting == "exact" else []))
         rows = self.projects.join(sums, "project_id", "left")
         if options.include_tree:
-            measures = _measures(F.col("line"))
-            lines = self.tree.withColumn("adds", measures).groupBy("project_id").agg(
+            lines = self.tree.withColumn("adds", _adds("line")).groupBy("project_id").agg(
                 *[total(f"adds.{m}").alias(f"tree_{m}") for m in ("lines", "chars", "bytes")],
                 F.max(render.longest_ticks(F.col("line"))).alias("ticks"),
                 *(exact.sum_tree() if options.token_counting == "exact" else []))
@@ -170,10 +174,8 @@ class Pack:
         rows = rows.withColumn("draft", header(F.lit(0), F.lit(0), F.lit("")))
 
         def whole(measure, names):
-            value = F.col(f"block_{measure}") + F.col(f"tree_{measure}")
-            for name in names:
-                value = value + _measures(F.col(name))[measure]
-            return value
+            terms = [f"block_{measure}", f"tree_{measure}", *(_MEASURES[measure].format(n) for n in names)]
+            return F.expr(" + ".join(terms))
 
         rows = rows.withColumn("total_lines", whole("lines", fixed))
         heuristic = tx.heuristic_tokens(whole("chars", fixed))
