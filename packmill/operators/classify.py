@@ -121,4 +121,4 @@ def _drop_repeats(entries: DataFrame, dirs: DataFrame, outline: DataFrame):
     dirs = dirs.join(inside.drop("entries"), ["project_id", "dir"], "left").where(
         ~F.coalesce("below", F.lit(False))).select(
         "project_id", "dir", "entries", F.coalesce("repeated", F.lit(False)).alias("repeated"))
-    return entries, dirs
+    return entries, durable(dirs)

@@ -10,6 +10,7 @@ from packmill.constants import (
     BAR, BLANK, BRANCH, LAST_BRANCH, NOTE_DIR_LINK, NOTE_OUTSIDE, NOTE_REPEATED, UNREADABLE_LINK)
 from packmill.functions.paths import ancestors, base_name, depth, order_key, parent
 from packmill.operators.classify import Classified
+from packmill.operators.durable import durable
 from packmill.operators.lookup import lookup
 
 # after a directory's line and before any child of it, whose key goes on with 0 or 1
@@ -63,8 +64,9 @@ def link_nodes(classified: Classified) -> DataFrame:
     note = (F.when(F.col("ignore_reason") == "outside_root", NOTE_OUTSIDE)
             .when(F.col("is_dir") & (F.col("visited") < F.col("sort_key")), NOTE_REPEATED)
             .when(F.col("is_dir"), NOTE_DIR_LINK))
-    return met.select(*_node(path, F.lit(False), F.concat(
-        base_name(path), link_suffix(F.lit("link"), F.col("link_target")), _bracketed(note))))
+    # few, and needed wherever the nodes are
+    return durable(met.select(*_node(path, F.lit(False), F.concat(
+        base_name(path), link_suffix(F.lit("link"), F.col("link_target")), _bracketed(note)))))
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
