@@ -1,10 +1,12 @@
 """Registered queries of the subpackage and their SQL twins."""
 
 from packmill.llm.decontaminate import OP9_SQL, op9_wu_manber
+from packmill.llm.language import op1_crf
 from packmill.llm.licenses import OP2_SQL, op2_prefix_filter
 from packmill.llm.mixing import op4_entropy_balancing
 
 QUERIES = {
+    "op1_crf": op1_crf,
     "op2_prefix_filter": op2_prefix_filter,
     "op4_entropy_balancing": op4_entropy_balancing,
     "op9_wu_manber": op9_wu_manber,
