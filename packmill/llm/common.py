@@ -10,9 +10,6 @@ from packmill.session import ship_package
 # A-Z is lower-cased, everything in ASCII but letters and digits separates words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
                     for b in range(256))
-# A-Z is lower-cased, only white space separates tokens.
-_TOKEN_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,7 +20,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 def tokens_of(text: bytes | None) -> list[bytes]:
     """Runs between ASCII white space, A-Z lower-cased.  Other control bytes belong to tokens."""
-    return [t for t in text.translate(_TOKEN_BYTES).split(b" ") if t] if text else []
+    return text.lower().split() if text else []
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

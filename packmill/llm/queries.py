@@ -4,15 +4,20 @@ from packmill.llm.decontaminate import OP9_SQL, op9_wu_manber
 from packmill.llm.language import op1_crf
 from packmill.llm.licenses import OP2_SQL, op2_prefix_filter
 from packmill.llm.mixing import op4_entropy_balancing
+from packmill.llm.partenum import OP10_SQL, op10_partenum
+from packmill.llm.sharding import op3_hilbert
 
 QUERIES = {
     "op1_crf": op1_crf,
     "op2_prefix_filter": op2_prefix_filter,
+    "op3_hilbert": op3_hilbert,
     "op4_entropy_balancing": op4_entropy_balancing,
     "op9_wu_manber": op9_wu_manber,
+    "op10_partenum": op10_partenum,
 }
 
 ORACLES = {
     "op2_prefix_filter": OP2_SQL,
     "op9_wu_manber": OP9_SQL,
+    "op10_partenum": OP10_SQL,
 }
