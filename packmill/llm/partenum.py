@@ -237,7 +237,8 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     and texts without tokens have no shingles and link with nothing: their component is
     their own id.  component_id is the smallest non-null id of the documents reachable by
     links; a null id takes part and gets null only if no id is reachable.  Repeated rows and
-    ids are rows of one component like other copies.
+    ids are rows of one component like other copies.  keep marks one row of each component,
+    one of the smallest id, and all rows without shingles.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -247,8 +248,8 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     rows = scratch.table(map_batches(rows, _signed(width), signed).withColumn("rid", F.monotonically_increasing_id()))
     own = ["fp1", "fp2", "n"]
 
-    classes = scratch.table(rows.where("n > 0").groupBy(*own).agg(
-        F.min("rid").alias("rid"), F.min("id").alias("least"), F.count("*").alias("copies")))
+    least = F.min(F.struct(F.col("id").isNull().alias("without"), "id", F.col("rid").alias("at")))
+    classes = scratch.table(rows.where("n > 0").groupBy(*own).agg(F.min("rid").alias("rid"), least.alias("least")))
     first = rows.select("rid", "th", "n", "sketch", "signs").join(classes.select("rid"), "rid", "left_semi")
     signs = first.select("rid", F.explode("signs").alias("sign"))
     often = signs.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign")
@@ -265,11 +266,12 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     state.decide(state.across())
 
     roots = classes.join(state.roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.table(roots.join(least, "root").select(*own, "component_id"))
-    return rows.select("row", "id", *own).join(named, own, "left").select(
+    least = roots.groupBy("root").agg(F.min("least").alias("first"))
+    named = scratch.table(roots.drop("least").join(least, "root").select(*own, "first"))
+    return rows.select("row", "id", "rid", *own).join(named, own, "left").select(
         "row", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+        ((F.col("n") == 0) | (F.col("rid") == F.col("first.at"))).alias("keep"))
 
 
 def op10_partenum(spark, sf_dir: str) -> DataFrame:

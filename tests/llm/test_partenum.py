@@ -83,7 +83,9 @@ def test_sets_close_enough_share_a_signature(size, seed, swap):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_all_pairs(docs, seed):
     rows = family(seed)
-    got = {r.row.doc_id: (r.n_shingles, r.component_id) for r in join_shingles(docs(rows)).collect()}
+    found = join_shingles(docs(rows)).collect()
+    got = {r.row.doc_id: (r.n_shingles, r.component_id) for r in found}
+    assert all(r.keep == (r.row.doc_id == r.component_id) for r in found)
     assert got == {r[0]: e for r, e in zip(rows, brute(rows), strict=True)}
     assert 1 < len({c for _, c in got.values()}) < len(rows)
 
@@ -92,7 +94,9 @@ def test_odd_rows(docs):
     rows = [(5, None), (4, ""), (4, " \t"), (3, "one"), (2, "ONE"), (None, "One"), (None, "alone here"), (8, "x y"),
             (9, "long words " * 30_000), (7, "long words " * 20_000), (1, "É a b"), (0, "é a b"), (6, "a\x00b c\x0bd")]
     rows += [(20, "one two three four five six seven eight nine ten eleven twelve thirteen")] * 50
-    got = [(r.row.doc_id, r.n_shingles, r.component_id) for r in join_shingles(docs(rows)).collect()]
+    found = join_shingles(docs(rows)).collect()
+    assert sum(r.keep for r in found if r.row.doc_id == 20) == 1 and all(r.keep for r in found if not r.n_shingles)
+    got = [(r.row.doc_id, r.n_shingles, r.component_id) for r in found]
     assert sorted(got, key=repr) == sorted([(r[0], *e) for r, e in zip(rows, brute(rows), strict=True)], key=repr)
     assert join_shingles(docs([])).count() == 0
 
