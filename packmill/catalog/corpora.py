@@ -81,19 +81,24 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without text, for the operators on paths."""
     return documents(spark, sf_dir).drop("text")
 
-
+# Letters of the texts, and letters of Windows-1251 that stand for them in its files
+ACCENTED = "éèêçñóíäöüßÄÖÜÉÈÊÇ"
+CYRILLIC = "абвгдежзийклмнопрс"
 
 
 def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as bytes in many encodings, some broken: adds `content`."""
-    # characters outside printable ASCII are replaced where the bytes are not UTF-8
-    raw = F.regexp_replace("text", r"[^ -~\n]", "?").cast("binary")
-    plain = F.col("text").cast("binary")
+    """Documents as bytes in many encodings, some broken, the text in all: adds `content`.
 
+    It is a plain expression above the paths, so a filter on paths comes before it."""
     def hx(digits):
         return F.unhex(F.lit(digits))
 
-    kind = F.col("byte_kind")
+    text, kind = F.col("text"), F.col("byte_kind")
+    plain = text.cast("binary")
+    # what the single-byte encodings lack becomes a question mark
+    cyrillic = F.translate(F.regexp_replace(text, rf"[^ -~\n{ACCENTED}]", "?"), ACCENTED,
+                           CYRILLIC.encode("cp1251").decode("latin-1"))
+    latin = F.regexp_replace(text, r"[^\x00-\xFF]", "?")
     rule = F.lit(None).cast("string")
     for name, lines in RULE_LINES.items():
         end = RULE_BREAK.get(name, "\n")
@@ -101,16 +106,16 @@ def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule = F.when(F.col("rule_kind") == name, F.lit(body)).otherwise(rule)
     content = (F.when(F.col("rule_kind").isNotNull(), rule.cast("binary"))
                .when(kind == 0, F.concat(hx("EFBBBF"), plain))
-               .when(kind == 1, F.concat(hx("00"), raw))
-               .when(kind == 2, F.concat(raw, hx("CF")))
-               .when(kind == 3, F.concat(raw, hx("98")))
-               .when(kind == 4, F.concat(F.repeat(F.lit("x"), F.lit(9000)).cast("binary"), hx("00")))
-               .when(kind == 5, F.concat(hx("FFFE"), F.encode("text", "UTF-16LE")))
-               .when(kind == 6, F.concat(hx("0000FEFF"), F.encode("text", "UTF-32")))
-               .when(kind == 7, hx("FFFE41"))
-               .when(kind == 8, F.lit("").cast("binary"))
+               .when(kind == 1, F.concat(hx("00"), plain))
+               .when(kind == 2, F.concat(F.encode(cyrillic, "ISO-8859-1"), hx("CF")))
+               .when(kind == 3, F.concat(F.encode(latin, "ISO-8859-1"), hx("98")))
+               .when(kind == 4, F.concat(F.repeat(F.lit("x"), F.lit(9000)).cast("binary"), hx("00"), plain))
+               .when(kind == 5, F.concat(hx("FFFE"), F.encode(text, "UTF-16LE")))
+               .when(kind == 6, F.concat(hx("0000FEFF"), F.encode(text, "UTF-32")))
+               .when(kind == 7, F.concat(hx("FFFE"), F.encode(text, "UTF-16LE"), hx("41")))
+               .when(kind == 8, F.concat(hx("FEFF"), F.encode(text, "UTF-16BE")))
                .otherwise(plain))
-    return documents(spark, sf_dir).withColumn("content", _column(content, "binary"))
+    return documents(spark, sf_dir).withColumn("content", content)
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:

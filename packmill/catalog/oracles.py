@@ -45,27 +45,28 @@ def _rule_text() -> str:
     return "CASE rule_kind " + " ".join(cases) + " END"
 
 
-_ASCII = "regexp_replace(text, '[^ -~\\n]', '?', 'g')"
+_CYRILLIC = (f"translate(regexp_replace(text, '[^ -~\\n{co.ACCENTED}]', '?', 'g'), '{co.ACCENTED}', '{co.CYRILLIC}')")
+_LATIN = "regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g')"
 _WIDE = "length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))"
 _BAD = "'" + c.REASON_BAD_BOM + "'"
 # what the bytes of every kind must decode to
 DECODED = (f"ruled AS (SELECT *, {_rule_text()} AS rule_text FROM docs), "
            "decoded AS (SELECT project_id, rel_path, base, doc_id, rule_kind, "
            f"CASE WHEN rule_kind IS NOT NULL THEN rule_text WHEN byte_kind IN (1, 7) THEN NULL "
-           f"WHEN byte_kind = 2 THEN concat({_ASCII}, chr(1055)) WHEN byte_kind = 3 THEN concat({_ASCII}, chr(152)) "
-           "WHEN byte_kind = 4 THEN concat(repeat('x', 9000), chr(0)) WHEN byte_kind = 8 THEN '' ELSE text END AS text, "
+           f"WHEN byte_kind = 2 THEN concat({_CYRILLIC}, chr(1055)) WHEN byte_kind = 3 THEN concat({_LATIN}, chr(152)) "
+           "WHEN byte_kind = 4 THEN concat(repeat('x', 9000), chr(0), text) ELSE text END AS text, "
            "CASE WHEN rule_kind = 'G2' THEN 'utf-8-sig' WHEN rule_kind IS NOT NULL THEN 'utf-8' "
            "WHEN byte_kind = 0 THEN 'utf-8-sig' WHEN byte_kind IN (1, 7) THEN NULL "
-           "WHEN byte_kind = 2 THEN 'cp1251' WHEN byte_kind = 3 THEN 'latin-1' WHEN byte_kind = 5 THEN 'utf-16' "
+           "WHEN byte_kind = 2 THEN 'cp1251' WHEN byte_kind = 3 THEN 'latin-1' WHEN byte_kind IN (5, 8) THEN 'utf-16' "
            "WHEN byte_kind = 6 THEN 'utf-32' ELSE 'utf-8' END AS encoding, "
            f"CASE WHEN rule_kind IS NOT NULL THEN NULL WHEN byte_kind = 1 THEN '{c.REASON_BINARY}' "
            f"WHEN byte_kind = 7 THEN {_BAD} END AS decode_reason, "
            "CASE WHEN rule_kind = 'G2' THEN strlen(rule_text) + 3 WHEN rule_kind IS NOT NULL THEN strlen(rule_text) "
-           "WHEN byte_kind = 0 THEN strlen(text) + 3 "
-           f"WHEN byte_kind IN (1, 2, 3) THEN length(text) + 1 "
-           f"WHEN byte_kind = 4 THEN 9001 WHEN byte_kind = 5 THEN 2 + 2 * (length(text) + {_WIDE}) "
-           "WHEN byte_kind = 6 THEN 4 + 4 * length(text) WHEN byte_kind = 7 THEN 3 WHEN byte_kind = 8 THEN 0 "
-           "ELSE strlen(text) END AS size_bytes FROM ruled)")
+           "WHEN byte_kind = 0 THEN strlen(text) + 3 WHEN byte_kind = 1 THEN strlen(text) + 1 "
+           "WHEN byte_kind IN (2, 3) THEN length(text) + 1 WHEN byte_kind = 4 THEN 9001 + strlen(text) "
+           f"WHEN byte_kind IN (5, 8) THEN 2 + 2 * (length(text) + {_WIDE}) "
+           f"WHEN byte_kind = 7 THEN 3 + 2 * (length(text) + {_WIDE}) "
+           "WHEN byte_kind = 6 THEN 4 + 4 * length(text) ELSE strlen(text) END AS size_bytes FROM ruled)")
 
 
 # ---- paths
@@ -436,7 +437,7 @@ def _oracles() -> dict[str, str]:
         "decode_utf16_utf32": _with(DOCS, DECODED, select="SELECT project_id, rel_path, encoding, text FROM decoded "
                                     "WHERE encoding IN ('utf-16', 'utf-32')"),
         "binary_sniff": docs("SELECT project_id, rel_path, rule_kind IS NULL AND (byte_kind = 1 OR byte_kind = 6 OR "
-                             "(byte_kind = 5 AND regexp_matches(substr(text, 1, 4095), '[\\x00-\\xFF]'))) AS has_nul FROM docs"),
+                             "(byte_kind IN (5, 7, 8) AND regexp_matches(substr(text, 1, 4095), '[\\x00-\\xFF]'))) AS has_nul FROM docs"),
         "skip_reasons": _with(DOCS, DECODED, select="SELECT project_id, rel_path, coalesce(CASE WHEN size_bytes > 9000 THEN "
                               "'exceeds size limit (8.8 KB)' END, decode_reason) AS skip_reason FROM decoded "
                               "WHERE size_bytes > 9000 OR decode_reason IS NOT NULL"),
@@ -480,11 +481,16 @@ def _oracles() -> dict[str, str]:
             DOCS, LINKS, REPEATS, FATES, select="SELECT project_id, rel_path, coalesce(reason, "
             "CASE WHEN target_kind = 'file' THEN 'packed' ELSE 'shown' END) AS fate FROM fates"),
         "output_self_exclusion": _with(
-            DOCS, LINKS, "both_kinds AS (SELECT project_id, rel_path, rel_path AS place FROM docs UNION ALL "
-            "SELECT project_id, rel_path, place FROM links)", REPEATS,
-            select="SELECT project_id, rel_path, CASE WHEN place = 'src/dist' THEN 'output_file' ELSE 'leftover' END AS ignore_reason "
-            f"FROM both_kinds b WHERE (place = 'src/dist' OR rel_path = '{c.LEFTOVER_NAME}') "
-            f"AND NOT {_BELOW.format('b', 'rel_path')}"),
+            DOCS, LINKS, REPEATS, FATES,
+            select="SELECT project_id, rel_path, coalesce(reason, 'output_file') AS ignore_reason FROM fates "
+            "WHERE reason = 'leftover' OR (reason IS NULL AND (coalesce(place, rel_path) = 'docs/deep' "
+            "OR starts_with(coalesce(place, rel_path), 'docs/deep/')))"),
+        "extra_filter_layer": _with(
+            DOCS, _dirs("docs", "dirs", f"{builtin('path', 'FALSE')} IS NULL"),
+            select=f"SELECT project_id, rel_path AS path, coalesce({builtin('rel_path', 'TRUE')}, "
+            "CASE WHEN rel_path LIKE '%e_%' OR length(rel_path) % 5 = 4 THEN 'extra_filter' END, "
+            f"{LEFTOVER}, 'kept') AS layer FROM docs UNION ALL SELECT project_id, path, 'directory' FROM dirs "
+            "UNION ALL SELECT DISTINCT project_id, '', 'directory' FROM docs"),
         "fence_length": _with(DOCS, TICKED, select=f"SELECT doc_id, {longest_run('text')} AS longest_run, {fence('text')} AS fence FROM ticked"),
         "header_text": pack(full_docs, "text", select="SELECT project_id, header FROM final"),
         "header_markdown": pack(full_docs, "markdown", select="SELECT project_id, concat(header, chr(10)) AS header FROM final"),

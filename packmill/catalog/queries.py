@@ -349,13 +349,25 @@ def linked_entries(spark, sf_dir):
 
 @query
 def output_self_exclusion(spark, sf_dir):
-    """The output file and links to it are left out; so is a leftover at the root only."""
-    options = PackOptions(output_path="src/dist")
+    """The output folder, what lies in it and links to that are left out; so is a leftover at
+    the root only."""
+    options = PackOptions(output_path="docs/deep")
     entries = classify.classify(_linked(spark, sf_dir), options).entries
-    return entries.where("ignore_reason in ('output_file', 'leftover')").select(
+    return entries.where("kind <> 'dir' and ignore_reason in ('output_file', 'leftover')").select(
         "project_id", "rel_path", "ignore_reason")
 
 
+@query
+def extra_filter_layer(spark, sf_dir):
+    """A condition on files and links; what it leaves out keeps its directory in the tree."""
+    source = corpora.linked_manifest(spark, sf_dir).where("kind = 'file'").select("project_id", "rel_path")
+    options = PackOptions(extra_filter="rel_path not like '%e_%' and nullif(length(rel_path) % 5, 4) >= 0")
+    found = classify.classify(source, options)
+    files = found.entries.select("project_id", F.col("rel_path").alias("path"),
+                                 F.coalesce("ignore_reason", F.lit("kept")).alias("layer"))
+    return files.unionByName(found.dirs.select("project_id", F.col("dir").alias("path"), F.lit("directory").alias("layer")))
+
+
 @query
 def tree_links(spark, sf_dir):
     source = _linked(spark, sf_dir)
@@ -412,8 +424,7 @@ def document_measures(spark, sf_dir):
 # ---- whole documents
 
 def _document(pack: Pack) -> DataFrame:
-    return with_position(pack.sections, ["project_id"], ["section", "sort_key"], "position").select(
-        "project_id", "position", "text")
+    return pack.numbered
 
 
 @query

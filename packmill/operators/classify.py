@@ -1,5 +1,6 @@
 """All ignore layers applied to a manifest, in the order cheap to dear."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -8,31 +9,40 @@ from packmill.functions.paths import ancestors
 from packmill.functions.patterns import excluded
 from packmill.operators import filters, inventory, rules
 from packmill.operators.durable import durable
-from packmill.operators.lookup import lookup
+from packmill.operators.lookup import Lookup
 from packmill.options import PackOptions
 
 
 @dataclass(frozen=True)
 class Classified:
-    """`entries`: completed manifest plus ignore_reason (NULL: kept).
-    `dirs`: directories the traversal enters: project_id, dir, entries, repeated."""
+    """`entries`: completed manifest, without contents, plus ignore_reason (NULL: kept).
+    `dirs`: directories the traversal enters: project_id, dir, entries, repeated.
+    `label`: adds ignore_reason to other rows of the manifest that have its columns."""
 
     entries: DataFrame
     dirs: DataFrame
+    label: Callable[[DataFrame], DataFrame]
+
+
+def _is_output(path: Column, options: PackOptions) -> Column:
+    """The document's own path, and what lies in it if it is a folder."""
+    if not options.output_path:
+        return F.lit(False)
+    own = options.output_path.strip("/")
+    return F.coalesce((path == own) | F.startswith(path, F.lit(own + "/")), F.lit(False))
 
 
 def _dir_reason(options: PackOptions):
     path = F.col("dir")
-    return F.when(filters.builtin_reason(path, F.lit(False)).isNotNull()
+    return F.when(filters.builtin_reason(path, F.lit(False)).isNotNull() | _is_output(path, options)
                   | excluded(path, F.lit(True), options.exclude_patterns), True)
 
 
 def classify(source: DataFrame, options: PackOptions, ignore_files: DataFrame | None = None) -> Classified:
     """`ignore_files` (project_id, dir, name, content) overrides those found in `source`;
     give them for large corpora, so that looking for them does not read all contents."""
-    entries = inventory.manifest(source)
-    if options.extra_filter:
-        entries = entries.where(options.extra_filter)
+    whole = inventory.manifest(source)
+    entries = whole.drop("content")
     outline = entries.select("project_id", "rel_path", "parent", "kind", "dir_id").where(
         (F.col("rel_path") != "") | (F.col("kind") == "dir"))
     dirs = inventory.directories(outline.where(F.col("rel_path") != "")).unionByName(
@@ -42,54 +52,59 @@ def classify(source: DataFrame, options: PackOptions, ignore_files: DataFrame |
     # far fewer than files, and needed several times
     dirs = durable(dirs.where(_dir_reason(options).isNull()))
 
-    path, is_file, is_dir, kind = (F.col(c) for c in ("rel_path", "is_file", "is_dir", "kind"))
-    entries = entries.where(path != "")
     if not options.respect_ignore_files:
         ignore_files = None
     elif ignore_files is None and "content" in source.columns and rules.has_ignore_files(entries):
-        ignore_files = rules.ignore_files(entries)
-    rule_table = None
+        ignore_files = rules.ignore_files(whole)
+    verdicts = None
     if ignore_files is not None:
         # as large as the ignore files alone; looked for once
         rule_table = durable(rules.rules(rules.ignore_lines(ignore_files)))
-    if rule_table is not None and not rule_table.isEmpty():
-        verdicts = durable(rules.directory_verdicts(dirs, rules.programs(rule_table)))
-        dirs = durable(dirs.join(verdicts.where("pruned").select("project_id", "dir"),
-                                 ["project_id", "dir"], "left_anti"))
-        entries = rules.with_verdict(entries, verdicts)
-    else:
-        entries = entries.withColumns({"rule_pruned": F.lit(False), "rule_ignored": F.lit(False)})
+        if not rule_table.isEmpty():
+            verdicts = rules.directory_verdicts(dirs, rules.programs(rule_table))
+            pruned = verdicts.directories.table.where("pruned")
+            dirs = dirs.join(pruned.select("project_id", F.col("parent").alias("dir")),
+                             ["project_id", "dir"], "left_anti")
 
     if "dir_id" in source.columns:
-        entries, dirs = _drop_repeats(entries, dirs, outline)
+        repeats, dirs = _repeats(durable(dirs), outline)
     else:
-        entries = entries.withColumn("below_repeat", F.lit(False))
-        dirs = dirs.withColumn("repeated", F.lit(False))
-
-    parent = F.col("parent")
-    outside = (kind == "link") & F.col("resolved_rel_path").isNull()
-    # what holds for the directories above holds for an entry, wherever a link leads
-    with_links = [F.when(kind == "link", filters.builtin_reason(parent, F.lit(False)))
-                  ] if "link_target" in source.columns else []
-    inherited = F.coalesce(
-        *with_links,
-        F.when(F.col("below_repeat"), "repeated_directory"),
-        F.when(excluded(parent, F.lit(True), options.exclude_patterns), "user_glob"),
-        F.when(F.col("rule_pruned"), "ignore_file"))
-    output = F.lit(False)
-    if options.output_path:
-        output = F.coalesce(F.coalesce(F.col("resolved_rel_path"), path) == options.output_path,
-                            F.lit(False))
-    own = F.coalesce(
-        filters.builtin_reason(path, is_file, F.col("resolved_rel_path")),
-        F.when(excluded(path, is_dir, options.exclude_patterns), "user_glob"),
-        F.when(F.col("rule_ignored"), "ignore_file"),
-        F.when(output, "output_file"),
-        F.when(filters.is_leftover(path, kind), "leftover"))
-    reason = F.coalesce(inherited, F.when(outside, "outside_root").otherwise(own))
-    return Classified(
-        entries.withColumn("ignore_reason", reason).drop("rule_pruned", "rule_ignored", "below_repeat"),
-        dirs)
+        repeats, dirs = None, dirs.withColumn("repeated", F.lit(False))
+
+    def label(rows: DataFrame) -> DataFrame:
+        path, is_file, is_dir, kind = (F.col(c) for c in ("rel_path", "is_file", "is_dir", "kind"))
+        rows = rows.where(path != "")
+        if verdicts is not None:
+            rows = rules.with_verdict(rows, verdicts)
+        else:
+            rows = rows.withColumns({"rule_pruned": F.lit(False), "rule_ignored": F.lit(False)})
+        if repeats is not None:
+            rows = repeats.join(rows, path, ["below_repeat"])
+        else:
+            rows = rows.withColumn("below_repeat", F.lit(None).cast("boolean"))
+        parent = F.col("parent")
+        outside = (kind == "link") & F.col("resolved_rel_path").isNull()
+        # what holds for the directories above holds for an entry, wherever a link leads
+        with_links = [F.when(kind == "link", filters.builtin_reason(parent, F.lit(False)))
+                      ] if "link_target" in source.columns else []
+        inherited = F.coalesce(
+            *with_links,
+            F.when(F.col("below_repeat"), "repeated_directory"),
+            F.when(excluded(parent, F.lit(True), options.exclude_patterns), "user_glob"),
+            F.when(F.col("rule_pruned"), "ignore_file"))
+        met = F.coalesce(F.expr(options.extra_filter), F.lit(False)) if options.extra_filter else F.lit(True)
+        own = F.coalesce(
+            filters.builtin_reason(path, is_file, F.col("resolved_rel_path")),
+            F.when(excluded(path, is_dir, options.exclude_patterns), "user_glob"),
+            F.when(F.col("rule_ignored"), "ignore_file"),
+            F.when(~met & (kind != "dir"), "extra_filter"),
+            F.when(_is_output(F.coalesce(F.col("resolved_rel_path"), path), options) | _is_output(path, options),
+                   "output_file"),
+            F.when(filters.is_leftover(path, kind), "leftover"))
+        reason = F.coalesce(inherited, F.when(outside, "outside_root").otherwise(own))
+        return rows.withColumn("ignore_reason", reason).drop("rule_pruned", "rule_ignored", "below_repeat")
+
+    return Classified(label(entries), dirs, label)
 
 
 def by_path_alone(options: PackOptions) -> Column:
@@ -100,8 +115,8 @@ def by_path_alone(options: PackOptions) -> Column:
             & ~excluded(path, F.col("is_dir"), options.exclude_patterns))
 
 
-def _drop_repeats(entries: DataFrame, dirs: DataFrame, outline: DataFrame):
-    """Marks what lies in a directory whose identity was met before."""
+def _repeats(dirs: DataFrame, outline: DataFrame) -> tuple[Lookup, DataFrame]:
+    """Directories below one whose identity was met before, and `dirs` without them."""
     ids = outline.where((F.col("kind") == "dir") & F.col("dir_id").isNotNull()).select(
         "project_id", F.col("rel_path").alias("dir"), "dir_id")
     repeats = inventory.repeated_directories(dirs.join(ids, ["project_id", "dir"])).select(
@@ -114,11 +129,10 @@ def _drop_repeats(entries: DataFrame, dirs: DataFrame, outline: DataFrame):
         F.max("entries").alias("entries"),
         F.max(F.col("above") == F.col("dir")).alias("repeated"),
         F.max(F.col("above") != F.col("dir")).alias("below"))
-    marks = inside.select("project_id", F.col("dir").alias("parent"), "entries",
-                          F.lit(True).alias("below_repeat"))
-    entries = lookup(entries, marks, ["project_id", "parent"], F.col("rel_path"), weight="entries"
-                     ).withColumn("below_repeat", F.coalesce("below_repeat", F.lit(False)))
-    dirs = dirs.join(inside.drop("entries"), ["project_id", "dir"], "left").where(
+    marks = Lookup(inside.select("project_id", F.col("dir").alias("parent"), "entries", "repeated", "below",
+                                 F.lit(True).alias("below_repeat")), ["project_id", "parent"], "entries")
+    met = marks.table.select("project_id", F.col("parent").alias("dir"), "repeated", "below")
+    dirs = dirs.join(met, ["project_id", "dir"], "left").where(
         ~F.coalesce("below", F.lit(False))).select(
         "project_id", "dir", "entries", F.coalesce("repeated", F.lit(False)).alias("repeated"))
-    return entries, durable(dirs)
+    return marks, durable(dirs)

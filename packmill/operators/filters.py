@@ -9,9 +9,6 @@ from packmill.functions.paths import base_name
 from packmill.functions.patterns import quote
 from packmill.functions.text import human_bytes
 
-LAYERS = ("outside_root", "ignored_name", "egg_info", "hidden", "binary_extension", "junk_name",
-          "user_glob", "ignore_file", "output_file", "leftover")
-
 
 def _any_of(names) -> str:
     # names are compared with lower-cased components, so mixed-case ones never match

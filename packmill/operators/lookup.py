@@ -11,34 +11,45 @@ BROADCAST_ROWS = 200_000
 HOT_KEYS = 256
 
 
-def _is_small(table: DataFrame) -> bool:
+def _size(table: DataFrame) -> Column:
     texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in table.dtypes if kind == "string"]
-    size = sum(texts[1:], texts[0]).cast("long") if texts else F.lit(0)
-    found = table.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    return found[0] <= BROADCAST_ROWS and found[1] <= BROADCAST_BYTES
+    return sum(texts[1:], texts[0]).cast("long") if texts else F.lit(0).cast("long")
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, weight: str) -> DataFrame:
-    """`rows` with the columns of `table`, NULL where no key matches.
+class Lookup:
+    """A table with one row per key, materialised and measured once, for any number of joins.
 
-    The table is materialised and measured.  A small one is broadcast.  Otherwise only
-    the entries of the heaviest keys are, at most HOT_KEYS of them; `weight` names the
-    table's column with the number of rows per key.  Rows that found theirs get a join
-    key of their own, made from `spread`, a column that differs from row to row, and all
-    keys left are light, so the shuffled join is balanced.  The rows are read once.
+    A small one is broadcast.  Otherwise only the entries of the heaviest keys are, at most
+    HOT_KEYS of them and none above its share of BROADCAST_BYTES; `weight` names the table's
+    column with the number of rows per key.  Rows that found theirs get a join key of their
+    own, made from `spread`, a column that differs from row to row, and all keys left are
+    light, so the shuffled join is balanced.  The rows are read once.
     """
-    table = durable(table)
-    if _is_small(table):
-        return rows.join(F.broadcast(table.drop(weight)), keys, "left")
+
+    def __init__(self, table: DataFrame, keys: list[str], weight: str):
+        self.table, self.keys, self.weight = durable(table), keys, weight
+        found = self.table.agg(F.count("*"), F.coalesce(F.sum(_size(table)), F.lit(0))).first()
+        self.small = found[0] <= BROADCAST_ROWS and found[1] <= BROADCAST_BYTES
+
+    def join(self, rows: DataFrame, spread: Column, values: list[str]) -> DataFrame:
+        """`rows` with the columns `values` of the table, NULL where no key matches."""
+        table = self.table.select(*self.keys, self.weight, *values)
+        if self.small:
+            return rows.join(F.broadcast(table.drop(self.weight)), self.keys, "left")
+        entries = table.select(*self.keys, self.weight, F.struct(*values).alias("_entry"), _size(table).alias("_size"))
+        heavy = F.broadcast(entries.where(F.col("_size") <= BROADCAST_BYTES // HOT_KEYS).orderBy(
+            F.desc(self.weight)).limit(HOT_KEYS).select(*self.keys, F.col("_entry").alias("_hot")))
+
+        *outer, last = self.keys
+        probed = rows.join(heavy, self.keys, "left").withColumn(
+            "_key", F.when(F.col("_hot").isNull(), F.col(last)).otherwise(F.concat(F.lit("\0"), spread)))
+        found = probed.join(entries.drop(self.weight, "_size").withColumnRenamed(last, "_key"), [*outer, "_key"], "left")
+        return found.select(
+            *[F.col(c) for c in rows.columns],
+            *[F.coalesce(F.col("_hot")[v], F.col("_entry")[v]).alias(v) for v in values])
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, weight: str) -> DataFrame:
+    """`rows` with the columns of `table`, for a table that is joined once."""
     values = [c for c in table.columns if c not in keys and c != weight]
-    entries = table.select(*keys, weight, F.struct(*values).alias("_entry"))
-    heavy = F.broadcast(entries.orderBy(F.desc(weight)).limit(HOT_KEYS).select(
-        *keys, F.col("_entry").alias("_hot")))
-
-    *outer, last = keys
-    probed = rows.join(heavy, keys, "left").withColumn(
-        "_key", F.when(F.col("_hot").isNull(), F.col(last)).otherwise(F.concat(F.lit("\0"), spread)))
-    found = probed.join(entries.drop(weight).withColumnRenamed(last, "_key"), [*outer, "_key"], "left")
-    return found.select(
-        *[F.col(c) for c in rows.columns],
-        *[F.coalesce(F.col("_hot")[v], F.col("_entry")[v]).alias(v) for v in values])
+    return Lookup(table, keys, weight).join(rows, spread, values)

@@ -1,12 +1,14 @@
 """Positions in an ordered result, without sorting a whole group in one task."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packmill.operators.durable import durable
 
 
 def with_position(df: DataFrame, group: list[str], order: list[str | Column], out: str) -> DataFrame:
-    """Adds the 1-based position of every row in its group.
+    """Adds the 1-based position of every row in its group; NULL is a group like any other.
 
     The rows are range-partitioned on group and order, so a large group spreads over
     many partitions; each row's place in its partition is written down together with
@@ -20,7 +22,9 @@ def with_position(df: DataFrame, group: list[str], order: list[str | Column], ou
     shares = placed.groupBy(*group, "_chunk").agg(
         F.count("*").alias("_rows"), F.min("_place").alias("_first"))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shares = shares.select(*group, "_chunk", "_first", F.coalesce(
-        F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    return placed.join(shares, [*group, "_chunk"]).select(
+    shares = shares.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_chunk").alias("_share"), "_first",
+                           F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group],
+                  F.col("_chunk") == F.col("_share"))
+    return placed.join(shares, same).select(
         *df.columns, (F.col("_before") + F.col("_place") - F.col("_first") + 1).alias(out))

@@ -1,12 +1,14 @@
 """Ignore files: lines, rules, and the verdict on directories and files."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from packmill.constants import TOOL_IGNORE_FILE
 from packmill.functions import ignore_rules as ir
 from packmill.functions.paths import ancestors, base_name, depth, parent
 from packmill.operators.filters import is_ignore_file
-from packmill.operators.lookup import lookup
+from packmill.operators.lookup import Lookup
 
 
 def ignore_files(entries: DataFrame) -> DataFrame:
@@ -64,35 +66,52 @@ def programs(rule_table: DataFrame) -> DataFrame:
                          ir.program(F.col("all_rules")).alias("program"))
 
 
-def directory_verdicts(dirs: DataFrame, program_table: DataFrame) -> DataFrame:
-    """For every directory the program in force and whether a rule prunes it.
+@dataclass(frozen=True)
+class Verdicts:
+    """What rules say of the directories.
+
+    `directories`: project_id, dir, entries, scope (the directory whose rules are in force)
+    and pruned.  `programs`: one regex per scope, which no directory repeats.
+    """
+
+    directories: Lookup
+    programs: Lookup
+
+
+def directory_verdicts(dirs: DataFrame, program_table: DataFrame) -> Verdicts:
+    """For every directory the scope in force and whether a rule prunes it.
 
     `dirs` has project_id, dir, entries.  A directory is pruned if it or one above it is
-    ignored, each tried as it is and with a slash at its end.
+    ignored, each tried as it is and with a slash at its end.  A scope near the root may
+    hold most directories of a project, so both joins on scopes go through a Lookup.
     """
+    scope = ["project_id", "scope"]
     chain = dirs.select("project_id", "dir", F.explode(
         ancestors(F.col("dir"), own=True)).alias("scope"))
-    nearest = chain.join(program_table.select("project_id", "scope"), ["project_id", "scope"]).groupBy(
+    below = chain.groupBy(*scope).agg(F.count("*").alias("below"))
+    programs = Lookup(program_table.join(below, scope).withColumn("has_rules", F.lit(True)), scope, "below")
+    nearest = programs.join(chain, F.col("dir"), ["has_rules"]).where("has_rules").groupBy(
         "project_id", "dir").agg(F.max_by("scope", depth(F.col("scope"))).alias("scope"))
-    ruled = nearest.join(program_table, ["project_id", "scope"])
+    ruled = programs.join(nearest, F.col("dir"), ["program"])
     program = F.col("program")
     above = F.filter(ancestors(F.col("dir"), own=True), lambda d: d != "")
     pruned = F.exists(above, lambda d: ir.ignored_by(d, program)
                       | ir.ignored_by(F.concat(d, F.lit("/")), program))
-    ruled = ruled.select("project_id", "dir", "program", pruned.alias("pruned"))
-    return dirs.join(ruled, ["project_id", "dir"]).select(
-        "project_id", "dir", "entries", "program", "pruned")
+    ruled = ruled.select("project_id", "dir", "scope", pruned.alias("pruned"))
+    found = dirs.join(ruled, ["project_id", "dir"]).select(
+        "project_id", F.col("dir").alias("parent"), "entries", "scope", "pruned")
+    return Verdicts(Lookup(found, ["project_id", "parent"], "entries"), programs)
 
 
-def with_verdict(entries: DataFrame, verdicts: DataFrame) -> DataFrame:
+def with_verdict(entries: DataFrame, verdicts: Verdicts) -> DataFrame:
     """Adds `rule_pruned`, a directory above is ignored, and `rule_ignored`, the entry is.
 
-    `verdicts` comes from `directory_verdicts`.
+    `entries` are rows of a completed manifest, without contents, which need not travel here.
     """
-    named = verdicts.withColumnRenamed("dir", "parent")
-    found = lookup(entries, named, ["project_id", "parent"], F.col("rel_path"), weight="entries")
     path, program = F.col("rel_path"), F.col("program")
+    found = verdicts.directories.join(entries, path, ["scope", "pruned"])
+    found = verdicts.programs.join(found, path, ["program"])
     own = ir.ignored_by(path, program) | (
         F.col("is_dir") & ir.ignored_by(F.concat(path, F.lit("/")), program))
     return found.withColumn("rule_pruned", F.coalesce("pruned", F.lit(False))).withColumn(
-        "rule_ignored", F.col("rule_pruned") | own).drop("program", "pruned")
+        "rule_ignored", F.col("rule_pruned") | own).drop("scope", "program", "pruned")

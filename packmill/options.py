@@ -12,8 +12,9 @@ TOKEN_COUNTING = ("heuristic", "exact", "off")
 class PackOptions:
     """`max_file_size` takes bytes or a size such as '512KB'; `generated_at` is the
     header's time stamp, the current time if missing; `output_path` is the document's
-    own path inside the project, never packed; `extra_filter` is a SQL condition over the
-    manifest's columns that rows must meet."""
+    own path inside the project, a file or a folder, never packed; `extra_filter` is a SQL
+    condition over the manifest's columns that files and links must meet (NULL: not met);
+    directories stay in the tree, for these there are `exclude_patterns`."""
 
     output_format: str = "text"
     include_tree: bool = True

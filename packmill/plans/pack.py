@@ -1,8 +1,10 @@
 """From a manifest to documents and their statistics."""
 
+import os
+from dataclasses import replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packmill.constants import METHOD_EXACT, METHOD_HEURISTIC, METHOD_OFF
 from packmill.functions import decode, render, text as tx
@@ -11,8 +13,11 @@ from packmill.operators import tree
 from packmill.operators.classify import by_path_alone, classify
 from packmill.operators.durable import durable
 from packmill.operators.filters import size_reason
+from packmill.operators.inventory import manifest
+from packmill.operators.ordering import with_position
 from packmill.options import PackOptions
 from packmill.plans import exact
+from packmill.session import ship_package
 from packmill.sources.contents import read_contents, read_ignore_files
 from packmill.sources.documents import write_sections
 from packmill.sources.listing import read_listing
@@ -39,15 +44,21 @@ class Pack:
 
     `source` has at least project_id and rel_path, and content unless `root` tells where
     the bytes are read from.  `ignore_files` (project_id, dir, name, content) saves
-    looking for them in the contents.  All attributes are lazy DataFrames.
+    looking for them in the contents.  A path stands once in its project.
+
+    Attributes are DataFrames, worked out when they are first asked for.  Classification
+    and `facts` run jobs then, since what several results need is kept in the checkpoint
+    folder: directories, verdicts on them, the tree, and one narrow row per file.
     """
 
     def __init__(self, source: DataFrame, options: PackOptions | None = None, *,
                  ignore_files: DataFrame | None = None, root: str | None = None,
-                 layout: str = "project"):
+                 layout: str = "project", warnings: DataFrame | None = None):
         self.options = options or PackOptions()
         self.source, self.ignore_files = source, ignore_files
         self.root, self.layout = root, layout
+        # ignore files that could not be read: project_id, rel_path, warning
+        self.warnings = warnings
         self._format = self.options.output_format
 
     @cached_property
@@ -56,55 +67,59 @@ class Pack:
 
     @property
     def entries(self) -> DataFrame:
-        """All rows of the manifest with the layer that ignores them (`ignore_reason`)."""
+        """All rows of the manifest, without contents, with the layer that ignores them
+        (`ignore_reason`)."""
         return self.classified.entries
 
     @cached_property
-    def files(self) -> DataFrame:
-        """Files to pack: text or skip_reason, encoding, transcoded."""
-        kept = self.entries.where("is_file and ignore_reason is null").where(
-            by_path_alone(self.options)).withColumn(
-            "too_big", size_reason(F.col("size_bytes"), self.options.max_file_size))
+    def _read(self) -> DataFrame:
+        """Files with their text.  Of a table, all that their own path keeps: what ignore
+        files say is joined to narrow rows only.  Of a directory, those that are kept."""
+        limit = self.options.max_file_size
         if self.root is None:
-            kept = kept.withColumn("content", F.when(F.col("too_big").isNull(), F.col("content")))
-            kept = kept.withColumn("read_error", F.lit(None).cast("string"))
+            rows = manifest(self.source).where("is_file and rel_path <> ''").where(by_path_alone(self.options))
+            rows = rows.withColumn("too_big", size_reason(F.col("size_bytes"), limit))
+            rows = rows.withColumn("content", F.when(F.col("too_big").isNull(), F.col("content")))
+            rows = rows.withColumn("read_error", F.lit(None).cast("string"))
         else:
-            kept = read_contents(kept.select(
-                "project_id", "rel_path", "kind", "link_target", "too_big",
-                F.col("too_big").isNull().alias("wanted")), self.root, self.layout)
+            kept = self.entries.where("is_file and ignore_reason is null").withColumn(
+                "too_big", size_reason(F.col("size_bytes"), limit))
+            rows = read_contents(kept.withColumn("wanted", F.col("too_big").isNull()), self.root, self.layout)
         content = F.col("content")
-        return (kept.withColumn("encoding", decode.encoding(content))
-                .select("project_id", "rel_path", "kind", "link_target",
-                        F.coalesce("too_big", "read_error", decode.skip_reason(content)).alias("skip_reason"),
-                        "encoding", decode.transcoded(F.col("encoding")).alias("transcoded"),
-                        decode.text(content, F.col("encoding")).alias("text"),
-                        order_key(F.col("rel_path"), F.lit(False)).alias("sort_key")))
+        rows = rows.withColumn("encoding", decode.encoding(content))
+        return rows.select(
+            *[c for c in rows.columns if c not in ("content", "too_big", "read_error", "wanted", "encoding", "ignore_reason")],
+            F.coalesce("too_big", "read_error", decode.skip_reason(content)).alias("skip_reason"),
+            "encoding", decode.transcoded(F.col("encoding")).alias("transcoded"),
+            decode.text(content, F.col("encoding")).alias("text"),
+            order_key(F.col("rel_path"), F.lit(False)).alias("sort_key"))
+
+    def _block(self) -> Column:
+        """A file's block after the blank line that separates it."""
+        return F.concat(F.lit("\n"), render.file_block(F.col("rel_path"), F.col("text"), self._format))
 
     @property
     def skips(self) -> DataFrame:
         """Files left out of the contents, with the reason."""
         return self.facts.where("skip_reason is not null").select("project_id", "rel_path", "skip_reason")
 
-    @cached_property
-    def blocks(self) -> DataFrame:
-        """Content blocks; each begins with the blank line that separates it."""
-        packed = self.files.where("skip_reason is null")
-        block = render.file_block(F.col("rel_path"), F.col("text"), self._format)
-        return packed.select("project_id", "sort_key", F.concat(F.lit("\n"), block).alias("text"))
-
     @cached_property
     def facts(self) -> DataFrame:
         """One narrow row per file: skip reason, encoding and what its block adds to the
         document.  Kept in the checkpoint folder, since tree and statistics both need it
         and the contents are read but once for them."""
-        block = render.file_block(F.col("rel_path"), F.col("text"), self._format)
-        rows = self.files.withColumn("row", F.concat(F.lit("\n"), block))
-        tokens = (exact.block_tokens(F.expr("substr(row, 2)"), F.col("text"), self._format)
-                  if self.options.token_counting == "exact" else F.lit(None))
+        rows = self._read.withColumn("row", self._block())
+        tokens = F.lit(None)
+        if self.options.token_counting == "exact":
+            ship_package(self.source.sparkSession)
+            tokens = exact.block_tokens(F.expr("substr(row, 2)"), F.col("text"), self._format)
+        rows = rows.withColumns({"source_lines": tx.line_count(F.col("text")), "adds": _adds("row"),
+                                 "tokens": tokens}).drop("text", "row")
+        if self.root is None:
+            rows = self.classified.label(rows).where("ignore_reason is null")
         return durable(rows.select(
             "project_id", "rel_path", "kind", "link_target", "skip_reason", "encoding", "transcoded",
-            "sort_key", tx.line_count(F.col("text")).alias("source_lines"),
-            _adds("row").alias("adds"), tokens.alias("tokens")))
+            "sort_key", "source_lines", "adds", "tokens"))
 
     @cached_property
     def projects(self) -> DataFrame:
@@ -123,7 +138,8 @@ class Pack:
         notes = None
         if "dir_id" in columns or "listing_error" in columns:
             notes = tree.directory_notes(classified)
-        return tree.tree_lines(nodes, self.projects, notes)
+        # needed for the statistics and as rows
+        return durable(tree.tree_lines(nodes, self.projects, notes))
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -202,28 +218,94 @@ class Pack:
             F.lit(self._format).alias("output_format"),
             F.lit(self.options.include_tree).alias("include_tree"))
 
-    @property
-    def sections(self) -> DataFrame:
-        """The documents' rows: project_id, section, sort_key, text.
+    def _frame(self) -> dict[int, str]:
+        """Sections made of one row of the statistics."""
+        frame = {HEADER: "header", FILES_OPENING: "files_opening"}
+        return frame | ({TREE_OPENING: "tree_opening", TREE_CLOSING: "tree_closing"}
+                        if self.options.include_tree else {})
 
-        In this order, each followed by a newline, they are the documents.
-        """
-        parts = [(HEADER, "header"), (FILES_OPENING, "files_opening")]
-        if self.options.include_tree:
-            parts += [(TREE_OPENING, "tree_opening"), (TREE_CLOSING, "tree_closing")]
+    def _texts(self) -> DataFrame:
+        """project_id, section, sort_key, text: all rows of the documents, and blocks of
+        files that may yet turn out to be ignored."""
         frame = self.stats.select("project_id", F.explode(F.array(*[
-            F.struct(F.lit(n).alias("section"), F.col(c).alias("text")) for n, c in parts])).alias("row"))
+            F.struct(F.lit(n).alias("section"), F.col(c).alias("text")) for n, c in self._frame().items()])).alias("row"))
         rows = frame.select("project_id", "row.section", F.lit("").alias("sort_key"), "row.text")
-        rows = rows.unionByName(self.blocks.withColumn("section", F.lit(BLOCK)))
+        rows = rows.unionByName(self._read.where("skip_reason is null").select(
+            "project_id", F.lit(BLOCK).alias("section"), "sort_key", self._block().alias("text")))
         if self.options.include_tree:
             rows = rows.unionByName(self.tree.select(
                 "project_id", F.lit(TREE).alias("section"), "sort_key", F.col("line").alias("text")))
         return rows
 
+    def _keys(self) -> DataFrame:
+        """project_id, section, sort_key of the documents' rows."""
+        rows = self.projects.select("project_id", F.explode(F.array(*map(F.lit, self._frame()))).alias("section"),
+                                    F.lit("").alias("sort_key"))
+        rows = rows.unionByName(self.facts.where("skip_reason is null").select(
+            "project_id", F.lit(BLOCK).alias("section"), "sort_key"))
+        if self.options.include_tree:
+            rows = rows.unionByName(self.tree.select("project_id", F.lit(TREE).alias("section"), "sort_key"))
+        return rows
+
+    def _belonging(self, keys: DataFrame, ordered: bool) -> DataFrame:
+        """The texts whose key is among `keys`, which have a `position`, with that.
+
+        Keys and texts meet in the one shuffle that the texts need anyway: the sort into
+        document order, or else one on their key.
+        """
+        name = ["project_id", "section", "sort_key"]
+        nothing = F.lit(None)
+        rows = self._texts().withColumn("position", nothing.cast("long")).unionByName(
+            keys.select(*name, "position", nothing.cast("string").alias("text")))
+        if ordered:
+            rows = rows.orderBy(*name)
+        found = rows.withColumn("position", F.max("position").over(Window.partitionBy(*name)))
+        return found.where("text is not null and position is not null")
+
+    @property
+    def sections(self) -> DataFrame:
+        """The documents' rows, in order: project_id, section, sort_key, text.
+
+        Each followed by a newline, they are the documents.
+        """
+        keys = self._keys().withColumn("position", F.lit(0).cast("long"))
+        return self._belonging(keys, ordered=True).drop("position")
+
+    @property
+    def numbered(self) -> DataFrame:
+        """The documents' rows with their place: project_id, position, text, in any order."""
+        keys = with_position(self._keys(), ["project_id"], ["section", "sort_key"], "position")
+        return self._belonging(keys, ordered=False).select("project_id", "position", "text")
+
+    def _rest(self) -> dict:
+        return {"ignore_files": self.ignore_files, "root": self.root, "layout": self.layout, "warnings": self.warnings}
+
+    def _outside(self, path: str) -> "Pack":
+        """This pack without the folder `path`, if that lies in the packed directory."""
+        if self.root is None or self.options.output_path is not None:
+            return self
+        rel = os.path.relpath(os.path.realpath(path), os.path.realpath(self.root))
+        if rel.split(os.sep)[0] in (os.curdir, os.pardir):
+            return self
+        project, _, below = rel.replace(os.sep, "/").partition("/")
+        if self.layout == "project":
+            options = replace(self.options, output_path=rel.replace(os.sep, "/"))
+        elif below:
+            # one project's folder; the same path of another one stays
+            clash = F.col("rel_path").eqNullSafe(below) | F.startswith("rel_path", F.lit(below + "/"))
+            source = self.source.where((F.col("project_id") != project) | ~clash)
+            return Pack(source, self.options, **self._rest())
+        else:
+            source = self.source.where(F.col("project_id") != project)
+            return Pack(source, self.options, **self._rest())
+        return Pack(self.source, options, **self._rest())
+
     def write(self, path: str, per_project: bool = False) -> DataFrame:
-        """Writes the documents and returns the report."""
-        write_sections(self.sections, path, per_project)
-        return self.report
+        """Writes the documents and returns the report.  A folder inside the packed directory
+        is never packed itself."""
+        pack = self._outside(path)
+        write_sections(pack.sections, path, per_project)
+        return pack.report
 
 
 def pack_table(files: DataFrame, options: PackOptions | None = None, **kwargs) -> Pack:
@@ -237,6 +319,12 @@ def pack_directory(spark, root: str, options: PackOptions | None = None, layout:
     With layout 'collection' every directory in `root` is a project of its own.
     """
     options = options or PackOptions()
+    ship_package(spark)
     listing = durable(read_listing(spark, root, layout))
-    found = read_ignore_files(listing, root, layout) if options.respect_ignore_files else None
-    return Pack(listing, options, ignore_files=found, root=root, layout=layout)
+    rules = warnings = None
+    if options.respect_ignore_files:
+        found = durable(read_ignore_files(listing, root, layout))
+        rules = found.where("content is not null").select("project_id", "dir", "name", "content")
+        warnings = found.where("content is null").select("project_id", "rel_path", F.concat(
+            F.lit("ignore file not applied: "), "read_error").alias("warning"))
+    return Pack(listing, options, ignore_files=rules, root=root, layout=layout, warnings=warnings)

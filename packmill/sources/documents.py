@@ -4,14 +4,13 @@ from pyspark.sql import DataFrame
 
 
 def write_sections(sections: DataFrame, path: str, per_project: bool = False) -> None:
-    """Writes sections(project_id, section, sort_key, text) in document order.
+    """Writes sections(project_id, section, sort_key, text), which stand in document order.
 
-    The rows are range-partitioned, so any number of tasks write; the part files in name
+    The rows are range-partitioned by that order, so any number of tasks write; the part files in name
     order are the document, byte for byte.  With `per_project` each project gets a folder
     of its own.  Failures raise OSError.
     """
-    ordered = sections.orderBy("project_id", "section", "sort_key")
-    rows = ordered.select("project_id", "text") if per_project else ordered.select("text")
+    rows = sections.select("project_id", "text") if per_project else sections.select("text")
     writer = rows.write.mode("overwrite").option("lineSep", "\n")
     try:
         (writer.partitionBy("project_id") if per_project else writer).text(path)

@@ -60,12 +60,3 @@ def document(tmp_path):
         parts = sorted(glob.glob(str(folder / "part-*")))
         return "".join(open(p, encoding="utf-8", newline="").read() for p in parts), report
     return write
-
-
-SAMPLE = {
-    ".git/config": "[core]\n", ".venv/lib/lib.so": b"\x7fELF\x00\x00", ".env": "SECRET=hunter2\n",
-    ".env.example": "SECRET=\n", ".gitignore": "*.log\n", "src/__init__.py": "",
-    "src/main.py": "def main():\n    return 42\n", "docs/guide.md": "# Guide\n",
-    "data/logo.png": b"\x89PNG\r\n\x1a\n\x00", "README.md": "# sample\n",
-    "pyproject.toml": "[project]\nname = \"s\"\n",
-}

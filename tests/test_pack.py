@@ -3,11 +3,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SAMPLE
 from packmill import PackOptions, pack_table
+from packmill.constants import LEFTOVER_NAME
 from packmill.functions import text as tx
 from packmill.operators import lookup as lookup_module
+from packmill.operators.durable import durable
 from packmill.plans import exact, pack as pack_module
+from sample import SAMPLE
 
 STAMP = "2026-01-01 00:00:00"
 
@@ -21,17 +23,17 @@ def packed(doc):
 
 
 TREE = """sample/
-├── data/
-├── docs/
-│   └── guide.md
-├── src/
-│   ├── __init__.py
-│   └── main.py
-├── .env.example
+├── media/
+├── notes/
+│   └── plan.md
+├── web/
+│   ├── app.ts
+│   └── empty.ts
 ├── .gitignore
-├── pyproject.toml
-└── README.md"""
-ORDER = ["docs/guide.md", "src/__init__.py", "src/main.py", ".env.example", ".gitignore", "pyproject.toml", "README.md"]
+├── Dockerfile
+├── pipeline.yaml
+└── zeta.rs"""
+ORDER = ["notes/plan.md", "web/app.ts", "web/empty.ts", ".gitignore", "Dockerfile", "pipeline.yaml", "zeta.rs"]
 RULER = "=" * 80
 
 
@@ -49,7 +51,7 @@ def expected_document(fmt, tree, tokens, lines):
         if tree:
             head += f"## Directory Tree\n\n```text\n{TREE}\n```\n\n"
         head += "## Files Content\n\n"
-        tags = {".py": "python", ".md": "markdown", ".toml": "toml"}
+        tags = {".ts": "typescript", ".md": "markdown", ".yaml": "yaml", ".rs": "rust"}
         blocks = []
         for p in ORDER:
             body = SAMPLE[p] if SAMPLE[p].endswith("\n") else SAMPLE[p] + "\n"
@@ -69,7 +71,7 @@ def test_sample_document_byte_for_byte(files, document, fmt, tree):
     assert doc == want
     assert report.asDict() == {
         "project_id": "sample", "project_name": "sample", "packed_count": 7, "failed_count": 0,
-        "file_size": len(want.encode()), "total_lines": want.count("\n"), "total_source_lines": 8,
+        "file_size": len(want.encode()), "total_lines": want.count("\n"), "total_source_lines": 7,
         "estimated_tokens": tokens, "token_method": "heuristic (~4 chars/token)", "output_format": fmt,
         "include_tree": tree}
 
@@ -85,32 +87,73 @@ def test_options_are_checked():
 
 
 def test_skips_sizes_crlf_and_leftovers(files, document):
-    df = files({"small.py": "x=1", "big.py": "x=1\n" * 5000, "data/mystery.xyz": b"\0\1\2", "win.py": "a = 1\r\nb = 2\r\n",
-                "ai_context.txt": "OLD", "docs/ai_context.txt": "LEGIT", "bad.txt": b"\xff\xfeA",
-                "cyr.txt": "Привіт, світе!\n" * 100, "old.txt": "текст".encode("cp1251")})
+    df = files({"tiny.go": "var x", "log/huge.csv": "1,2,3\n" * 900, "raw/tape": b"ab\0cd", "dos.bat": "echo on\r\ncls\r\n",
+                LEFTOVER_NAME: "from before", f"wiki/{LEFTOVER_NAME}": "a page of that name", "torn.xml": b"\xfe\xff\0a\0",
+                "menu.txt": "борщ і вареники\n" * 90, "old_menu.txt": "вареники".encode("cp1251")})
     doc, report = document(pack_table(df, options(max_file_size=4096)))
-    assert packed(doc) == ["docs/ai_context.txt", "cyr.txt", "old.txt", "small.py", "win.py"]
-    assert "big.py  [skipped: exceeds size limit (4.0 KB)]\n" in doc
-    assert "mystery.xyz  [skipped: binary file]\n" in doc
-    assert "bad.txt  [skipped: encoding error (invalid BOM-marked content)]\n" in doc
-    assert "--- START OF FILE: win.py ---\na = 1\r\nb = 2\r\n\n--- END" in doc and "\r\r\n" not in doc
+    assert packed(doc) == [f"wiki/{LEFTOVER_NAME}", "dos.bat", "menu.txt", "old_menu.txt", "tiny.go"]
+    assert "huge.csv  [skipped: exceeds size limit (4.0 KB)]\n" in doc
+    assert "tape  [skipped: binary file]\n" in doc
+    assert "torn.xml  [skipped: encoding error (invalid BOM-marked content)]\n" in doc
+    assert "--- START OF FILE: dos.bat ---\necho on\r\ncls\r\n\n--- END" in doc and "\r\r\n" not in doc
     assert "Skipped files: 3 (marked in the tree / see warnings)\n" in doc
-    assert "текст" in doc and "ai_context.txt\n" not in doc.split("DIRECTORY TREE")[1].split("├── docs/")[0]
+    assert "from before" not in doc and f"── {LEFTOVER_NAME}\n" not in doc.replace(f"│   └── {LEFTOVER_NAME}\n", "")
     assert (report.packed_count, report.failed_count) == (5, 3)
     assert report.file_size == len(doc.encode()) > len(doc)
     assert report.total_lines == doc.count("\n")
     pack = pack_table(df, options(max_file_size=4096))
-    assert {r.rel_path: r.skip_reason for r in pack.skips.collect()}["data/mystery.xyz"] == "binary file"
-    assert [r.rel_path for r in pack.facts.where("transcoded").collect()] == ["old.txt"]
+    assert {r.rel_path: r.skip_reason for r in pack.skips.collect()}["raw/tape"] == "binary file"
+    assert [r.rel_path for r in pack.facts.where("transcoded").collect()] == ["old_menu.txt"]
 
 
 def test_globs_output_file_and_extra_filter(files):
     def kept(**kwargs):
         return {r.rel_path for r in pack_table(files(SAMPLE), options(**kwargs)).facts.collect()}
     assert kept() == set(ORDER)
-    assert kept(exclude_patterns=["docs/*", "*.toml"]) == set(ORDER) - {"docs/guide.md", "pyproject.toml"}
-    assert kept(output_path="src/main.py") == set(ORDER) - {"src/main.py"}
-    assert kept(extra_filter="rel_path not like 'src/%'") == set(ORDER) - {"src/main.py", "src/__init__.py"}
+    assert kept(exclude_patterns=["notes/*", "*.rs"]) == set(ORDER) - {"notes/plan.md", "zeta.rs"}
+    assert kept(output_path="web/app.ts") == kept(output_path="web/app.ts/") == set(ORDER) - {"web/app.ts"}
+    assert kept(output_path="web") == set(ORDER) - {"web/app.ts", "web/empty.ts"}
+    assert kept(extra_filter="rel_path not like 'web/%'") == set(ORDER) - {"web/app.ts", "web/empty.ts"}
+
+
+def test_extra_filter_is_a_layer(files):
+    pack = pack_table(files(SAMPLE), options(extra_filter="case when rel_path like 'web/%' then null else true end"))
+    reasons = {r.rel_path: r.ignore_reason for r in pack.entries.collect()}
+    assert reasons["web/app.ts"] == "extra_filter" and reasons["zeta.rs"] is None and reasons[".env"] == "hidden"
+    assert "├── web/" in [r.line for r in pack.tree.collect()]
+
+
+def exchanges(plan):
+    """Per exchange of a formatted plan the names of the columns that pass it."""
+    lines = plan.split("\n")
+    return [set(re.findall(r"([a-zA-Z_0-9]+)#\d+", lines[k + 1])) for k, line in enumerate(lines)
+            if re.search(r"^\(\d+\) (Broadcast)?Exchange", line)]
+
+
+def exchanged(plan):
+    return set().union(*exchanges(plan))
+
+
+def test_contents_travel_once(spark, files, monkeypatch):
+    """Verdicts meet narrow rows, also when no table is small enough to broadcast."""
+    monkeypatch.setattr(lookup_module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lookup_module, "HOT_KEYS", 2)
+    content = {f"d{n % 3}/f{n}.py": f"x = {n}\n" for n in range(40)}
+    content |= {".gitignore": "f7.py\nf8.py\n", "d1/.gitignore": "!f7.py\n*4.py\n"}
+    kept_tables = []
+    monkeypatch.setattr(pack_module, "durable", lambda df: (kept_tables.append(df), durable(df))[1])
+    pack = pack_table(files(content), options())
+    found = {r.rel_path for r in pack.facts.collect()}
+    assert found == set(content) - {"d2/f8.py", "d1/f4.py", "d1/f34.py"}
+
+    def plan(df):
+        return spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    facts = plan(next(df for df in kept_tables if "adds" in df.columns))
+    assert exchanged(facts) and not {"content", "text", "row"} & exchanged(facts)
+    document = plan(pack.sections)
+    assert "content" not in exchanged(document)
+    assert len(re.findall(r"rangepartitioning\(project_id", document.split("== Physical Plan ==")[1])) == 1
+    assert len([1 for columns in exchanges(document) if "text" in columns]) == 1
 
 
 def test_tokens_off(files, document):
