@@ -12,12 +12,16 @@ from packmill.functions.paths import base_name
 
 # files are handed on in batches of about this many bytes, however many rows Spark sends
 _BATCH_BYTES = 32 * 1024 * 1024
+# what a value of a column holds at most
+LARGEST_FILE = 2**31 - 1024
 
 
 def read_file(path: str):
     """(bytes, None) or (None, reason)."""
     try:
         with open(path, "rb") as f:
+            if os.fstat(f.fileno()).st_size > LARGEST_FILE:
+                return None, "read error: larger than 2 GB"
             return f.read(), None
     except PermissionError:
         return None, REASON_PERMISSION
@@ -63,12 +67,12 @@ def read_contents(rows: DataFrame, root: str, layout: str = "project") -> DataFr
 
 
 def read_ignore_files(listing: DataFrame, root: str, layout: str = "project") -> DataFrame:
-    """Ignore files of a listing, with content; unreadable ones are left out."""
+    """Ignore files of a listing: project_id, rel_path, dir, name, content, or read_error."""
     from packmill.operators.filters import is_ignore_file
     path = F.col("rel_path")
     is_file = (F.col("kind") == "file") | ((F.col("kind") == "link") & (F.col("target_kind") == "file"))
     found = listing.where(is_ignore_file(path, is_file)).select(
         "project_id", "rel_path", F.lit(True).alias("wanted"))
-    return read_contents(found, root, layout).where("content is not null").select(
-        "project_id", F.regexp_extract(path, r"(?s)^(.*)/[^/]*\z", 1).alias("dir"),
-        base_name(path).alias("name"), "content")
+    return read_contents(found, root, layout).select(
+        "project_id", "rel_path", F.regexp_extract(path, r"(?s)^(.*)/[^/]*\z", 1).alias("dir"),
+        base_name(path).alias("name"), "content", "read_error")

@@ -28,6 +28,12 @@ def ignored_directory(name: str) -> bool:
     return low in _NAMES or low.endswith(".egg-info") or (low.startswith(".") and low not in _ALLOWED)
 
 
+def _shown(path: str | None) -> str | None:
+    """The path as text; bytes of a name that are no UTF-8 become replacement characters, so
+    such a file is a row like others, of which no contents can be read."""
+    return None if path is None else os.fsencode(path).decode("utf-8", "replace")
+
+
 def _within(root: str, path: str) -> str | None:
     """Path from the resolved root, NULL outside of it."""
     rel = os.path.relpath(path, root)
@@ -59,7 +65,7 @@ def _link_row(project, root, rel, full):
         size = os.stat(full).st_size
     except OSError:
         size = 0
-    return (project, rel, "link", size, target, resolved, kind, None, None)
+    return (project, _shown(rel), "link", size, _shown(target), _shown(resolved), kind, None, None)
 
 
 def list_directory(project: str, root: str, rel: str, prune: bool):
@@ -83,10 +89,10 @@ def list_directory(project: str, root: str, rel: str, prune: bool):
                         size = entry.stat(follow_symlinks=False).st_size
                     except OSError:
                         size = 0
-                    rows.append((project, path, "file", size, None, path, None, None, None))
+                    rows.append((project, _shown(path), "file", size, None, _shown(path), None, None, None))
     except OSError as exc:
         error = exc.strerror or str(exc)
-    own = (project, rel, "dir", None, None, rel, None, _identity(full), error)
+    own = (project, _shown(rel), "dir", None, None, _shown(rel), None, _identity(full), error)
     return [own, *rows], below
 
 
@@ -106,7 +112,7 @@ def walk(project: str, root: str, rel: str, prune: bool, above: frozenset = froz
 
 class _Part(InputPartition):
     def __init__(self, project: str, root: str, rel: str, deep: bool):
-        super().__init__((project, rel))
+        super().__init__((project, _shown(rel)))
         self.project, self.root, self.rel, self.deep = project, root, rel, deep
 
 
@@ -123,7 +129,7 @@ class ListingReader(DataSourceReader):
         if self.layout == "project":
             return [(os.path.basename(self.root), self.root)]
         with os.scandir(self.root) as found:
-            return sorted((e.name, e.path) for e in found if e.is_dir(follow_symlinks=False))
+            return sorted((_shown(e.name), e.path) for e in found if e.is_dir(follow_symlinks=False))
 
     def partitions(self):
         """Splits directories until there are enough parts, so that no task has to list a
