@@ -31,6 +31,9 @@ SMALL = 24
 SKETCH = 512
 CACHED_WORDS = 400_000
 RECENT_TEXTS = 100_000
+# bits of the bitmaps that thin out rows before a join; their size is fixed (2 MB), so they help less as
+# more keys are marked, and never change a result
+MARKS = 1 << 24
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -131,18 +134,51 @@ def _signed(width: int):
     return signed
 
 
-def _first_of_texts(batches):
-    """Drops texts that the task has met lately, so that copies are not all shuffled."""
-    recent: dict[int, None] = {}
-    for batch in batches:
-        keep = []
-        for place, key in enumerate(batch.column("th").to_pylist()):
-            if key not in recent:
-                recent[key] = None
-                keep.append(place)
-                if len(recent) > RECENT_TEXTS:
-                    del recent[next(iter(recent))]
-        yield batch.take(pa.array(keep, pa.int64()))
+def _bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """Bits (MARKS of them, whatever the input) set at the longs of a column, modulo their number."""
+    place = F.pmod(F.col(key), F.lit(MARKS))
+    words = keys.select((place / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, int(pmod({key}, 64)))").alias("bit"))
+    bits = np.zeros(MARKS // 64, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r.word] = r.bits
+    return bits
+
+
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set: true for all keys of the bitmap, and for a few others."""
+    place = keys.view(np.uint64) % np.uint64(MARKS) if keys.dtype == np.uint64 else np.mod(keys, MARKS).astype(np.uint64)
+    return (bits.view(np.uint64)[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _wanted_texts(shared):
+    """Drops texts whose hash is not marked, and those the task has met lately, so that
+    neither they nor all copies are shuffled."""
+    def wanted(batches):
+        recent: dict[int, None] = {}
+        for batch in batches:
+            keep = []
+            keys = np.asarray(batch.column("th"))
+            for place in np.flatnonzero(_marked(shared.value, keys)).tolist():
+                key = int(keys[place])
+                if key not in recent:
+                    recent[key] = None
+                    keep.append(place)
+                    if len(recent) > RECENT_TEXTS:
+                        del recent[next(iter(recent))]
+            yield batch.take(pa.array(keep, pa.int64()))
+    return wanted
+
+
+def _marked_signs(shared):
+    """One row per signature that is marked."""
+    def marked(batches):
+        for batch in batches:
+            lists = batch.column("signs")
+            flat = np.asarray(lists.flatten())
+            owner = np.repeat(np.asarray(batch.column("rid")), np.asarray(lists.value_lengths()))
+            keep = _marked(shared.value, flat)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(flat[keep])], ["rid", "sign"])
+    return marked
 
 
 def _sets(width: int):
@@ -252,10 +288,13 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     classes = scratch.table(rows.where("n > 0").groupBy(*own).agg(F.min("rid").alias("rid"), least.alias("least")))
     first = rows.select("rid", "th", "n", "sketch", "signs").join(classes.select("rid"), "rid", "left_semi")
     signs = first.select("rid", F.explode("signs").alias("sign"))
-    often = signs.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign")
+    often = scratch.table(signs.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign"))
+    marks = spark.sparkContext.broadcast(_bitmap(often, "sign"))
+    signs = map_batches(first.select("rid", "signs"), _marked_signs(marks), signs.schema)
     shared = scratch.table(signs.join(often, "sign"))
     taking = scratch.table(first.drop("signs").join(shared.select("rid").distinct(), "rid", "left_semi"))
-    texts = map_batches(source.where(F.col("text").isNotNull()).select("th", "text"), _first_of_texts,
+    marks = spark.sparkContext.broadcast(_bitmap(taking, "th"))
+    texts = map_batches(source.where(F.col("text").isNotNull()).select("th", "text"), _wanted_texts(marks),
                         source.select("th", "text").schema)
     sets = texts.join(taking.select("rid", "th"), "th").select("rid", "text")
     sets = scratch.table(map_batches(sets, _sets(width), extended(sets, ["text"], "`set` array<bigint>")).dropDuplicates(["rid"]))

@@ -4,7 +4,7 @@ from hypothesis import given, settings, strategies as st
 
 from packmill.llm.common import Scratch
 from packmill.llm.components import components
-from packmill.llm.partenum import join_shingles, op10_partenum, signatures, size_bands, sketch
+from packmill.llm.partenum import _bitmap, _marked, join_shingles, op10_partenum, signatures, size_bands, sketch
 
 
 def tokens(text):
@@ -101,6 +101,15 @@ def test_odd_rows(docs):
     assert join_shingles(docs([])).count() == 0
 
 
+def test_bitmap_marks_all_its_keys(spark):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-2**63, 2**63 - 1, 3000)
+    bits = _bitmap(spark.createDataFrame([(int(k),) for k in keys[:1000]], "k long"), "k")
+    found = _marked(bits, keys)
+    assert found[:1000].all() and found[1000:].sum() < 5
+    assert not _marked(_bitmap(spark.createDataFrame([], "k long"), "k"), keys).any()
+
+
 def test_components_of_paths_and_stars(spark):
     rng = np.random.default_rng(0)
     path = rng.permutation(300).tolist()

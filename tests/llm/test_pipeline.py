@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
+from packmill.llm.common import Scratch
 
 EN = "the and of to in that is was for on with as by at from or an be this have".split()
 DE = "der die und das von zu den mit ist des auf für im dem nicht ein eine als auch es".split()
@@ -24,7 +25,7 @@ def test_stages_one_after_the_other(spark, tables):
         result = stage(spark, docs, folder)
         if name != "sharding":
             assert result.columns == docs.columns
-        docs = spark.createDataFrame(result.toPandas().astype(object).where(lambda x: x.notna(), None), result.schema)
+        docs = Scratch(spark).table(result)
         kept[name] = [r.doc_id for r in docs.collect()]
     assert set(kept["language"]) == {r[0] for r in rows} - {300, 301, 302}
     assert sorted(kept["near_copies"]) == [*range(120), 400]
