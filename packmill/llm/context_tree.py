@@ -28,8 +28,8 @@ FREQUENT_WORDS = 150_000
 LONGEST_FREQUENT = 64
 # Stands before and after a text; UTF-8 has no such byte.
 EDGE = 0xFF
-BATCH_BYTES = 4 << 20
-HELD_COUNTS = 400_000
+BATCH_BYTES = 1 << 20
+HELD_COUNTS = 200_000
 
 
 def text_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
