@@ -70,12 +70,13 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def bundled(docs: DataFrame, **columns: Column) -> DataFrame:
-    """Input rows whole in the struct `row`, with the named columns the operator works on.
+def bundled(docs: DataFrame, carry: tuple[str, ...] | None = None, **columns: Column) -> DataFrame:
+    """Input rows whole (or the columns `carry` of them) in the struct `row`, with the named
+    columns the operator works on.
 
     Whatever else the input holds, no name can clash with the operator's own.
     """
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"),
                        *[c.alias(name) for name, c in columns.items()])
 
 

@@ -29,7 +29,7 @@ LONGEST_FREQUENT = 64
 # Stands before and after a text; UTF-8 has no such byte.
 EDGE = 0xFF
 BATCH_BYTES = 1 << 20
-HELD_COUNTS = 200_000
+HELD_COUNTS = 100_000
 
 
 def text_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +217,8 @@ def _scored(shared, depth: int, end: float, end_known: bool):
         table = _GramTable(grams, values)
         for batch in batches:
             texts = [t or b"" for t in utf8(batch.column("text"))]
-            n_tokens, n_known, base, score, rest_words, rest_grams = [], [], [], [], [], []
             for begin, stop in _slices(texts):
+                n_tokens, n_known, base, score, rest_words, rest_grams = [], [], [], [], [], []
                 found, sizes = text_grams(texts[begin:stop], depth)
                 logs, missing = table.look_up(found)
                 starts = np.cumsum(sizes) - sizes
@@ -239,10 +239,12 @@ def _scored(shared, depth: int, end: float, end_known: bool):
                     n_known.append(int(known.sum()) + end_known)
                     base.append(float(logs[known].sum()) + end)
                     rest_words.append([{"word": w, "n": n} for w, n in others.items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(score, pa.float64()), pa.array(rest_words, _REST_WORD), pa.array(rest_grams, _REST_GRAM)],
-                ["row", "n_tokens", "n_known", "base_score", "score", "rest_words", "rest_grams"])
+                part = batch.slice(begin, stop - begin)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("bytes_scored"), pa.array(n_tokens, pa.int64()),
+                     pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
+                     pa.array(rest_words, _REST_WORD), pa.array(rest_grams, _REST_GRAM)],
+                    ["row", "bytes_scored", "n_tokens", "n_known", "base_score", "score", "rest_words", "rest_grams"])
     return scored
 
 
@@ -259,8 +261,9 @@ def _frequent(counts: DataFrame, most: int) -> Column:
 
 
 def score_texts(docs: DataFrame, train: Column | None = None, text: str = "text", depth: int = DEPTH,
-                frequent_grams: int = FREQUENT_GRAMS, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
-    """Documents (struct `row`) with n_tokens, n_known, train_tokens, base_score, score, bytes_scored, bits_per_byte.
+                frequent_grams: int = FREQUENT_GRAMS, frequent_words: int = FREQUENT_WORDS,
+                carry: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents (struct `row`, of the columns `carry` if given) with n_tokens, n_known, train_tokens, base_score, score, bytes_scored, bits_per_byte.
 
     Learns from the rows where `train` holds (all, if not given), a null condition meaning no.
     A null text counts as empty; an empty text still has its end, one token and one byte.
@@ -292,12 +295,11 @@ def score_texts(docs: DataFrame, train: Column | None = None, text: str = "text"
     held = scores.where(_frequent(scores, frequent_grams)).select("gram", "lp").toPandas()
     shared = spark.sparkContext.broadcast((held_words, held["gram"].to_numpy(np.int64).astype(np.uint64),
                                            held["lp"].to_numpy(np.float64)))
-    rows = bundled(docs, text=F.col(text))
+    rows = bundled(docs, carry, text=F.col(text), bytes_scored=F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1)
     end = math.log10(texts + 0.5) - share
     rows = map_batches(rows, _scored(shared, depth, end, texts > 0), extended(
         rows, ["text"], "n_tokens long, n_known long, base_score double, score double, "
                         "rest_words array<struct<word:binary,n:bigint>>, rest_grams array<struct<gram:bigint,n:bigint>>"))
-    rows = rows.withColumn("bytes_scored", F.coalesce(F.octet_length(F.col(f"row.`{text}`")), F.lit(0)) + 1)
     rows = scratch.table(rows.withColumn("rid", F.monotonically_increasing_id()))
 
     rest = rows.select("rid", F.inline("rest_words")).withColumnRenamed("n", "tf").join(
@@ -319,6 +321,6 @@ def score_texts(docs: DataFrame, train: Column | None = None, text: str = "text"
 def op6_context_tree(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = held_out(F.col("doc_id"), 5, 1)
-    found = score_texts(docs, train=~out)
+    found = score_texts(docs, train=~out, carry=("doc_id",))
     return found.select("row.doc_id", held_out(F.col("row.doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known",
                         "train_tokens", "base_score", "score", "bits_per_byte")

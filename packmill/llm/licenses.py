@@ -53,8 +53,8 @@ def _phrase(joined, n_words, phrase: str):
 
 
 def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None,
-                  threshold: float = THRESHOLD) -> DataFrame:
-    """Documents (struct `row`) with n_words, n_base, first_word, last_word, base_labels, labels, score.
+                  threshold: float = THRESHOLD, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents (struct `row`, of the columns `carry` if given) with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: places where the words of a phrase of PHRASES stand consecutively in the whole
     text.  labels adds each template of which one line holds at least `threshold` of the
@@ -68,7 +68,7 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
     vocabulary = sorted({w for words in sets.values() for w in words})
     known = F.array(*[F.lit(w) for w in vocabulary])
 
-    base = bundled(docs, lower=lower_ascii(F.coalesce(F.col(text), F.lit("")))).select(
+    base = bundled(docs, carry, lower=lower_ascii(F.coalesce(F.col(text), F.lit("")))).select(
         "row", F.transform(F.split("lower", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0))).alias("lines"),
         F.contains("lower", F.lit("license")).alias("maybe"))
     base = base.select(
@@ -125,7 +125,7 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
 
 def op2_prefix_filter(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find_licenses(docs).select("row.doc_id", "n_words", "n_base", "first_word", "last_word",
+    return find_licenses(docs, carry=("doc_id",)).select("row.doc_id", "n_words", "n_base", "first_word", "last_word",
                                       "base_labels", "labels", "score")
 
 

@@ -149,8 +149,9 @@ def least_bin(counts: np.ndarray, rate: float) -> int:
     return bins
 
 
-def find_secrets(docs: DataFrame, text: str = "text", rate: float = FALSE_RATE) -> DataFrame:
-    """Documents (struct `row`) with base and spans: arrays of start, kind (place in KINDS), end.
+def find_secrets(docs: DataFrame, text: str = "text", rate: float = FALSE_RATE,
+                 carry: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents (struct `row`, of the columns `carry` if given) with base and spans: arrays of start, kind (place in KINDS), end.
 
     Places are code points, ends exclusive; both arrays are ordered by start, then kind.
     spans has those of base and tokens that count as random at the false discovery rate of
@@ -159,7 +160,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rate: float = FALSE_RATE)
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = bundled(docs, text=F.col(text))
+    rows = bundled(docs, carry, text=F.col(text))
     span = "start:bigint,kind:int,`end`:bigint"
     rows = scratch.table(map_batches(rows, _scan, extended(
         rows, ["text"], f"base array<struct<{span}>>, tokens array<struct<{span},class:int,bin:int,p:double>>")))
@@ -181,5 +182,5 @@ def op8_randomness_tests(spark, sf_dir: str) -> DataFrame:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
     counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}")
               for k, kind in enumerate(KINDS[:3])]
-    return find_secrets(docs).select("row.doc_id", *counts, F.sha2(written("base").cast("binary"), 256).alias("base_sha256"),
+    return find_secrets(docs, carry=("doc_id",)).select("row.doc_id", *counts, F.sha2(written("base").cast("binary"), 256).alias("base_sha256"),
                                      written("spans").alias("spans"))
