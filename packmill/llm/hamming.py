@@ -72,7 +72,9 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, bit
         every = probes[0]
         for p in probes[1:]:
             every = every.union(p)
-        met = every.select("query", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("value")).join(index, ["seg", "value"])
+        # Spark would take the probes for as small as the queries they are made of, and broadcast them
+        every = every.select("query", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("value")).hint("merge")
+        met = every.join(index, ["seg", "value"])
         met = met.select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"), "code", "n", "first")
         met = (met if best is None else met.union(best.join(active, "query"))).distinct()
         found = scratch.table(_least(met, ["query"], ["distance", "first", "code"], k + 1))
