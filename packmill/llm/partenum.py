@@ -265,8 +265,9 @@ class _Join:
         return pairs.select("x", "y").distinct()
 
 
-def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """Documents (struct `row`) with n_shingles and component_id, by links of Jaccard >= 0.9.
+def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
+                  carry: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents (struct `row`, of the columns `carry` if given) with n_shingles and component_id, by links of Jaccard >= 0.9.
 
     Tokens are runs between ASCII white space with A-Z lower-cased; a document's set has its
     distinct shingles of `width` tokens, or the whole sequence if it has fewer.  Null texts
@@ -279,7 +280,7 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = bundled(docs, text=F.col(text), th=F.xxhash64(F.col(text))).withColumn("id", F.col(f"row.`{key}`"))
+    rows = bundled(docs, carry, text=F.col(text), th=F.xxhash64(F.col(text)), id=F.col(key))
     signed = extended(rows, ["text"], "n long, fp1 long, fp2 long, signs array<bigint>, sketch array<bigint>")
     rows = scratch.table(map_batches(rows, _signed(width), signed).withColumn("rid", F.monotonically_increasing_id()))
     own = ["fp1", "fp2", "n"]
@@ -307,6 +308,7 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     roots = classes.join(state.roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = roots.groupBy("root").agg(F.min("least").alias("first"))
     named = scratch.table(roots.drop("least").join(least, "root").select(*own, "first"))
+    scratch.drop(classes, often, shared, taking, sets, state.links)
     return rows.select("row", "id", "rid", *own).join(named, own, "left").select(
         "row", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
@@ -315,7 +317,7 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
 
 def op10_partenum(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return join_shingles(docs).select("row.doc_id", "n_shingles", "component_id")
+    return join_shingles(docs, carry=("doc_id",)).select("row.doc_id", "n_shingles", "component_id")
 
 
 OP10_SQL = r"""
