@@ -1,9 +1,10 @@
 """License notices: phrases at consecutive words, and an exact containment join with templates.
 
-The join is a set-similarity join between the lines of all texts and license templates.
-Tokens are ordered by their frequency over all lines, rarest first.  A line can hold
-`threshold` of a template's tokens only if it shares a token of the template's prefix in
-that order; length and positions rule out further pairs before tokens are compared.
+The join is a set-similarity join between blocks of all texts and license templates.  Blocks
+are lines, or windows of consecutive words that no line break ends.  Tokens are ordered by
+their frequency over all blocks, rarest first.  A block can hold `threshold` of a template's
+tokens only if it shares a token of the template's prefix in that order; length and
+positions rule out further pairs before tokens are compared.
 """
 
 import math
@@ -52,31 +53,64 @@ def _phrase(joined, n_words, phrase: str):
                     F.when(places > 0, last).cast("long").alias("last"))
 
 
+def _windows(words, n_words, length: int):
+    """Windows of 2 * length words at every length / 2 words: what lies in 1.5 * length words
+    stands whole in one of them, and none holds words further apart than 2 * length."""
+    width, step = 2 * length, (length + 1) // 2
+    steps = F.ceil(F.greatest(n_words - width, F.lit(0)) / F.lit(step)).cast("int")
+    return F.transform(F.sequence(F.lit(0), steps), lambda k: F.slice(words, k * step + 1, F.lit(width)))
+
+
 def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None,
-                  threshold: float = THRESHOLD, carry: tuple[str, ...] | None = None) -> DataFrame:
+                  threshold: float = THRESHOLD, carry: tuple[str, ...] | None = None,
+                  windows: bool = False) -> DataFrame:
     """Documents (struct `row`, of the columns `carry` if given) with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: places where the words of a phrase of PHRASES stand consecutively in the whole
     text.  labels adds each template of which one line holds at least `threshold` of the
-    distinct words; score is the largest such share, 0 without one.  A null text counts as
+    distinct words; score is the largest such share, 0 without one.  With `windows` the words
+    of the whole text count and not its lines: for each template, windows of twice its words
+    at every half of them, so a notice may be wrapped anywhere, and words that are scattered
+    over a long line are none.  A null text counts as
     empty: no words, no places, no labels.  Rows that repeat are scored one by one.  The
     templates are broadcast; they are an argument, not data.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sets = {label: list(dict.fromkeys(words.split())) for label, words in (templates or TEMPLATES).items()}
+    # lines are compared with all templates, windows with the templates of their length
+    lengths = {label: len(words.split()) if windows else 0 for label, words in (templates or TEMPLATES).items()}
+    needs = {label: math.ceil(threshold * len(words) - 1e-9) for label, words in sets.items()}
     vocabulary = sorted({w for words in sets.values() for w in words})
     known = F.array(*[F.lit(w) for w in vocabulary])
 
+    def tokens(words):
+        return F.array_intersect(words, known)
+
+    def blocks_of_lines(lines):
+        return F.transform(lines, lambda ws: F.struct(F.lit(0).alias("length"), tokens(ws).alias("tokens")))
+
+    def blocks_of_windows(words):
+        # only texts that hold enough words of a template of this length anywhere are cut
+        return F.concat(*[F.when(
+            F.greatest(*[(F.size(F.array_intersect("held", F.array(*map(F.lit, sets[x])))) >= needs[x]).cast("int")
+                         for x in sets if lengths[x] == length], F.lit(0)) > 0,
+            F.transform(_windows(words, F.size(words), length), lambda ws: F.struct(
+                F.lit(length).alias("length"), tokens(ws).alias("tokens"))))
+            .otherwise(F.array().cast("array<struct<length:int,tokens:array<string>>>"))
+            for length in sorted(set(lengths.values()))])
+
+    found_words = lambda part: F.regexp_extract_all(part, F.lit(WORD), F.lit(0))
     base = bundled(docs, carry, lower=lower_ascii(F.coalesce(F.col(text), F.lit("")))).select(
-        "row", F.transform(F.split("lower", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0))).alias("lines"),
+        "row", (F.array(found_words(F.col("lower"))) if windows else F.transform(F.split("lower", "\n"), found_words)).alias("lines"),
         F.contains("lower", F.lit("license")).alias("maybe"))
+    if windows:
+        base = base.withColumn("held", tokens(F.col("lines")[0]))
     base = base.select(
         "row", F.aggregate("lines", F.lit(0).cast("long"), lambda n, ws: n + F.size(ws)).alias("n_words"),
         F.when(F.col("maybe"), F.concat(F.lit(" "), F.concat_ws(" ", F.flatten("lines")), F.lit(" "))).alias("joined"),
-        F.filter(F.transform("lines", lambda ws: F.struct(
-            F.size(F.array_distinct(ws)).alias("size"), F.array_intersect(ws, known).alias("tokens"))),
-            lambda b: F.size(b["tokens"]) > 0).alias("blocks"))
+        F.filter(blocks_of_windows(F.col("lines")[0]) if windows else blocks_of_lines(F.col("lines")),
+                 lambda b: F.size(b["tokens"]) > 0).alias("blocks"))
     found = F.array(*[_phrase(F.col("joined"), F.col("n_words"), p) for p, _ in PHRASES])
     base = base.withColumn("found", F.when(F.col("joined").isNotNull(), found)).select(
         "row", "n_words", "blocks",
@@ -95,21 +129,22 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
     prefixes = []
     for label, words in sets.items():
         order = sorted(rank[w] for w in words)
-        need = math.ceil(threshold * len(order) - 1e-9)
-        prefixes += [F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, order)).alias("template"),
+        need = needs[label]
+        prefixes += [F.struct(F.lit(label).alias("label"), F.lit(lengths[label]).alias("length"),
+                              F.array(*map(F.lit, order)).alias("template"),
                               F.lit(need).alias("need"), F.lit(i).alias("i"), F.lit(order[i]).alias("token"))
                      for i in range(len(order) - need + 1)]
     index = spark.range(1).select(F.inline(F.array(*prefixes)))
 
-    least = min(math.ceil(threshold * len(words) - 1e-9) for words in sets.values())
+    least = min(needs.values())
     blocks = (base.select("rid", F.explode("blocks").alias("b"))
-              .select("rid", "b.size", F.array_sort(F.transform("b.tokens", lambda t: ranks[t])).alias("line"))
-              .where((F.size("line") >= least) & (F.col("size") >= least))
+              .select("rid", "b.length", F.array_sort(F.transform("b.tokens", lambda t: ranks[t])).alias("line"))
+              .where(F.size("line") >= least)
               .withColumn("m", F.size("line")))
     # the line's own prefix: its rarest tokens up to the least number that any template needs
     probes = blocks.select("*", F.posexplode(F.slice("line", F.lit(1), F.col("m") - least + 1)).alias("j", "token"))
     common = F.size(F.array_intersect("line", "template"))
-    matches = (probes.join(F.broadcast(index), "token")
+    matches = (probes.join(F.broadcast(index), ["token", "length"])
                .where((F.col("m") >= F.col("need")) & (F.col("j") <= F.col("m") - F.col("need"))
                       & (1 + F.least(F.size("template") - F.col("i") - 1, F.col("m") - F.col("j") - 1) >= F.col("need")))
                .withColumn("common", common).where(F.col("common") >= F.col("need"))
@@ -123,10 +158,20 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
         F.coalesce("best", F.lit(0.0)).alias("score"))
 
 
-def op2_prefix_filter(spark, sf_dir: str) -> DataFrame:
+def _query(spark, sf_dir: str, windows: bool) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find_licenses(docs, carry=("doc_id",)).select("row.doc_id", "n_words", "n_base", "first_word", "last_word",
-                                      "base_labels", "labels", "score")
+    return find_licenses(docs, carry=("doc_id",), windows=windows).select(
+        "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op2_prefix_filter(spark, sf_dir: str) -> DataFrame:
+    """Blocks are lines, as OP2_SQL has them."""
+    return _query(spark, sf_dir, windows=False)
+
+
+def op2_word_windows(spark, sf_dir: str) -> DataFrame:
+    """The same columns with notices found wherever lines break."""
+    return _query(spark, sf_dir, windows=True)
 
 
 def _sql() -> str:

@@ -4,7 +4,7 @@ from packmill.llm.context_tree import op6_context_tree
 from packmill.llm.decontaminate import OP9_SQL, op9_wu_manber
 from packmill.llm.hamming import OP5_SQL, op5_multi_index_hashing
 from packmill.llm.language import op1_crf
-from packmill.llm.licenses import OP2_SQL, op2_prefix_filter
+from packmill.llm.licenses import OP2_SQL, op2_prefix_filter, op2_word_windows
 from packmill.llm.mixing import op4_entropy_balancing
 from packmill.llm.partenum import OP10_SQL, op10_partenum
 from packmill.llm.personal import op7_boosted_trees
@@ -14,6 +14,7 @@ from packmill.llm.sharding import op3_hilbert
 QUERIES = {
     "op1_crf": op1_crf,
     "op2_prefix_filter": op2_prefix_filter,
+    "op2_word_windows": op2_word_windows,
     "op3_hilbert": op3_hilbert,
     "op4_entropy_balancing": op4_entropy_balancing,
     "op5_multi_index_hashing": op5_multi_index_hashing,

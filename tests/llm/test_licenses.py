@@ -3,7 +3,7 @@ import re
 import duckdb
 import pytest
 
-from packmill.llm.licenses import OP2_SQL, TEMPLATES, THRESHOLD, find_licenses, op2_prefix_filter
+from packmill.llm.licenses import OP2_SQL, TEMPLATES, THRESHOLD, find_licenses, op2_prefix_filter, op2_word_windows
 
 ROWS = [
     (1, "Released under the MIT License."), (2, "mit license mit license, Apache\n\nLICENSE general public license"),
@@ -59,3 +59,42 @@ def test_query_equals_sql_and_keeps_empty_tables(spark, tables):
 
 def test_empty_table(docs):
     assert find_licenses(docs([])).count() == 0
+
+
+def wrapped(words, width, mark):
+    return "\n".join(f"{mark} " + " ".join(words[k:k + width]) for k in range(0, len(words), width))
+
+
+def by_windows(text):
+    """Labels and best share by the windows as stated, without any filter."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    best, labels = 0.0, set()
+    for label, t in TEMPLATES.items():
+        t = t.split()
+        step = (len(t) + 1) // 2
+        for k in range(0, max(len(w) - 2 * len(t), 0) + step, step):
+            share = len(set(w[k:k + 2 * len(t)]) & set(t)) / len(set(t))
+            if share >= THRESHOLD - 1e-9:
+                labels.add(label)
+                best = max(best, share)
+    return labels, best
+
+
+def test_windows_find_wrapped_notices_and_no_scattered_words(spark, docs, tables):
+    rows = []
+    for k, (label, words) in enumerate(TEMPLATES.items()):
+        for lead in (0, 1, 7, 40, 900):
+            rows.append((1000 * k + lead, "word " * lead + wrapped(words.split(), 4, " *") + "\n * and more" * 9))
+        rows.append((1000 * k + 1, " ".join(f"{w} " + "other " * 60 for w in words.split())))
+    rows += [(None, None), (-1, "")]
+    labels = list(TEMPLATES)
+    for r in find_licenses(docs(rows), windows=True).collect():
+        found, best = by_windows(r.row.text)
+        assert set(filter(None, r.labels.split(","))) - set(r.base_labels.split(",")) == found - set(r.base_labels.split(","))
+        assert r.score == pytest.approx(best)
+        if r.row.text and "other" in r.row.text:
+            assert r.score == 0
+        elif r.row.text:
+            assert labels[r.row.doc_id // 1000] in r.labels.split(",") and r.score == 1
+    assert op2_word_windows(spark, tables(rows)).count() == len(rows)
+    assert find_licenses(docs([]), windows=True).count() == 0
