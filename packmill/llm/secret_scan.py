@@ -5,9 +5,10 @@ alphanumeric, base 64).  Under the hypothesis that its characters are drawn at r
 chi-squared test of the alphabet's uniformity, a runs test about the middle of the alphabet
 and a test of the serial correlation give p-values; the least, times their number, counts.
 Random tokens have p-values spread evenly, written ones p-values near zero.  Per encoding
-and class of length, the tokens of the whole corpus are counted by p-value, the share of
-random ones is estimated from the upper half, and the least threshold is taken from which
-on the expected share of false discoveries stays below the wanted rate.
+and class of length, the distinct tokens of the whole corpus are counted by p-value (copies
+of one token are one draw), the share of random ones is estimated from the upper half, and
+the least threshold is taken from which on the expected share of false discoveries stays
+below the wanted rate.  All occurrences of a token then meet the threshold.
 """
 
 import math
@@ -15,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from packmill.llm.common import Scratch, bundled, extended, map_batches
@@ -124,11 +126,13 @@ def _scan(batches):
                         size = sum(len(run[0].rstrip("=")) >= n for n in LENGTHS)
                         rest.append({"start": run.start(), "kind": 3, "end": run.end(),
                                      "class": ENCODINGS.index(encoding) * (len(LENGTHS) + 1) + size,
-                                     "bin": min(BINS - 1, int(p * BINS)), "p": p})
+                                     "bin": min(BINS - 1, int(p * BINS)), "p": p,
+                                     "hash": xxhash.xxh3_64_intdigest(run[0].rstrip("=")) - (1 << 63)})
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in sorted((s, k, e) for k, s, e in found)])
             tokens.append(rest)
         span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-        token = pa.struct([*span, ("class", pa.int32()), ("bin", pa.int32()), ("p", pa.float64())])
+        token = pa.struct([*span, ("class", pa.int32()), ("bin", pa.int32()), ("p", pa.float64()),
+                           ("hash", pa.int64())])
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(base, pa.list_(span)), pa.array(tokens, pa.list_(token))],
                                          ["row", "base", "tokens"])
 
@@ -155,19 +159,20 @@ def find_secrets(docs: DataFrame, text: str = "text", rate: float = FALSE_RATE,
 
     Places are code points, ends exclusive; both arrays are ordered by start, then kind.
     spans has those of base and tokens that count as random at the false discovery rate of
-    their encoding and length, over all rows (repeated ones as often as they stand).  A null
-    text counts as empty.  Tokens that overlap a base span are not tested.
+    their encoding and length, over the distinct tokens of all rows (a token counts once however
+    often it stands).  A null text counts as empty.  Tokens that overlap a base span are not tested.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = bundled(docs, carry, text=F.col(text))
     span = "start:bigint,kind:int,`end`:bigint"
     rows = scratch.table(map_batches(rows, _scan, extended(
-        rows, ["text"], f"base array<struct<{span}>>, tokens array<struct<{span},class:int,bin:int,p:double>>")))
-    # at most one row per class and bin
+        rows, ["text"], f"base array<struct<{span}>>, tokens array<struct<{span},class:int,bin:int,p:double,hash:bigint>>")))
     classes = len(ENCODINGS) * (len(LENGTHS) + 1)
     counts = np.zeros((classes, BINS), np.int64)
-    for r in rows.select(F.explode("tokens").alias("t")).groupBy("t.class", "t.bin").count().collect():
+    distinct = rows.select(F.explode("tokens").alias("t")).select("t.class", "t.bin", "t.hash").distinct()
+    # at most one row per class and bin
+    for r in distinct.groupBy("class", "bin").count().collect():
         counts[r["class"], r["bin"]] = r["count"]
     least = F.array(*[F.lit(least_bin(counts[k], rate)) for k in range(classes)])
     chosen = F.transform(F.filter("tokens", lambda t: t["bin"] >= F.get(least, t["class"])), lambda t: F.struct(

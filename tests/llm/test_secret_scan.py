@@ -97,3 +97,30 @@ def test_query(spark, tables):
         expected = [plain(t) for t in texts[r.doc_id]]
         assert (r.n_assign, r.n_access, r.n_hex) in [tuple(sum(k == j for _, k, _ in x) for j in range(3)) for x in expected]
         assert r.base_sha256 in [hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in x).encode()).hexdigest() for x in expected]
+
+
+def tokens_in_bins(rng, wanted):
+    """Tokens of 30 bytes in base 64 by the bin of their p-value, `wanted` (bin: number) of them."""
+    found = {k: [] for k in wanted}
+    while any(len(found[k]) < n for k, n in wanted.items()):
+        token = base64.b64encode(rng.randbytes(30)).decode()
+        if encoding_of(token) == "base64":
+            k = min(BINS - 1, int(randomness(token, "base64") * BINS))
+            if k in found and len(found[k]) < wanted[k]:
+                found[k].append(token)
+    return found
+
+
+def test_copies_of_one_secret_are_one_draw(docs):
+    rng = random.Random(5)
+    found = tokens_in_bins(rng, {k: 3 for k in range(1, BINS) if k % 10 == 5 or k < 3})
+    tokens = [t for k in sorted(found) for t in found[k]]
+    rows = [(k, f"some words {t} here") for k, t in enumerate(tokens)]
+    chosen = lambda rs: {r.row.doc_id: len(r.spans) for r in find_secrets(docs(rs)).collect()}
+    once = chosen(rows)
+    assert sum(once.values()) > len(rows) / 2
+    copied = found[15][0]
+    more = chosen(rows + [(1000 + k, f"copy {k}: {copied} here") for k in range(300)])
+    # a group of copies moves nobody's threshold, and each copy gets what its token gets
+    assert {k: n for k, n in more.items() if k < 1000} == once
+    assert {n for k, n in more.items() if k >= 1000} == {once[tokens.index(copied)]}
