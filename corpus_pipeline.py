@@ -17,6 +17,8 @@ from packmill.llm.sharding import hilbert_shards
 
 # A document stays if at least so large a share of its words is expected in one language.
 LEAST_SCORE = 0.5
+# Near copies share four fifths of their shingles of five words.
+SHINGLE_WORDS, SHARED_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return unbundled(join_shingles(docs).where("keep"))
+    return unbundled(join_shingles(docs, width=SHINGLE_WORDS, percent=SHARED_PERCENT).where("keep"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

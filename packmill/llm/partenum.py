@@ -1,10 +1,11 @@
 """Jaccard join of word shingle sets by PartEnum signatures, and its components.
 
-Two sets of similar size whose Jaccard similarity is at least 0.9 differ in few features:
-with u and v features, in at most (u + v) / 19.  Sets of one size band therefore get
-signatures from a common scheme: the feature domain is cut into n1 first-level parts, of
-which one holds at most one difference, and each of these into n2 second-level parts, of
-which all subsets of n2 - 1 are enumerated; one of these subsets agrees in both sets.
+Two sets of similar size whose Jaccard similarity is at least p percent differ in few features:
+with u and v features, in at most (u + v) * (100 - p) / (100 + p), a 19th at 90 and a 9th at 80.
+Sets of one size band therefore get signatures from a common scheme: the feature domain is cut
+into n1 first-level parts, of which one holds at most one difference, and each of these into n2
+second-level parts, of which all subsets of n2 - 1 are enumerated; one of these subsets agrees
+in both sets.
 
 Equal sets are one class and only its first row takes part.  What shares a signature is a
 candidate; a sketch whose distance never exceeds that of the sets drops most of those
@@ -24,10 +25,12 @@ from packmill.llm.common import Scratch, bundled, extended, map_batches, tokens_
 from packmill.llm.components import components
 
 WIDTH = 3
-# A pair links if 100 * intersection >= 90 * union, that is if it differs in at most (u + v) / 19 features.
-DIFFERENCE = 19
+# A pair links if 100 * intersection >= PERCENT * union.
+PERCENT = 90
 # Up to this many differences, two of three second-level parts make a signature; above it, one of two.
 SMALL = 24
+# Below this threshold parts have so few features that it is always two of three.
+LEAST_HALVED = 90
 SKETCH = 512
 CACHED_WORDS = 400_000
 RECENT_TEXTS = 100_000
@@ -64,30 +67,31 @@ def shingle_set(words: list[bytes], hashes: dict, width: int = WIDTH) -> np.ndar
     return np.unique(value)
 
 
-def size_bands(size: int) -> list[tuple[int, int]]:
+def size_bands(size: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """(band, most differences) of the schemes a set of `size` features takes part in.
 
-    A band reaches from its first size to 1/0.81 of it.  A pair meets in the band of the
-    larger set, so a set also takes part in the next band if that begins within its reach.
+    A band reaches from its first size to 1/p^2 of it (1/0.81 at 90 percent).  A pair meets in the
+    band of the larger set, so a set also takes part in the next band if that begins within its reach.
     """
+    def last(first: int) -> int:
+        return first * 10_000 // percent ** 2
+
     band, first = 0, 1
-    while True:
-        after = first * 100 // 81 + 1
-        if size < after:
-            break
-        band, first = band + 1, after
-    found = [(band, 2 * (after - 1) // DIFFERENCE)]
-    if 100 * size >= 90 * after:
-        found.append((band + 1, 2 * (after * 100 // 81) // DIFFERENCE))
+    while size > last(first):
+        band, first = band + 1, last(first) + 1
+    after = last(first) + 1
+    found = [(band, 2 * last(first) * (100 - percent) // (100 + percent))]
+    if 100 * size >= percent * after:
+        found.append((band + 1, 2 * last(after) * (100 - percent) // (100 + percent)))
     return found
 
 
-def signatures(features: np.ndarray, bands: list[tuple[int, int]]) -> np.ndarray:
+def signatures(features: np.ndarray, bands: list[tuple[int, int]], percent: int = PERCENT) -> np.ndarray:
     out = []
     for band, most in bands:
         if not most:
             continue  # only equal sets link, and these are one class
-        n1, n2 = (most + 2) // 2, 3 if most <= SMALL else 2
+        n1, n2 = (most + 2) // 2, 3 if most <= SMALL or percent < LEAST_HALVED else 2
         seed = _mix(np.array([band + 1], np.uint64))
         place = _mix(features ^ seed)
         cell = (place >> np.uint64(33)) % np.uint64(n1) * np.uint64(n2) + (place & np.uint64(0xFFFF)) % np.uint64(n2)
@@ -114,7 +118,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _signed(width: int):
+def _signed(width: int, percent: int):
     def signed(batches):
         hashes = _WordHashes()
         for batch in batches:
@@ -124,7 +128,7 @@ def _signed(width: int):
                 sizes.append(len(found))
                 one.append(int(_mix(found).sum(dtype=np.uint64).astype(np.int64)))
                 two.append(int(_mix(found * _B).sum(dtype=np.uint64).astype(np.int64)))
-                signs.append(signatures(found, size_bands(len(found))))
+                signs.append(signatures(found, size_bands(len(found), percent), percent))
                 sketches.append(sketch(found))
             yield pa.RecordBatch.from_arrays(
                 [*[c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"],
@@ -195,17 +199,18 @@ def _apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH // 64)), F.lit(0))
 
 
-def _near(n: str, m: str) -> Column:
+def _near(n: str, m: str, apart: Column, percent: int) -> Column:
     """Whether sizes and sketches leave it open that a pair links."""
-    fits = (100 * F.least(n, m) >= 90 * F.greatest(n, m))
-    return fits & (DIFFERENCE * F.col("apart") <= F.col(n) + F.col(m))
+    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    return fits & ((100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m)))
 
 
 class _Join:
     """The state of one call: candidate rows, their sets, components so far."""
 
-    def __init__(self, scratch: Scratch, rows: DataFrame, shared: DataFrame, sets: DataFrame):
+    def __init__(self, scratch: Scratch, rows: DataFrame, shared: DataFrame, sets: DataFrame, percent: int):
         self.scratch, self.rows, self.shared, self.sets = scratch, rows, shared, sets
+        self.percent = percent
         self.links = None
         self.roots = None
 
@@ -214,7 +219,7 @@ class _Join:
         left, right = (self.sets.select(F.col("rid").alias(c), F.col("set").alias(f"{c}_set")) for c in ("x", "y"))
         same = F.size(F.array_intersect("x_set", "y_set"))
         union = F.size("x_set") + F.size("y_set") - same
-        links = (pairs.join(left, "x").join(right, "y").where(100 * same >= 90 * union)
+        links = (pairs.join(left, "x").join(right, "y").where(100 * same >= self.percent * union)
                  .select(F.col("x").alias("a"), F.col("y").alias("b")))
         if self.links is not None:
             links = links.union(self.links)
@@ -236,7 +241,7 @@ class _Join:
         pairs = pairs.distinct()
         info = self.rows.select("rid", "n", "sketch")
         pairs = pairs.join(info.toDF("x", "xn", "xs"), "x").join(info.toDF("y", "yn", "ys"), "y")
-        pairs = pairs.withColumn("apart", _apart("xs", "ys")).where(_near("xn", "yn"))
+        pairs = pairs.withColumn("apart", _apart("xs", "ys")).where(_near("xn", "yn", F.col("apart"), self.percent))
         return pairs.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
 
     def around_leaders(self, order: Column) -> DataFrame:
@@ -257,8 +262,7 @@ class _Join:
                                                F.col("n").alias("xn"), F.col("sketch").alias("xs"))
         rest = rows.select("sign", F.col("rid").alias("y"), F.col("root").alias("y_root"), F.col("n").alias("yn"),
                            F.col("sketch").alias("ys"), "top")
-        near = (100 * F.least("xn", "yn") >= 90 * F.greatest("xn", "yn")) & (
-            DIFFERENCE * _apart("xs", "ys") <= F.col("xn") + F.col("yn"))
+        near = _near("xn", "yn", _apart("xs", "ys"), self.percent)
         # between two smaller components each pair is met from one side
         pairs = few.join(rest, "sign").where(
             (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("top")) | (F.col("x") < F.col("y"))) & near)
@@ -266,8 +270,9 @@ class _Join:
 
 
 def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
-                  carry: tuple[str, ...] | None = None) -> DataFrame:
-    """Documents (struct `row`, of the columns `carry` if given) with n_shingles and component_id, by links of Jaccard >= 0.9.
+                  carry: tuple[str, ...] | None = None, percent: int = PERCENT) -> DataFrame:
+    """Documents (struct `row`, of the columns `carry` if given) with n_shingles and component_id, by links of
+    Jaccard >= `percent` / 100 (a whole number from 1 to 99).
 
     Tokens are runs between ASCII white space with A-Z lower-cased; a document's set has its
     distinct shingles of `width` tokens, or the whole sequence if it has fewer.  Null texts
@@ -277,12 +282,14 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     ids are rows of one component like other copies.  keep marks one row of each component,
     one of the smallest id, and all rows without shingles.
     """
+    if percent not in range(1, 100):
+        raise ValueError("percent is a whole number from 1 to 99")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
     rows = bundled(docs, carry, text=F.col(text), th=F.xxhash64(F.col(text)), id=F.col(key))
     signed = extended(rows, ["text"], "n long, fp1 long, fp2 long, signs array<bigint>, sketch array<bigint>")
-    rows = scratch.table(map_batches(rows, _signed(width), signed).withColumn("rid", F.monotonically_increasing_id()))
+    rows = scratch.table(map_batches(rows, _signed(width, percent), signed).withColumn("rid", F.monotonically_increasing_id()))
     own = ["fp1", "fp2", "n"]
 
     least = F.min(F.struct(F.col("id").isNull().alias("without"), "id", F.col("rid").alias("at")))
@@ -300,7 +307,7 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     sets = texts.join(taking.select("rid", "th"), "th").select("rid", "text")
     sets = scratch.table(map_batches(sets, _sets(width), extended(sets, ["text"], "`set` array<bigint>")).dropDuplicates(["rid"]))
 
-    state = _Join(scratch, taking, shared, sets)
+    state = _Join(scratch, taking, shared, sets, percent)
     state.decide(state.around_leaders(F.col("rid")).union(state.around_leaders(F.xxhash64("rid"))))
     state.decide(state.around_leaders(F.xxhash64("root", "rid")))
     state.decide(state.across())

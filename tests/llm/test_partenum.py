@@ -124,3 +124,18 @@ def test_query(spark, tables):
     rows = family(3, sizes=(40,), copies=10)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op10_partenum(spark, tables(rows)).collect()}
     assert got == {r[0]: e for r, e in zip(rows, brute(rows), strict=True)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(2, 900), st.integers(0, 2**31), st.sampled_from([50, 80, 95]))
+def test_sets_share_a_signature_at_any_threshold(size, seed, percent):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+    b = np.delete(a, rng.choice(len(a), rng.integers(0, len(a) * (100 - percent) // 100 + 1), replace=False))
+    room = len(b) * 100 // percent - len(a)
+    if room > 0:
+        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, rng.integers(0, room + 1)).astype(np.uint64)]))
+    same = len(np.intersect1d(a, b))
+    if len(a) + len(b) > 2 * same and 100 * same >= percent * (len(a) + len(b) - same):
+        one, two = (set(signatures(s, size_bands(len(s), percent), percent).tolist()) for s in (a, b))
+        assert one & two

@@ -39,3 +39,24 @@ def test_stages_one_after_the_other(spark, tables):
 def test_run_and_empty_table(spark, tables):
     folder = tables([], benchmark=pa.table({"item_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}))
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_near_copies_between_four_fifths_and_nine_tenths(spark, tables):
+    rng = np.random.default_rng(2)
+    shingles = lambda t: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)}
+    rows, pairs = [], []
+    for k, size in enumerate([60, 150, 400, 900, 2000]):
+        words = [f"w{rng.integers(10_000)}" for _ in range(size)]
+        for part, low, high in ((20, 0.6, 0.8), (50, 0.8, 0.9)):
+            other = list(words)
+            for at in range(2, size - 8, part):  # five shingles have each of the changed words
+                other[at] = f"x{rng.integers(10_000)}"
+            one, two = shingles(" ".join(words)), shingles(" ".join(other))
+            share = len(one & two) / len(one | two)
+            assert low <= share < high
+            rows += [(100 * k + part, " ".join(words)), (100 * k + part + 1, " ".join(other))]
+            pairs.append((100 * k + part, share >= 0.8))
+            words = [f"w{rng.integers(10_000)}" for _ in range(size)]
+    docs = spark.read.parquet(f"{tables(rows)}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, None).collect()}
+    assert kept == {a for a, _ in pairs} | {a + 1 for a, near in pairs if not near}
