@@ -1,25 +1,29 @@
-"""Jaccard join of word shingle sets by PartEnum signatures, and its components.
+"""Jaccard join of word shingle sets by PartEnum signatures, its links and components.
 
 Two sets of similar size whose Jaccard similarity is at least p percent differ in few features:
 with u and v features, in at most (u + v) * (100 - p) / (100 + p), a 19th at 90 and a 9th at 80.
 Sets of one size band therefore get signatures from a common scheme: the feature domain is cut
-into n1 first-level parts, of which one holds at most one difference, and each of these into n2
-second-level parts, of which all subsets of n2 - 1 are enumerated; one of these subsets agrees
-in both sets.
+into n1 first-level parts, and each of these into n2 second-level parts, of which all subsets of
+n2 - 1 are enumerated.  k differences spoil at most k / 2 first-level parts; in any other, which holds
+one at most, one of the subsets agrees in both sets.
 
-Equal sets are one class and only its first row takes part.  What shares a signature is a
+A subset that holds no feature of a set says nothing, and would be shared by sets that have nothing in
+common.  There are more first-level parts than needed, so that a set may leave out the empty subsets: as long as it
+has no more parts with one than there are parts to spare, a part remains in which the pair agrees in
+features.  Only sets with more of them, small ones, keep theirs.
+
+Equal sets are one class and only one of them takes part.  What shares a signature is a
 candidate; a sketch whose distance never exceeds that of the sets drops most of those
-that are too far apart, and the sets themselves decide.  Components need no more links
-than join them: candidates are first taken around one or two leaders of each signature,
-then between the components that still share a signature, until all such candidates have
-been decided.  So no group of copies is paired off completely, and no link that joins
-different components is lost.
+that are too far apart, and the sets themselves decide.  Components come first: candidates are taken
+around one or two leaders of each signature, then between the components that still share a
+signature, until all such candidates have been decided.  All links lie within components; there the
+classes are compared chunk by chunk, which gives every class its number of links without a row per pair.
 """
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packmill.llm.common import Scratch, bundled, extended, map_batches, tokens_of, utf8
 from packmill.llm.components import components
@@ -31,9 +35,15 @@ PERCENT = 90
 SMALL = 24
 # Below this threshold parts have so few features that it is always two of three.
 LEAST_HALVED = 90
+# One in so many first-level parts is to spare, at this threshold and above, and below it.
+SPARE, SPARE_BELOW = 20, 6
 SKETCH = 512
 CACHED_WORDS = 400_000
 RECENT_TEXTS = 100_000
+# classes and features of a chunk of a component; two chunks are compared at a time
+CHUNK, CHUNK_FEATURES = 512, 500_000
+# pairs of two chunks up to this number are compared one by one, more by products of matrices
+FEW_PAIRS, SLAB = 2000, 4096
 # bits of the bitmaps that thin out rows before a join; their size is fixed (2 MB), so they help less as
 # more keys are marked, and never change a result
 MARKS = 1 << 24
@@ -70,19 +80,20 @@ def shingle_set(words: list[bytes], hashes: dict, width: int = WIDTH) -> np.ndar
 def size_bands(size: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """(band, most differences) of the schemes a set of `size` features takes part in.
 
-    A band reaches from its first size to 1/p^2 of it (1/0.81 at 90 percent).  A pair meets in the
-    band of the larger set, so a set also takes part in the next band if that begins within its reach.
+    A band reaches from its first size to 1/p^2 of it (1/0.81) at 90 percent and above, and to 1/p of it below, where
+    parts have few features as it is.  A pair meets in the band of the larger set, so a set also takes part in the
+    following bands that begin within its reach.
     """
     def last(first: int) -> int:
-        return first * 10_000 // percent ** 2
+        return first * 10_000 // percent ** 2 if percent >= LEAST_HALVED else first * 100 // percent
 
     band, first = 0, 1
     while size > last(first):
         band, first = band + 1, last(first) + 1
-    after = last(first) + 1
-    found = [(band, 2 * last(first) * (100 - percent) // (100 + percent))]
-    if 100 * size >= percent * after:
-        found.append((band + 1, 2 * last(after) * (100 - percent) // (100 + percent)))
+    found = []
+    while not found or 100 * size >= percent * first:
+        found.append((band, 2 * last(first) * (100 - percent) // (100 + percent)))
+        band, first = band + 1, last(first) + 1
     return found
 
 
@@ -91,17 +102,22 @@ def signatures(features: np.ndarray, bands: list[tuple[int, int]], percent: int
     for band, most in bands:
         if not most:
             continue  # only equal sets link, and these are one class
-        n1, n2 = (most + 2) // 2, 3 if most <= SMALL or percent < LEAST_HALVED else 2
+        needed, n2 = (most + 2) // 2, 3 if most <= SMALL or percent < LEAST_HALVED else 2
+        spare = needed // (SPARE if percent >= LEAST_HALVED else SPARE_BELOW)
+        n1 = needed + spare
         seed = _mix(np.array([band + 1], np.uint64))
         place = _mix(features ^ seed)
         cell = (place >> np.uint64(33)) % np.uint64(n1) * np.uint64(n2) + (place & np.uint64(0xFFFF)) % np.uint64(n2)
+        cell = cell.astype(np.int64)
         sums = np.zeros(n1 * n2, np.uint64)
-        np.add.at(sums, cell.astype(np.int64), _mix(features + _C))
-        sums = sums.reshape(n1, n2)
+        np.add.at(sums, cell, _mix(features + _C))
+        sums, sizes = sums.reshape(n1, n2), np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
         # the features of a first-level part without those of one second-level part
         rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
+        empty = sizes.sum(axis=1)[:, None] == sizes
         number = np.arange(n1 * n2, dtype=np.uint64).reshape(n1, n2) + np.uint64(1)
-        out.append(_mix(rest + _mix(number + seed)).ravel())
+        found = _mix(rest + _mix(number + seed))
+        out.append(found[~empty] if empty.any(axis=1).sum() <= spare else found.ravel())
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -119,22 +135,30 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _signed(width: int, percent: int):
+    """Sets of the texts the task has not met lately; their copies have the same."""
     def signed(batches):
-        hashes = _WordHashes()
+        hashes, recent = _WordHashes(), {}
         for batch in batches:
-            sizes, one, two, signs, sketches = [], [], [], [], []
-            for text in utf8(batch.column("text")):
+            keep, sizes, one, two, signs, sketches = [], [], [], [], [], []
+            keys = zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist(), strict=True)
+            for at, (key, text) in enumerate(zip(keys, utf8(batch.column("text")), strict=True)):
+                if key in recent:
+                    continue
+                recent[key] = None
+                if len(recent) > RECENT_TEXTS:
+                    del recent[next(iter(recent))]
                 found = shingle_set(tokens_of(text), hashes, width)
+                keep.append(at)
                 sizes.append(len(found))
                 one.append(int(_mix(found).sum(dtype=np.uint64).astype(np.int64)))
                 two.append(int(_mix(found * _B).sum(dtype=np.uint64).astype(np.int64)))
                 signs.append(signatures(found, size_bands(len(found), percent), percent))
                 sketches.append(sketch(found))
+            taken = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*[c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"],
+                [batch.column("t1").take(taken), batch.column("t2").take(taken),
                  pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                 _lists(signs), _lists(sketches)],
-                [*[n for n in batch.schema.names if n != "text"], "n", "fp1", "fp2", "signs", "sketch"])
+                 _lists(signs), _lists(sketches)], ["t1", "t2", "n", "fp1", "fp2", "signs", "sketch"])
     return signed
 
 
@@ -161,7 +185,7 @@ def _wanted_texts(shared):
         recent: dict[int, None] = {}
         for batch in batches:
             keep = []
-            keys = np.asarray(batch.column("th"))
+            keys = np.asarray(batch.column("t1"))
             for place in np.flatnonzero(_marked(shared.value, keys)).tolist():
                 key = int(keys[place])
                 if key not in recent:
@@ -213,6 +237,7 @@ class _Join:
         self.percent = percent
         self.links = None
         self.roots = None
+        self.tables = []
 
     def decide(self, pairs: DataFrame) -> None:
         """Compares the sets of pairs(x, y) and joins the components of those that link."""
@@ -225,6 +250,7 @@ class _Join:
             links = links.union(self.links)
         found = self.scratch.table(components(links, self.scratch).select(
             F.col("node").alias("a"), F.col("root").alias("b")))
+        self.tables.append(found)
         self.links = found  # stars around the roots say as much as all links so far
         self.roots = found.select(F.col("a").alias("rid"), F.col("b").alias("root"))
 
@@ -254,6 +280,7 @@ class _Join:
     def across(self) -> DataFrame:
         """All pairs of different components that share a signature and may link."""
         rows = self.scratch.table(self.placed().join(self.rows.select("rid", "n", "sketch"), "rid"))
+        self.tables.append(rows)
         # in each signature, rows of its most frequent component meet the others only
         sizes = rows.groupBy("sign", "root").agg(F.count("*").alias("c"))
         top = sizes.groupBy("sign").agg(F.max(F.struct("c", "root")).alias("t")).select("sign", F.col("t.root").alias("top"))
@@ -269,43 +296,111 @@ class _Join:
         return pairs.select("x", "y").distinct()
 
 
-def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
-                  carry: tuple[str, ...] | None = None, percent: int = PERCENT) -> DataFrame:
-    """Documents (struct `row`, of the columns `carry` if given) with n_shingles and component_id, by links of
-    Jaccard >= `percent` / 100 (a whole number from 1 to 99).
+def shared_features(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets `left` with those of `right`, for the pairs that are wanted."""
+    found = np.zeros(wanted.shape, np.int64)
+    rows, columns = np.nonzero(wanted)
+    if len(rows) <= FEW_PAIRS:
+        for a, b in zip(rows.tolist(), columns.tolist(), strict=True):
+            found[a, b] = len(np.intersect1d(left[a], right[b], assume_unique=True))
+        return found
+    one, two = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+    both = np.intersect1d(one, two)  # only features on both sides count
+    owners = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    places = [np.searchsorted(both, x) for x in (one, two)]
+    for start in range(0, len(both), SLAB):
+        size = min(SLAB, len(both) - start)
+        parts = []
+        for flat, owner, place, sets in zip((one, two), owners, places, (left, right), strict=True):
+            dense = np.zeros((len(sets), size), np.float32)
+            inside = (place >= start) & (place < start + size)
+            inside[inside] = both[place[inside]] == flat[inside]
+            dense[owner[inside], place[inside] - start] = 1
+            parts.append(dense)
+        found += (parts[0] @ parts[1].T).astype(np.int64)
+    return found
 
-    Tokens are runs between ASCII white space with A-Z lower-cased; a document's set has its
-    distinct shingles of `width` tokens, or the whole sequence if it has fewer.  Null texts
-    and texts without tokens have no shingles and link with nothing: their component is
-    their own id.  component_id is the smallest non-null id of the documents reachable by
-    links; a null id takes part and gets null only if no id is reachable.  Repeated rows and
-    ids are rows of one component like other copies.  keep marks one row of each component,
-    one of the smallest id, and all rows without shingles.
-    """
-    if percent not in range(1, 100):
-        raise ValueError("percent is a whole number from 1 to 99")
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = bundled(docs, carry, text=F.col(text), th=F.xxhash64(F.col(text)), id=F.col(key))
-    signed = extended(rows, ["text"], "n long, fp1 long, fp2 long, signs array<bigint>, sketch array<bigint>")
-    rows = scratch.table(map_batches(rows, _signed(width, percent), signed).withColumn("rid", F.monotonically_increasing_id()))
+
+def _linked(percent: int):
+    """Numbers of links (rid, links) from chunks that meet: sorted by root, first and second chunk, own chunk."""
+    def compared(sides: dict) -> pa.RecordBatch:
+        keys = sorted(sides)
+        left, right = sides[keys[0]], sides[keys[-1]]
+        (lrid, ln, lw, lsketch, lsets), (rrid, rn, rw, rsketch, rsets) = ([*map(np.asarray, zip(*[x[:3] for x in side], strict=True)),
+            np.stack([x[3] for x in side]).view(np.uint64), [x[4] for x in side]] for side in (left, right))
+        wanted = 100 * np.minimum(ln[:, None], rn) >= percent * np.maximum(ln[:, None], rn)
+        apart = sum(np.bitwise_count(lsketch[:, None, k] ^ rsketch[None, :, k]).astype(np.int64) for k in range(lsketch.shape[1]))
+        both = ln[:, None] + rn
+        wanted &= (100 + percent) * apart <= (100 - percent) * both
+        if len(keys) == 1:
+            wanted = np.triu(wanted, 1)
+        same = shared_features(lsets, rsets, wanted)
+        links = wanted & (100 * same >= percent * (both - same))
+        rid, number = np.concatenate([lrid, rrid]), np.concatenate([links @ rw, links.T @ lw])
+        return pa.RecordBatch.from_arrays([pa.array(rid[number > 0], pa.int64()), pa.array(number[number > 0], pa.int64())], ["rid", "links"])
+
+    def linked(batches):
+        key, sides = None, {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("root", "one", "two", "own", "rid", "n", "w")]
+            sketches, sets = batch.column("sketch"), batch.column("set")
+            for at, (root, one, two, own, rid, n, w) in enumerate(zip(*columns, strict=True)):
+                if (root, one, two) != key:
+                    # two chunks of which only one has members are nothing to compare
+                    if sides and (key[1] == key[2] or len(sides) == 2):
+                        yield compared(sides)
+                    key, sides = (root, one, two), {}
+                sides.setdefault(own, []).append((rid, n, w, np.asarray(sketches[at].values), np.asarray(sets[at].values)))
+        if sides and (key[1] == key[2] or len(sides) == 2):
+            yield compared(sides)
+    return linked
+
+
+def _link_numbers(state: _Join, weights: DataFrame) -> DataFrame:
+    """rid, links: to how many rows of other classes the rows of a class are linked."""
+    roots = state.roots.union(state.roots.select("root", "root").distinct())
+    rows = roots.join(state.rows.select("rid", "n", "sketch"), "rid").join(weights, "rid")
+    sizes = rows.groupBy("root").agg(F.greatest(
+        F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_FEATURES)).cast("int").alias("chunks"))
+    rows = rows.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    rows = rows.join(state.sets, "rid").select(
+        "root", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "rid", "n", "w", "sketch", "set")
+    meeting = ["root", "one", "two"]
+    rows = rows.repartition(*meeting).sortWithinPartitions(*meeting, "own")
+    return map_batches(rows, _linked(state.percent), "rid long, links long").groupBy("rid").agg(F.sum("links").alias("links"))
+
+
+_TEXT = ["t1", "t2"]
+
+
+def _named(source: DataFrame, scratch: Scratch, width: int, percent: int, links: bool) -> DataFrame:
+    """Of source(id, text, t1, t2), one row per text that isn't null: t1, t2, n, n_links, and `first`, the least row of the
+    component as (whether the id is null, id, t1, t2).  Kept in the scratch folder."""
+    spark = source.sparkSession
+    given = source.where(F.col("text").isNotNull())
+    texts = given.groupBy(*_TEXT).agg(F.count("*").alias("w"), F.min(F.struct(F.col("id").isNull().alias("without"), "id")).alias("least"))
+    signed = "t1 long, t2 long, n long, fp1 long, fp2 long, signs array<bigint>, sketch array<bigint>"
+    signed = scratch.table(map_batches(given.select(*_TEXT, "text"), _signed(width, percent), signed).withColumn(
+        "rid", F.monotonically_increasing_id()))
     own = ["fp1", "fp2", "n"]
+    texts = scratch.table(texts.join(signed.select(*_TEXT, *own, "rid").dropDuplicates(_TEXT), _TEXT))
 
-    least = F.min(F.struct(F.col("id").isNull().alias("without"), "id", F.col("rid").alias("at")))
-    classes = scratch.table(rows.where("n > 0").groupBy(*own).agg(F.min("rid").alias("rid"), least.alias("least")))
-    first = rows.select("rid", "th", "n", "sketch", "signs").join(classes.select("rid"), "rid", "left_semi")
-    signs = first.select("rid", F.explode("signs").alias("sign"))
+    least = F.min(F.struct("least.without", "least.id", *_TEXT))
+    # a text stands in `signed` once or more: the row of its class is that of one text
+    classes = scratch.table(texts.where("n > 0").groupBy(*own).agg(F.min("rid").alias("rid"), F.sum("w").alias("w"), least.alias("least")))
+    first = signed.select("rid", *_TEXT, "n", "sketch", "signs").join(classes.select("rid"), "rid", "left_semi")
+    signs = first.select(F.explode("signs").alias("sign"))
     often = scratch.table(signs.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign"))
     marks = spark.sparkContext.broadcast(_bitmap(often, "sign"))
-    signs = map_batches(first.select("rid", "signs"), _marked_signs(marks), signs.schema)
-    shared = scratch.table(signs.join(often, "sign"))
+    shared = map_batches(first.select("rid", "signs"), _marked_signs(marks), "rid long, sign long")
+    shared = scratch.table(shared.join(often, "sign"))
     taking = scratch.table(first.drop("signs").join(shared.select("rid").distinct(), "rid", "left_semi"))
-    marks = spark.sparkContext.broadcast(_bitmap(taking, "th"))
-    texts = map_batches(source.where(F.col("text").isNotNull()).select("th", "text"), _wanted_texts(marks),
-                        source.select("th", "text").schema)
-    sets = texts.join(taking.select("rid", "th"), "th").select("rid", "text")
-    sets = scratch.table(map_batches(sets, _sets(width), extended(sets, ["text"], "`set` array<bigint>")).dropDuplicates(["rid"]))
+    scratch.drop(signed, often)
+    marks = spark.sparkContext.broadcast(_bitmap(taking, "t1"))
+    wanted = given.select(*_TEXT, "text")
+    wanted = map_batches(wanted, _wanted_texts(marks), wanted.schema).join(taking.select("rid", *_TEXT), _TEXT).select("rid", "text")
+    sets = scratch.table(map_batches(wanted, _sets(width), extended(wanted, ["text"], "`set` array<bigint>")).dropDuplicates(["rid"]))
 
     state = _Join(scratch, taking, shared, sets, percent)
     state.decide(state.around_leaders(F.col("rid")).union(state.around_leaders(F.xxhash64("rid"))))
@@ -313,18 +408,73 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     state.decide(state.across())
 
     roots = classes.join(state.roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    numbers = F.lit(None).cast("long")
+    if links:
+        roots = roots.join(_link_numbers(state, classes.select("rid", "w")), "rid", "left")
+        numbers = F.coalesce("links", F.lit(0)) + F.col("w") - 1
     least = roots.groupBy("root").agg(F.min("least").alias("first"))
-    named = scratch.table(roots.drop("least").join(least, "root").select(*own, "first"))
-    scratch.drop(classes, often, shared, taking, sets, state.links)
-    return rows.select("row", "id", "rid", *own).join(named, own, "left").select(
-        "row", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
-        ((F.col("n") == 0) | (F.col("rid") == F.col("first.at"))).alias("keep"))
+    roots = scratch.table(roots.withColumn("n_links", numbers).join(least, "root").select(*own, "n_links", "first"))
+    named = scratch.table(texts.select(*_TEXT, *own).join(roots, own, "left").select(*_TEXT, "n", "n_links", "first"))
+    scratch.drop(classes, texts, shared, taking, sets, roots, *state.tables)
+    return named
+
+
+def _hashed(docs: DataFrame, text: str, key: str, carry: tuple[str, ...] | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, id, t1, t2), and the same with texts in place of rows.  The 128 bits of t1 and t2 stand for a text."""
+    body, ident = F.col(f"`{text}`"), F.col(f"`{key}`")
+    columns = {"id": ident, "t1": F.xxhash64(F.lit(1), body), "t2": F.xxhash64(F.lit(2), body)}
+    return bundled(docs, carry, **columns, empty=body.isNull()), docs.select(body.alias("text"), *[c.alias(n) for n, c in columns.items()])
+
+
+def _is_first() -> Column:
+    return F.struct(F.col("id").isNull().alias("without"), "id", *_TEXT).eqNullSafe(F.col("first"))
+
+
+def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
+                  carry: tuple[str, ...] | None = None, percent: int = PERCENT) -> DataFrame:
+    """Documents (struct `row`, of the columns `carry` if given) with n_shingles, n_links and component_id, by links of
+    Jaccard >= `percent` / 100 (a whole number from 1 to 99).
+
+    Tokens are runs between ASCII white space with A-Z lower-cased; a document's set has its
+    distinct shingles of `width` tokens, or the whole sequence if it has fewer.  Null texts
+    and texts without tokens have no shingles and link with nothing: their component is
+    their own id.  n_links counts the other rows a row links to, copies included.
+    component_id is the smallest non-null id of the documents reachable by
+    links; a null id takes part and gets null only if no id is reachable.  Repeated rows and
+    ids are rows of one component like other copies.  keep marks one row of each component,
+    one of the smallest id, and all rows without shingles.  An empty table gives an empty one, and the length of
+    a text has no limit.  The input is read several times, so it should be a table.
+    """
+    if percent not in range(1, 100):
+        raise ValueError("percent is a whole number from 1 to 99")
+    rows, source = _hashed(docs, text, key, carry)
+    named = _named(source, Scratch(docs.sparkSession), width, percent, links=True)
+    found = rows.join(named.withColumn("known", F.lit(True)), _TEXT, "left").withColumn(
+        "n", F.when(F.col("empty") | F.col("known").isNull(), 0).otherwise(F.col("n")))
+    # of rows equal in id and text one is the first
+    nth = F.row_number().over(Window.partitionBy("first").orderBy("id"))
+    firsts = found.where((F.col("n") > 0) & _is_first()).withColumn("keep", nth == 1)
+    others = found.where((F.col("n") == 0) | ~_is_first()).withColumn("keep", F.col("n") == 0)
+    return firsts.unionByName(others).select(
+        "row", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("first.id")).alias("component_id"), "keep")
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents that `keep` of `join_shingles` marks, without numbers of links, which are not worked out."""
+    rows, source = _hashed(docs, text, key, None)
+    named = _named(source, Scratch(docs.sparkSession), width, percent, links=False)
+    without = named.where("n = 0").select(*_TEXT)
+    first = named.where("n > 0").select("first").distinct().select("first", "first.t1", "first.t2")
+    candidates = rows.where("not empty").join(first, _TEXT).where(_is_first())
+    nth = F.row_number().over(Window.partitionBy("first").orderBy("id"))  # cut to one row before it is shuffled
+    kept = candidates.withColumn("nth", nth).where("nth = 1").select("row.*")
+    return kept.union(rows.where("empty").select("row.*")).union(rows.join(without, _TEXT, "left_semi").where("not empty").select("row.*"))
 
 
 def op10_partenum(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return join_shingles(docs, carry=("doc_id",)).select("row.doc_id", "n_shingles", "component_id")
+    return join_shingles(docs, carry=("doc_id",)).select("row.doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP10_SQL = r"""
@@ -339,5 +489,5 @@ p AS (SELECT a.r AS r, b.r AS q FROM x a JOIN x b ON a.g = b.g AND a.r < b.r
       GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 e AS (SELECT r, q FROM p UNION ALL SELECT q, r FROM p),
 c(r, q) AS (SELECT r, r FROM s UNION SELECT c.r, e.q FROM c JOIN e ON c.q = e.r)
-SELECT s.doc_id, CAST(len(s.f) AS BIGINT) AS n_shingles, m.component_id
-FROM s JOIN (SELECT c.r, min(t.doc_id) AS component_id FROM c JOIN s t ON c.q = t.r GROUP BY c.r) m ON s.r = m.r"""
+SELECT s.doc_id, CAST(len(s.f) AS BIGINT) AS n_shingles, m.component_id, coalesce(k.n_links, 0) AS n_links
+FROM s LEFT JOIN (SELECT r, count(*) AS n_links FROM e GROUP BY r) k ON s.r = k.r JOIN (SELECT c.r, min(t.doc_id) AS component_id FROM c JOIN s t ON c.q = t.r GROUP BY c.r) m ON s.r = m.r"""

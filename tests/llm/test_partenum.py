@@ -4,7 +4,8 @@ from hypothesis import given, settings, strategies as st
 
 from packmill.llm.common import Scratch
 from packmill.llm.components import components
-from packmill.llm.partenum import _bitmap, _marked, join_shingles, op10_partenum, signatures, size_bands, sketch
+from packmill.llm import partenum
+from packmill.llm.partenum import _bitmap, _marked, drop_near_copies, join_shingles, op10_partenum, signatures, size_bands, sketch
 
 
 def tokens(text):
@@ -139,3 +140,50 @@ def test_sets_share_a_signature_at_any_threshold(size, seed, percent):
     if len(a) + len(b) > 2 * same and 100 * same >= percent * (len(a) + len(b) - same):
         one, two = (set(signatures(s, size_bands(len(s), percent), percent).tolist()) for s in (a, b))
         assert one & two
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("size", [60, 250, 600, 900])
+def test_unrelated_sets_share_no_signature(size, percent):
+    rng = np.random.default_rng(size)
+    seen, pairs = {}, 0
+    for k in range(300):
+        features = np.unique(rng.integers(0, 2**63, size + k % 20).astype(np.uint64))
+        for sign in set(signatures(features, size_bands(len(features), percent), percent).tolist()):
+            pairs += seen.get(sign, 0)
+            seen[sign] = seen.get(sign, 0) + 1
+    # of 44,850 pairs, at most one in a thousand; small sets may need the parts that hold none of their features
+    assert pairs <= (300 if size == 60 else 44)
+
+
+def links(rows, percent=90):
+    sets = [shingles(r[1]) for r in rows]
+    return [sum(k != j and bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets))
+            for k, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("chunk, few", [(512, 2000), (6, 2000), (6, 0)])
+def test_number_of_links(docs, monkeypatch, chunk, few):
+    monkeypatch.setattr(partenum, "CHUNK", chunk)
+    monkeypatch.setattr(partenum, "FEW_PAIRS", few)
+    rows = family(5, sizes=(30, 80, 300))
+    rows += [(1000 + k, rows[3][1]) for k in range(30)] + [(2000, None), (2001, " ")]
+    got = {r.row.doc_id: r.n_links for r in join_shingles(docs(rows)).collect()}
+    assert got == {r[0]: n for r, n in zip(rows, links(rows), strict=True)} and max(got.values()) > 30
+
+
+def test_one_document_of_each_component_stays(docs):
+    rows = family(6, sizes=(30, 200)) + [(2000, None), (2000, None), (2001, ""), (None, None)]
+    rows += [(rows[0][0], rows[0][1])] * 3 + [(None, rows[1][1])]
+    given = docs(rows)
+    kept = drop_near_copies(given)
+    assert kept.columns == given.columns
+    got = sorted((r.doc_id for r in kept.collect()), key=repr)
+    assert got == sorted((r.row.doc_id for r in join_shingles(given).where("keep").collect()), key=repr)
+    assert drop_near_copies(docs([])).count() == 0
+
+
+def test_no_key_of_a_star_fills_a_task(spark):
+    edges = [(0, k) for k in range(1, 3000)] + [(3000 + 2 * k, 3001 + 2 * k) for k in range(1000)]
+    plan = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark))
+    assert {(r.node, r.root) for r in plan.collect()} == {(b, a) for a, b in edges}

@@ -88,7 +88,8 @@ def test_odd_rows(spark):
     assert len(same) == 2 and same[0].whitened == [None, None] and same[0].explained == [0.0, 0.0] and same[0].deviation == 0
     assert run(spark, []) == [] and run(spark, odd[:2]) == []
     far = run(spark, [(1, [1e300, 1.0]), (2, [-1e300, 2.0]), (3, [1e300, 5.0])])
-    assert far[0].n == 3 and all(np.isfinite(r.whitened).all() for r in far)
+    # the second dimension's variance is nothing beside that of the first
+    assert far[0].n == 3 and all(np.isfinite(r.whitened[0]) and r.whitened[1] is None for r in far)
 
 
 def test_query(spark, tables):
