@@ -12,7 +12,7 @@ from packmill.llm.common import Scratch, unbundled
 from packmill.llm.decontaminate import find_contamination
 from packmill.llm.language import UNDETERMINED, identify_language
 from packmill.llm.mixing import mix_sources
-from packmill.llm.partenum import join_shingles
+from packmill.llm.partenum import drop_near_copies
 from packmill.llm.sharding import hilbert_shards
 
 # A document stays if at least so large a share of its words is expected in one language.
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return unbundled(join_shingles(docs, width=SHINGLE_WORDS, percent=SHARED_PERCENT).where("keep"))
+    return drop_near_copies(docs, width=SHINGLE_WORDS, percent=SHARED_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
