@@ -17,11 +17,13 @@ from packmill.options import PackOptions
 class Classified:
     """`entries`: completed manifest, without contents, plus ignore_reason (NULL: kept).
     `dirs`: directories the traversal enters: project_id, dir, entries, repeated.
-    `label`: adds ignore_reason to other rows of the manifest that have its columns."""
+    `label`: adds ignore_reason to other rows of the manifest that have its columns; `joins`:
+    whether it joins them to what is known of directories."""
 
     entries: DataFrame
     dirs: DataFrame
     label: Callable[[DataFrame], DataFrame]
+    joins: bool
 
 
 def _is_output(path: Column, options: PackOptions) -> Column:
@@ -104,7 +106,7 @@ def classify(source: DataFrame, options: PackOptions, ignore_files: DataFrame |
         reason = F.coalesce(inherited, F.when(outside, "outside_root").otherwise(own))
         return rows.withColumn("ignore_reason", reason).drop("rule_pruned", "rule_ignored", "below_repeat")
 
-    return Classified(label(entries), dirs, label)
+    return Classified(label(entries), dirs, label, verdicts is not None or repeats is not None)
 
 
 def by_path_alone(options: PackOptions) -> Column:

@@ -10,10 +10,12 @@ from packmill.constants import METHOD_EXACT, METHOD_HEURISTIC, METHOD_OFF
 from packmill.functions import decode, render, text as tx
 from packmill.functions.paths import order_key
 from packmill.operators import tree
+from packmill.operators.balance import key_bounds, part_number
 from packmill.operators.classify import by_path_alone, classify
 from packmill.operators.durable import durable
 from packmill.operators.filters import size_reason
 from packmill.operators.inventory import manifest
+from packmill.operators.keyset import KeySet
 from packmill.operators.ordering import with_position
 from packmill.options import PackOptions
 from packmill.plans import exact
@@ -33,6 +35,15 @@ _MEASURES = {
 }
 
 
+_KEY = ["project_id", "section", "sort_key"]
+
+
+def _place() -> Column:
+    """One string in the order of _KEY, NULL projects first; a project's name holds no NUL."""
+    project = F.coalesce(F.concat(F.lit("1"), "project_id"), F.lit("0"))
+    return F.concat(project, F.lit("\0"), F.col("section").cast("string"), F.col("sort_key"))
+
+
 def _adds(name: str) -> Column:
     """struct<lines, chars, bytes> of a text column."""
     return F.struct(*[F.expr(f"CAST({sql.format(name)} AS BIGINT)").alias(measure)
@@ -224,13 +235,28 @@ class Pack:
         return frame | ({TREE_OPENING: "tree_opening", TREE_CLOSING: "tree_closing"}
                         if self.options.include_tree else {})
 
+    @property
+    def _undecided(self) -> bool:
+        """Whether rows of `_read` may still turn out to be ignored, or be so by chance of the key filter."""
+        return self.root is None and self.classified.joins
+
+    @cached_property
+    def _packed(self) -> KeySet:
+        return KeySet(self.facts.where("skip_reason is null"), ["project_id", "rel_path"])
+
     def _texts(self) -> DataFrame:
-        """project_id, section, sort_key, text: all rows of the documents, and blocks of
-        files that may yet turn out to be ignored."""
+        """project_id, section, sort_key, text: all rows of the documents.  Blocks of files that are ignored
+        don't go beyond the scan: if directories have a say in that, files are looked up among those of `facts`
+        there, by which a few others pass."""
         frame = self.stats.select("project_id", F.explode(F.array(*[
             F.struct(F.lit(n).alias("section"), F.col(c).alias("text")) for n, c in self._frame().items()])).alias("row"))
         rows = frame.select("project_id", "row.section", F.lit("").alias("sort_key"), "row.text")
-        rows = rows.unionByName(self._read.where("skip_reason is null").select(
+        blocks = self._read
+        if self._undecided:
+            blocks = blocks.where(self._packed.holds())
+        elif self.root is None:
+            blocks = self.classified.label(blocks).where("ignore_reason is null")
+        rows = rows.unionByName(blocks.where("skip_reason is null").select(
             "project_id", F.lit(BLOCK).alias("section"), "sort_key", self._block().alias("text")))
         if self.options.include_tree:
             rows = rows.unionByName(self.tree.select(
@@ -238,44 +264,48 @@ class Pack:
         return rows
 
     def _keys(self) -> DataFrame:
-        """project_id, section, sort_key of the documents' rows."""
-        rows = self.projects.select("project_id", F.explode(F.array(*map(F.lit, self._frame()))).alias("section"),
-                                    F.lit("").alias("sort_key"))
+        """project_id, section, sort_key of the documents' rows, and the bytes they add."""
+        rows = self.stats.select("project_id", F.explode(F.array(*[
+            F.struct(F.lit(n).alias("section"), (F.octet_length(c) + 1).cast("long").alias("bytes"))
+            for n, c in self._frame().items()])).alias("row"))
+        rows = rows.select("project_id", "row.section", F.lit("").alias("sort_key"), "row.bytes")
         rows = rows.unionByName(self.facts.where("skip_reason is null").select(
-            "project_id", F.lit(BLOCK).alias("section"), "sort_key"))
+            "project_id", F.lit(BLOCK).alias("section"), "sort_key", "adds.bytes"))
         if self.options.include_tree:
-            rows = rows.unionByName(self.tree.select("project_id", F.lit(TREE).alias("section"), "sort_key"))
+            rows = rows.unionByName(self.tree.select("project_id", F.lit(TREE).alias("section"), "sort_key",
+                                                     (F.octet_length("line") + 1).cast("long").alias("bytes")))
         return rows
 
-    def _belonging(self, keys: DataFrame, ordered: bool) -> DataFrame:
-        """The texts whose key is among `keys`, which have a `position`, with that.
-
-        Keys and texts meet in the one shuffle that the texts need anyway: the sort into
-        document order, or else one on their key.
-        """
-        name = ["project_id", "section", "sort_key"]
-        nothing = F.lit(None)
-        rows = self._texts().withColumn("position", nothing.cast("long")).unionByName(
-            keys.select(*name, "position", nothing.cast("string").alias("text")))
-        if ordered:
-            rows = rows.orderBy(*name)
-        found = rows.withColumn("position", F.max("position").over(Window.partitionBy(*name)))
-        return found.where("text is not null and position is not null")
-
     @property
     def sections(self) -> DataFrame:
         """The documents' rows, in order: project_id, section, sort_key, text.
 
-        Each followed by a newline, they are the documents.
+        Each followed by a newline, they are the documents.  They lie in partitions of about equal bytes, whose
+        bounds come from `facts`, so the contents are read once for these and once for the documents.
         """
-        keys = self._keys().withColumn("position", F.lit(0).cast("long"))
-        return self._belonging(keys, ordered=True).drop("position")
+        keys = self._keys()
+        bounds = key_bounds(keys.select(_place().alias("key"), "bytes"), "key", "bytes")
+        part = part_number(_place(), bounds).cast("int")
+        texts = self._texts().withColumn("part", part)
+        if not self._undecided:
+            return texts.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(*_KEY).drop("part")
+        wanted = keys.where(F.col("section") == BLOCK).withColumn("part", part).withColumn("text", F.lit(None).cast("string"))
+        rows = texts.withColumn("wanted", F.col("section") != BLOCK).unionByName(
+            wanted.drop("bytes").withColumn("wanted", F.lit(True)))
+        rows = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", *_KEY)
+        met = F.max("wanted").over(Window.partitionBy("part", *_KEY))
+        return rows.withColumn("wanted", met).where("wanted and text is not null").drop("part", "wanted")
 
     @property
     def numbered(self) -> DataFrame:
         """The documents' rows with their place: project_id, position, text, in any order."""
-        keys = with_position(self._keys(), ["project_id"], ["section", "sort_key"], "position")
-        return self._belonging(keys, ordered=False).select("project_id", "position", "text")
+        keys = with_position(self._keys().drop("bytes"), ["project_id"], ["section", "sort_key"], "position")
+        nothing = F.lit(None)
+        # keys and texts meet in the one shuffle that the texts need
+        rows = self._texts().withColumn("position", nothing.cast("long")).unionByName(
+            keys.withColumn("text", nothing.cast("string")))
+        found = rows.withColumn("position", F.max("position").over(Window.partitionBy(*_KEY)))
+        return found.where("text is not null and position is not null").select("project_id", "position", "text")
 
     def _rest(self) -> dict:
         return {"ignore_files": self.ignore_files, "root": self.root, "layout": self.layout, "warnings": self.warnings}

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,9 @@ from packmill import PackOptions, pack_table
 from packmill.constants import LEFTOVER_NAME
 from packmill.functions import text as tx
 from packmill.operators import lookup as lookup_module
+from packmill.operators.balance import key_bounds, part_number
 from packmill.operators.durable import durable
+from packmill.operators.keyset import KeySet
 from packmill.plans import exact, pack as pack_module
 from sample import SAMPLE
 
@@ -150,10 +153,12 @@ def test_contents_travel_once(spark, files, monkeypatch):
         return spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     facts = plan(next(df for df in kept_tables if "adds" in df.columns))
     assert exchanged(facts) and not {"content", "text", "row"} & exchanged(facts)
+    # blocks of files that ignore files drop are not in the shuffle of the document, which is its only one
     document = plan(pack.sections)
-    assert "content" not in exchanged(document)
-    assert len(re.findall(r"rangepartitioning\(project_id", document.split("== Physical Plan ==")[1])) == 1
+    assert "content" not in exchanged(document) and "rangepartitioning" not in document
     assert len([1 for columns in exchanges(document) if "text" in columns]) == 1
+    blocks = {r.text for r in pack._texts().where(F.col("section") == pack_module.BLOCK).collect()}
+    assert len(blocks) == len(found) and not any("f8.py" in b and "d2/" in b or "f34.py" in b for b in blocks)
 
 
 def test_tokens_off(files, document):
@@ -285,3 +290,50 @@ def test_missing_vocabulary_falls_back(files, document, monkeypatch):
     heuristic = document(pack_table(files(SAMPLE), options()))[1].estimated_tokens
     _, report = document(pack_table(files(SAMPLE), options(token_counting="exact")))
     assert (report.estimated_tokens, report.token_method) == (heuristic, "heuristic (~4 chars/token)")
+
+
+def test_document_without_rules_needs_no_key_filter(files):
+    pack = pack_table(files({"a.py": "x", "b/c.py": "y"}), options())
+    pack.sections.collect()
+    assert not pack._undecided and "_packed" not in pack.__dict__
+
+
+def test_false_matches_of_the_key_filter_are_dropped(files, document, monkeypatch):
+    content = {f"d{n % 3}/f{n}.py": f"x = {n}\n" for n in range(40)} | {".gitignore": "*7.py\nd1/\n"}
+    expected, _ = document(pack_table(files(content), options()))
+    monkeypatch.setattr(KeySet, "holds", lambda self: F.lit(True))
+    assert document(pack_table(files(content), options()))[0] == expected
+    assert "f6.py" in expected and "f27.py" not in expected
+
+
+def test_key_set(spark):
+    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("name"), (F.col("id") % 7).alias("part"))
+    held = KeySet(keys, ["name", "part"])
+    others = spark.range(20000).select(F.concat(F.lit("z"), "id").alias("name"), (F.col("id") % 7).alias("part"))
+    assert keys.where(held.holds()).count() == 5000
+    assert others.where(held.holds()).count() < 20000 / 40
+    assert others.where(KeySet(keys.where("false"), ["name", "part"]).holds()).count() == 0
+
+
+def test_parts_of_equal_bytes(spark, files):
+    """One project, files of mixed sizes whose names are in the order of their size."""
+    content = {f"f{n:04d}.py": "x" * (10 + n * n % 3000 + (4000 if n > 350 else 0)) for n in range(400)}
+    pack = pack_table(files(content), options())
+    rows = pack.sections.withColumn("part", F.spark_partition_id()).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.part] += len(r.text) + 1
+    assert [r.part for r in rows] == sorted(r.part for r in rows) and len(sizes) == 4
+    assert max(sizes.values()) <= 1.5 * sum(sizes.values()) / len(sizes)
+
+
+def test_bounds_cut_by_weight(spark):
+    rows = [(f"k{n:03d}", 1) for n in range(100)] + [("k050x", 300), ("k050y", 300)]
+    df = spark.createDataFrame(rows, "key string, bytes long")
+    bounds = key_bounds(df, "key", "bytes", 7)
+    assert bounds == sorted(bounds) and len(bounds) == 6
+    number = {r.key: r.n for r in df.select("key", part_number(F.col("key"), bounds).alias("n")).collect()}
+    assert all(number[k] == sum(b <= k for b in bounds) for k, _ in rows)
+    assert number["k000"] == 0 and number["k050x"] < number["k050y"] and number["k099"] == 6
+    assert key_bounds(df.where("false"), "key", "bytes", 7) == [] == key_bounds(df, "key", "bytes", 1)
+    assert spark.range(1).select(part_number(F.lit("k"), [])).first()[0] == 0
