@@ -21,7 +21,7 @@ from packmill.options import PackOptions
 from packmill.plans import exact
 from packmill.session import ship_package
 from packmill.sources.contents import read_contents, read_ignore_files
-from packmill.sources.documents import write_sections
+from packmill.sources.documents import write_files, write_sections
 from packmill.sources.listing import read_listing
 
 HEADER, TREE_OPENING, TREE, TREE_CLOSING, FILES_OPENING, BLOCK = range(6)
@@ -276,6 +276,25 @@ class Pack:
                                                      (F.octet_length("line") + 1).cast("long").alias("bytes")))
         return rows
 
+    @cached_property
+    def _bounds(self) -> list[str]:
+        return key_bounds(self._keys().select(_place().alias("key"), "bytes"), "key", "bytes")
+
+    def _parts(self) -> DataFrame:
+        """project_id, section, sort_key, text, part: the rows in the partition `part`, in order."""
+        part = part_number(_place(), self._bounds).cast("int")
+        texts = self._texts().withColumn("part", part)
+        many = len(self._bounds) + 1
+        if not self._undecided:
+            return texts.repartitionById(many, F.col("part")).sortWithinPartitions("part", *_KEY)
+        # the keys meet the texts in the one shuffle that these need anyway
+        wanted = self._keys().where(F.col("section") == BLOCK).drop("bytes").withColumns(
+            {"part": part, "text": F.lit(None).cast("string"), "wanted": F.lit(True)})
+        rows = texts.withColumn("wanted", F.col("section") != BLOCK).unionByName(wanted)
+        rows = rows.repartitionById(many, F.col("part")).sortWithinPartitions("part", *_KEY)
+        met = F.max("wanted").over(Window.partitionBy("part", *_KEY))
+        return rows.withColumn("wanted", met).where("wanted and text is not null").drop("wanted")
+
     @property
     def sections(self) -> DataFrame:
         """The documents' rows, in order: project_id, section, sort_key, text.
@@ -283,18 +302,7 @@ class Pack:
         Each followed by a newline, they are the documents.  They lie in partitions of about equal bytes, whose
         bounds come from `facts`, so the contents are read once for these and once for the documents.
         """
-        keys = self._keys()
-        bounds = key_bounds(keys.select(_place().alias("key"), "bytes"), "key", "bytes")
-        part = part_number(_place(), bounds).cast("int")
-        texts = self._texts().withColumn("part", part)
-        if not self._undecided:
-            return texts.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(*_KEY).drop("part")
-        wanted = keys.where(F.col("section") == BLOCK).withColumn("part", part).withColumn("text", F.lit(None).cast("string"))
-        rows = texts.withColumn("wanted", F.col("section") != BLOCK).unionByName(
-            wanted.drop("bytes").withColumn("wanted", F.lit(True)))
-        rows = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", *_KEY)
-        met = F.max("wanted").over(Window.partitionBy("part", *_KEY))
-        return rows.withColumn("wanted", met).where("wanted and text is not null").drop("part", "wanted")
+        return self._parts().drop("part")
 
     @property
     def numbered(self) -> DataFrame:
@@ -337,6 +345,19 @@ class Pack:
         write_sections(pack.sections, path, per_project)
         return pack.report
 
+    def write_files(self, path: str) -> DataFrame:
+        """Writes each document as one file and returns the report.
+
+        A pack of one directory (layout 'project') writes the file `path`; others write a file for each project, named
+        after it, into the folder `path`.  Any number of tasks write a file; see `write_files` in sources/documents.py.
+        """
+        pack = self._outside(path)
+        one = self.root is not None and self.layout == "project"
+        shares = pack._keys().withColumn("part", part_number(_place(), pack._bounds).cast("int"))
+        suffix = None if one else ".md" if self._format == "markdown" else ".txt"
+        write_files(pack._parts(), shares, pack.report.select("project_id", "file_size"), path, suffix)
+        return pack.report
+
 
 def pack_table(files: DataFrame, options: PackOptions | None = None, **kwargs) -> Pack:
     """Pack of a table with project_id, rel_path and content."""
@@ -350,7 +371,7 @@ def pack_directory(spark, root: str, options: PackOptions | None = None, layout:
     """
     options = options or PackOptions()
     ship_package(spark)
-    listing = durable(read_listing(spark, root, layout))
+    listing = read_listing(spark, root, layout)
     rules = warnings = None
     if options.respect_ignore_files:
         found = durable(read_ignore_files(listing, root, layout))

@@ -1,23 +1,40 @@
-"""Python data source that lists project directories: `spark.read.format("project_listing")`.
+"""Lists project directories on the executors, in rounds.
 
 Spark's own file sources cannot stand in for it: they leave out names that start with
 '.' or '_' and empty directories, and follow links out of the root.
 
-Options: `root`, the directory; `layout`, 'project' (the root is one project, the
-default) or 'collection' (each directory in it is one); `tasks`, how many parts the
-listing is split into at least (default 64); `prune`, 'false' to list the built-in
-ignored directories too.
+The directories still to be listed are a table.  In each round tasks take their share of it and walk on from there until
+they have listed so many directories; what they have met and not listed is the table of the next round, dealt out
+anew.  So one deep directory, one wide one and very many projects all spread over the tasks, a chain of a thousand directories
+takes one round and not a thousand, and nothing is listed on the driver.
 """
 
 import os
+from collections import deque
+from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packmill.constants import ALLOWED_HIDDEN_FILES, IGNORED_NAMES
+from packmill.operators.durable import durable
+from packmill.session import ship_package
 
 SCHEMA = ("project_id string, rel_path string, kind string, size_bytes long, link_target string, "
           "resolved_rel_path string, target_kind string, dir_id string, listing_error string")
 
+# a directory to go on with: the project's root and the path in it as they are on disk, the identities of the directories above
+_FRONTIER = "project_id string, base binary, rel binary, chain array<string>"
+_ARROW = pa.schema([
+    ("project_id", pa.string()), ("rel_path", pa.string()), ("kind", pa.string()), ("size_bytes", pa.int64()),
+    *[(n, pa.string()) for n in ("link_target", "resolved_rel_path", "target_kind", "dir_id", "listing_error")],
+    ("base", pa.binary()), ("rel", pa.binary()), ("chain", pa.list_(pa.string()))])
+
+# directories a task lists in the first round, so that the work is soon dealt out, and in later ones
+FIRST_ROUND, ROUND = 64, 5000
+# rows a task hands on at a time
+_ROWS = 20_000
+
 _NAMES = frozenset(n for n in IGNORED_NAMES if n == n.lower())
 _ALLOWED = frozenset(ALLOWED_HIDDEN_FILES)
 
@@ -96,74 +113,66 @@ def list_directory(project: str, root: str, rel: str, prune: bool):
     return [own, *rows], below
 
 
-def walk(project: str, root: str, rel: str, prune: bool, above: frozenset = frozenset()):
-    """Rows of a directory and all below it; a directory inside itself is not entered again."""
-    stack = [(rel, above)]
-    while stack:
-        here, seen = stack.pop()
-        rows, below = list_directory(project, root, here, prune)
-        yield from rows
-        own = rows[0][7]
-        if own is not None and own in seen:
-            continue
-        chain = seen | {own}
-        stack.extend((path, chain) for path in below)
-
-
-class _Part(InputPartition):
-    def __init__(self, project: str, root: str, rel: str, deep: bool):
-        super().__init__((project, _shown(rel)))
-        self.project, self.root, self.rel, self.deep = project, root, rel, deep
-
-
-class ListingReader(DataSourceReader):
-    def __init__(self, options):
-        self.root = os.path.realpath(options["root"])
-        if not os.path.isdir(self.root):
-            raise FileNotFoundError(f"no such directory: {self.root}")
-        self.layout = options.get("layout", "project")
-        self.tasks = int(options.get("tasks", "64"))
-        self.prune = options.get("prune", "true").lower() != "false"
-
-    def projects(self):
-        if self.layout == "project":
-            return [(os.path.basename(self.root), self.root)]
-        with os.scandir(self.root) as found:
-            return sorted((_shown(e.name), e.path) for e in found if e.is_dir(follow_symlinks=False))
-
-    def partitions(self):
-        """Splits directories until there are enough parts, so that no task has to list a
-        whole project alone; only the directories split this way are listed twice."""
-        shallow, deep = [], [(project, root, "") for project, root in self.projects()]
-        while deep and len(shallow) + len(deep) < self.tasks and len(shallow) < self.tasks:
-            project, root, rel = deep.pop(0)
-            _, below = list_directory(project, root, rel, self.prune)
-            shallow.append((project, root, rel))
-            deep.extend((project, root, path) for path in sorted(below))
-        return ([_Part(*p, deep=False) for p in shallow] + [_Part(*p, deep=True) for p in deep])
-
-    def read(self, part):
-        if part.deep:
-            yield from walk(part.project, part.root, part.rel, self.prune)
-        else:
-            yield from list_directory(part.project, part.root, part.rel, self.prune)[0]
-
-
-class ProjectListing(DataSource):
-    @classmethod
-    def name(cls):
-        return "project_listing"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return ListingReader(self.options)
-
-
-def read_listing(spark, root: str, layout: str = "project", prune: bool = True, tasks: int = 64):
-    """Manifest of a directory tree all executors can read."""
-    spark.dataSource.register(ProjectListing)
-    return (spark.read.format("project_listing").option("root", os.path.abspath(root))
-            .option("layout", layout).option("prune", str(prune).lower())
-            .option("tasks", str(tasks)).load())
+def _projects(base: bytes) -> list[tuple]:
+    """The directories of a collection, each a project to go on with."""
+    with os.scandir(os.fsdecode(base)) as found:
+        return [(_shown(e.name), os.fsencode(e.path), b"", []) for e in found if e.is_dir(follow_symlinks=False)]
+
+
+def _batch(rows: list[tuple], going_on: list[tuple]) -> pa.RecordBatch:
+    whole = [(*r, None, None, None) for r in rows] + [(f[0], *[None] * 8, *f[1:]) for f in going_on]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*whole, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
+def _expanded(prune: bool, most: int):
+    """Rows of the directories listed, and what is left to list (without a rel_path)."""
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = 0
+        for batch in batches:
+            queue = deque(zip(*(batch.column(c).to_pylist() for c in ("project_id", "base", "rel", "chain")), strict=True))
+            rows = []
+            while queue and listed < most:
+                project, base, rel, chain = queue.popleft()
+                listed += 1
+                if project is None:
+                    queue.extend(_projects(base))
+                    continue
+                found, below = list_directory(project, os.fsdecode(base), os.fsdecode(rel), prune)
+                rows += found
+                own = found[0][7]
+                # a directory inside itself is not entered again
+                if own is None or own not in chain:
+                    chain = chain if own is None else [*chain, own]
+                    queue.extend((project, base, os.fsencode(path), chain) for path in below)
+                if len(rows) >= _ROWS:
+                    yield _batch(rows, [])
+                    rows = []
+            if rows or queue:
+                yield _batch(rows, list(queue))
+    return expand
+
+
+def read_listing(spark: SparkSession, root: str, layout: str = "project", prune: bool = True, tasks: int = 64,
+                 first: int = FIRST_ROUND, most: int = ROUND) -> DataFrame:
+    """Manifest of a directory tree all executors can read, kept in the checkpoint folder.
+
+    With the layout 'collection' each directory in the root is a project, else the root is one.  `prune` leaves out what
+    is below directories with built-in ignored names.  A round has as many tasks as it has directories to begin with, up to
+    `tasks` or four for each core of the session.
+    """
+    root = os.path.realpath(root)
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"no such directory: {root}")
+    ship_package(spark)
+    name = os.path.basename(root) if layout == "project" else None
+    frontier = spark.createDataFrame([(name, bytearray(os.fsencode(root)), bytearray(), [])], _FRONTIER)
+    many, found = 1, None
+    tasks = max(tasks, 4 * spark.sparkContext.defaultParallelism)
+    while many:
+        step = durable(frontier.repartition(min(many, tasks)).mapInArrow(_expanded(prune, first if found is None else most),
+                                                                       f"{SCHEMA}, base binary, rel binary, chain array<string>"))
+        rows = step.where("rel_path is not null").select(*[c.split()[0] for c in SCHEMA.split(", ")])
+        found = rows if found is None else found.unionByName(rows)
+        frontier = step.where("rel_path is null").select("project_id", "base", "rel", "chain")
+        many = frontier.agg(F.count("*")).first()[0]
+    return found
