@@ -197,10 +197,20 @@ def _wanted_texts(shared):
     return wanted
 
 
-def _marked_signs(shared):
-    """One row per signature that is marked."""
+def _first_signs(shared):
+    """The signatures of the texts that are marked, one row each."""
+    def signs(batches):
+        for batch in batches:
+            keep = np.flatnonzero(_marked(shared.value, np.asarray(batch.column("t1"))))
+            yield pa.RecordBatch.from_arrays([batch.column("signs").take(pa.array(keep)).flatten()], ["sign"])
+    return signs
+
+
+def _marked_signs(shared, firsts):
+    """One row per signature that is marked, of texts that are."""
     def marked(batches):
         for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(_marked(firsts.value, np.asarray(batch.column("t1"))))))
             lists = batch.column("signs")
             flat = np.asarray(lists.flatten())
             owner = np.repeat(np.asarray(batch.column("rid")), np.asarray(lists.value_lengths()))
@@ -387,15 +397,19 @@ def _named(source: DataFrame, scratch: Scratch, width: int, percent: int, links:
     texts = scratch.table(texts.join(signed.select(*_TEXT, *own, "rid").dropDuplicates(_TEXT), _TEXT))
 
     least = F.min(F.struct("least.without", "least.id", *_TEXT))
-    # a text stands in `signed` once or more: the row of its class is that of one text
-    classes = scratch.table(texts.where("n > 0").groupBy(*own).agg(F.min("rid").alias("rid"), F.sum("w").alias("w"), least.alias("least")))
-    first = signed.select("rid", *_TEXT, "n", "sketch", "signs").join(classes.select("rid"), "rid", "left_semi")
-    signs = first.select(F.explode("signs").alias("sign"))
+    # a text stands in `signed` once or more: the row of its class is one of these
+    classes = scratch.table(texts.where("n > 0").groupBy(*own).agg(
+        F.min(F.struct("t1", "rid")).alias("row"), F.sum("w").alias("w"), least.alias("least")).select(
+        *own, "row.t1", "row.rid", "w", "least"))
+    # signatures are most of the data and are not shuffled with their rows: a bitmap picks those of the classes' rows, and
+    # of a few others, which are dropped when rows that share a signature are known
+    firsts = spark.sparkContext.broadcast(_bitmap(classes, "t1"))
+    signs = map_batches(signed.select("t1", "signs"), _first_signs(firsts), "sign long")
     often = scratch.table(signs.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign"))
     marks = spark.sparkContext.broadcast(_bitmap(often, "sign"))
-    shared = map_batches(first.select("rid", "signs"), _marked_signs(marks), "rid long, sign long")
-    shared = scratch.table(shared.join(often, "sign"))
-    taking = scratch.table(first.drop("signs").join(shared.select("rid").distinct(), "rid", "left_semi"))
+    shared = map_batches(signed.select("t1", "rid", "signs"), _marked_signs(marks, firsts), "rid long, sign long")
+    shared = scratch.table(shared.join(often, "sign").join(classes.select("rid"), "rid", "left_semi"))
+    taking = scratch.table(signed.drop("signs").join(shared.select("rid").distinct(), "rid", "left_semi"))
     scratch.drop(signed, often)
     marks = spark.sparkContext.broadcast(_bitmap(taking, "t1"))
     wanted = given.select(*_TEXT, "text")
@@ -407,7 +421,7 @@ def _named(source: DataFrame, scratch: Scratch, width: int, percent: int, links:
     state.decide(state.around_leaders(F.xxhash64("root", "rid")))
     state.decide(state.across())
 
-    roots = classes.join(state.roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    roots = classes.drop("t1").join(state.roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     numbers = F.lit(None).cast("long")
     if links:
         roots = roots.join(_link_numbers(state, classes.select("rid", "w")), "rid", "left")
