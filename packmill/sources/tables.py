@@ -12,10 +12,3 @@ def files_from_table(df: DataFrame, project: Column, path: Column, content: Colu
 def url_location(url: Column) -> Column:
     """Host and path of a URL, without scheme, query and fragment."""
     return F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
-
-
-def relative_to(path: Column, root: Column) -> Column:
-    """Root-relative path; the path itself if it lies elsewhere."""
-    base = F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"))
-    return F.when(F.startswith(path, base), F.substring(path, F.length(base) + 1, F.length(path))
-                  ).otherwise(path)
