@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from packmill.functions.paths import ancestors
 from packmill.functions.patterns import excluded
 from packmill.operators import filters, inventory, rules
-from packmill.operators.durable import durable
+from packmill.operators.durable import durable, measured
 from packmill.operators.lookup import Lookup
 from packmill.options import PackOptions
 
@@ -61,8 +61,8 @@ def classify(source: DataFrame, options: PackOptions, ignore_files: DataFrame |
     verdicts = None
     if ignore_files is not None:
         # as large as the ignore files alone; looked for once
-        rule_table = durable(rules.rules(rules.ignore_lines(ignore_files)))
-        if not rule_table.isEmpty():
+        rule_table, found = measured(rules.rules(rules.ignore_lines(ignore_files)), rows=F.count("*"))
+        if found["rows"]:
             verdicts = rules.directory_verdicts(dirs, rules.programs(rule_table))
             pruned = verdicts.directories.table.where("pruned")
             dirs = dirs.join(pruned.select("project_id", F.col("parent").alias("dir")),

@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -20,3 +20,13 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="run-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def measured(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """`durable`, and aggregates that are taken while the rows are written, without another job.
+
+    A stage that runs again after an executor was lost may count its rows twice: use them to choose a plan, not for results.
+    """
+    seen = Observation()
+    table = durable(df.observe(seen, *[c.alias(n) for n, c in figures.items()]))
+    return table, seen.get

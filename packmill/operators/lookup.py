@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from packmill.operators.durable import durable
+from packmill.operators.durable import measured
 
 # A table is broadcast whole only if it was measured to be no larger than this.
 BROADCAST_BYTES = 16 * 1024 * 1024
@@ -27,9 +27,9 @@ class Lookup:
     """
 
     def __init__(self, table: DataFrame, keys: list[str], weight: str):
-        self.table, self.keys, self.weight = durable(table), keys, weight
-        found = self.table.agg(F.count("*"), F.coalesce(F.sum(_size(table)), F.lit(0))).first()
-        self.small = found[0] <= BROADCAST_ROWS and found[1] <= BROADCAST_BYTES
+        self.keys, self.weight = keys, weight
+        self.table, found = measured(table, rows=F.count("*"), size=F.coalesce(F.sum(_size(table)), F.lit(0)))
+        self.small = found["rows"] <= BROADCAST_ROWS and found["size"] <= BROADCAST_BYTES
 
     def join(self, rows: DataFrame, spread: Column, values: list[str]) -> DataFrame:
         """`rows` with the columns `values` of the table, NULL where no key matches."""
