@@ -10,6 +10,8 @@ from packmill.session import ship_package
 # A-Z is lower-cased, everything in ASCII but letters and digits separates words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
                     for b in range(256))
+# Spark's own setting: removes the shuffles of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,18 +49,28 @@ class Scratch:
     """Intermediate tables of one operator call, written as Parquet in the shared folder.
 
     They survive lost executors and cut the lineage.  A table that later ones no longer
-    need is removed with `drop`; those the result reads stay.
+    need is removed with `drop`; those the result reads stay.  With `tidy` what was shuffled for a
+    table is removed as soon as the table is written, and not when the driver collects garbage.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.made = 0
 
     def table(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        if self.tidy:
+            self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.tidy and before is None:
+                self.spark.conf.unset(SHUFFLE_CLEANUP)
+            elif self.tidy:
+                self.spark.conf.set(SHUFFLE_CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept

@@ -20,6 +20,8 @@ signature, until all such candidates have been decided.  All links lie within co
 classes are compared chunk by chunk, which gives every class its number of links without a row per pair.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,6 +49,8 @@ FEW_PAIRS, SLAB = 2000, 4096
 # bits of the bitmaps that thin out rows before a join; their size is fixed (2 MB), so they help less as
 # more keys are marked, and never change a result
 MARKS = 1 << 24
+# slices (a power of two) in which signatures are counted
+TURNS = 4
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -197,20 +201,21 @@ def _wanted_texts(shared):
     return wanted
 
 
-def _first_signs(shared):
-    """The signatures of the texts that are marked, one row each."""
+def _first_signs(firsts, turn: int):
+    """The signatures of one slice of the rows that are marked, one row each."""
     def signs(batches):
         for batch in batches:
-            keep = np.flatnonzero(_marked(shared.value, np.asarray(batch.column("t1"))))
-            yield pa.RecordBatch.from_arrays([batch.column("signs").take(pa.array(keep)).flatten()], ["sign"])
+            keep = np.flatnonzero(_marked(firsts.value, np.asarray(batch.column("mark"))))
+            flat = np.asarray(batch.column("signs").take(pa.array(keep, pa.int64())).flatten())
+            yield pa.RecordBatch.from_arrays([pa.array(flat[flat & (TURNS - 1) == turn], pa.int64())], ["sign"])
     return signs
 
 
 def _marked_signs(shared, firsts):
-    """One row per signature that is marked, of texts that are."""
+    """One row per signature that is marked, of rows that are."""
     def marked(batches):
         for batch in batches:
-            batch = batch.take(pa.array(np.flatnonzero(_marked(firsts.value, np.asarray(batch.column("t1"))))))
+            batch = batch.take(pa.array(np.flatnonzero(_marked(firsts.value, np.asarray(batch.column("mark")))), pa.int64()))
             lists = batch.column("signs")
             flat = np.asarray(lists.flatten())
             owner = np.repeat(np.asarray(batch.column("rid")), np.asarray(lists.value_lengths()))
@@ -392,7 +397,7 @@ def _named(source: DataFrame, scratch: Scratch, width: int, percent: int, links:
     texts = given.groupBy(*_TEXT).agg(F.count("*").alias("w"), F.min(F.struct(F.col("id").isNull().alias("without"), "id")).alias("least"))
     signed = "t1 long, t2 long, n long, fp1 long, fp2 long, signs array<bigint>, sketch array<bigint>"
     signed = scratch.table(map_batches(given.select(*_TEXT, "text"), _signed(width, percent), signed).withColumn(
-        "rid", F.monotonically_increasing_id()))
+        "rid", F.monotonically_increasing_id()).withColumn("mark", F.xxhash64("rid")))
     own = ["fp1", "fp2", "n"]
     texts = scratch.table(texts.join(signed.select(*_TEXT, *own, "rid").dropDuplicates(_TEXT), _TEXT))
 
@@ -402,15 +407,17 @@ def _named(source: DataFrame, scratch: Scratch, width: int, percent: int, links:
         F.min(F.struct("t1", "rid")).alias("row"), F.sum("w").alias("w"), least.alias("least")).select(
         *own, "row.t1", "row.rid", "w", "least"))
     # signatures are most of the data and are not shuffled with their rows: a bitmap picks those of the classes' rows, and
-    # of a few others, which are dropped when rows that share a signature are known
-    firsts = spark.sparkContext.broadcast(_bitmap(classes, "t1"))
-    signs = map_batches(signed.select("t1", "signs"), _first_signs(firsts), "sign long")
-    often = scratch.table(signs.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign"))
-    marks = spark.sparkContext.broadcast(_bitmap(often, "sign"))
-    shared = map_batches(signed.select("t1", "rid", "signs"), _marked_signs(marks, firsts), "rid long, sign long")
-    shared = scratch.table(shared.join(often, "sign").join(classes.select("rid"), "rid", "left_semi"))
-    taking = scratch.table(signed.drop("signs").join(shared.select("rid").distinct(), "rid", "left_semi"))
-    scratch.drop(signed, often)
+    # of a few others, which are dropped when rows that share a signature are known.  They are counted slice by slice, since
+    # what one slice shuffled is gone before the next
+    firsts = spark.sparkContext.broadcast(_bitmap(classes.select(F.xxhash64("rid").alias("mark")), "mark"))
+    often = [scratch.table(map_batches(signed.select("mark", "signs"), _first_signs(firsts, turn), "sign long")
+                           .groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign")) for turn in range(TURNS)]
+    shares = reduce(DataFrame.union, often)
+    marks = spark.sparkContext.broadcast(_bitmap(shares, "sign"))
+    shared = map_batches(signed.select("mark", "rid", "signs"), _marked_signs(marks, firsts), "rid long, sign long")
+    shared = scratch.table(shared.join(shares, "sign").join(classes.select("rid"), "rid", "left_semi"))
+    taking = scratch.table(signed.drop("signs", "mark").join(shared.select("rid").distinct(), "rid", "left_semi"))
+    scratch.drop(signed, *often)
     marks = spark.sparkContext.broadcast(_bitmap(taking, "t1"))
     wanted = given.select(*_TEXT, "text")
     wanted = map_batches(wanted, _wanted_texts(marks), wanted.schema).join(taking.select("rid", *_TEXT), _TEXT).select("rid", "text")
@@ -462,7 +469,7 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     if percent not in range(1, 100):
         raise ValueError("percent is a whole number from 1 to 99")
     rows, source = _hashed(docs, text, key, carry)
-    named = _named(source, Scratch(docs.sparkSession), width, percent, links=True)
+    named = _named(source, Scratch(docs.sparkSession, tidy=True), width, percent, links=True)
     found = rows.join(named.withColumn("known", F.lit(True)), _TEXT, "left").withColumn(
         "n", F.when(F.col("empty") | F.col("known").isNull(), 0).otherwise(F.col("n")))
     # of rows equal in id and text one is the first
@@ -477,7 +484,7 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents that `keep` of `join_shingles` marks, without numbers of links, which are not worked out."""
     rows, source = _hashed(docs, text, key, None)
-    named = _named(source, Scratch(docs.sparkSession), width, percent, links=False)
+    named = _named(source, Scratch(docs.sparkSession, tidy=True), width, percent, links=False)
     without = named.where("n = 0").select(*_TEXT)
     first = named.where("n > 0").select("first").distinct().select("first", "first.t1", "first.t2")
     candidates = rows.where("not empty").join(first, _TEXT).where(_is_first())
