@@ -7,6 +7,8 @@ and word-by-word comparison confirms them.  The search runs over many lanes at o
 texts are cut into lanes that overlap by a window, so that numpy advances them together.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -166,6 +168,14 @@ def _scan(shared, first: bool):
     return scan
 
 
+def _added(batches):
+    """The marks of all passes over a text as one."""
+    for batch in batches:
+        marks = [np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in x]).tobytes() for x in batch.column("all_marks").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("t1", "t2", "_items")), pa.array(marks, pa.binary())],
+                                         ["t1", "t2", "_items", "_marks"])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                        item_text: str = "text", width: int = WIDTH,
                        matcher_words: int = MATCHER_WORDS) -> DataFrame:
@@ -177,8 +187,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     so neither hit nor are hit.  Items without an id mark words but are not listed; several
     items of one id count once.  Repeated rows stay as they are.
 
-    The benchmark is broadcast in matchers of at most `matcher_words` words (or one item);
-    a larger one is searched in as many passes, whose marks and items add up.
+    The benchmark is broadcast in matchers of about `matcher_words` words (or one item);
+    a larger one is searched in as many passes, whose marks and items add up.  All passes but the last keep
+    narrow rows of the texts that are hit: their 128 bits of hash, marks and items.  Empty tables give
+    no rows, or rows without hits, and the length of a text has no limit.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -187,15 +199,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     total = items.agg(F.coalesce(F.sum((size + 1) / 2), F.lit(0))).first()[0]  # a word has two bytes with its space
     parts = max(1, int(total // (matcher_words / 2)) + 1) if total > matcher_words else 1
     part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
-    result = bundled(docs, text=F.col(text))
+    body = F.col(f"`{text}`")
+    result = bundled(docs, text=body, t1=F.xxhash64(F.lit(1), body), t2=F.xxhash64(F.lit(2), body))
+    own = ["n_words", "n_hit", "_marks", "_items"]
+    fields = "n_words long, n_hit long, _marks binary, _items array<string>"
+    passes = []
     for k in range(parts):
         here = [(i, words_of(t.encode())) for i, t in items.where(part == k).where("text is not null").distinct().collect()]
         shared = spark.sparkContext.broadcast(Matcher(here, width))
-        own = ["n_words", "n_hit", "_marks", "_items"]
-        result = map_batches(result, _scan(shared, k == 0), extended(
-            result, own, "n_words long, n_hit long, _marks binary, _items array<string>"))
         if k < parts - 1:
-            result = scratch.table(result)
+            texts = result.drop("row")
+            hit = map_batches(texts, _scan(shared, True), extended(texts, own, fields)).where("n_hit > 0")
+            passes.append(scratch.table(hit.select("t1", "t2", "_marks", "_items").dropDuplicates(["t1", "t2"])))
+    if passes:
+        # at most one row per text and pass
+        found = reduce(DataFrame.union, passes).groupBy("t1", "t2").agg(
+            F.collect_list("_marks").alias("all_marks"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+        added = scratch.table(map_batches(found, _added, extended(found, ["all_marks"], "_marks binary")))
+        scratch.drop(*passes)
+        result = result.join(added, ["t1", "t2"], "left").withColumn("_items", F.coalesce("_items", F.array().cast("array<string>")))
+    result = result.drop("t1", "t2")
+    result = map_batches(result, _scan(shared, not passes), extended(result, own, fields))
     return result.select("row", "n_words", "n_hit", F.col("_items").alias("items"))
 
 
