@@ -25,9 +25,13 @@ SAMPLE_CHARS = 6000
 MOST_LANGUAGES = 400
 LEXICON = 400
 BUCKETS = 1 << 17
+WEIGHTS = 1 << 22
+# up to this many languages the windows of the sample have SAMPLE_CHARS, beyond it fewer, as memory has
+FEW_LANGUAGES = 16
 UNDETERMINED = "und"
 
 BLOCK = 64
+BLOCK_ENTRIES = 256
 SLICE_BLOCKS = 1 << 13
 BATCH_BYTES = 6 << 20
 CACHED_WORDS = 300_000
@@ -39,7 +43,7 @@ def _split(text: bytes | None) -> list[bytes]:
     return text.translate(_LETTERS).split() if text else []
 
 
-def _ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _ngrams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words and the index of each feature's word.
 
     A space stands for a word's ends: n-grams up to three characters, and those of four
@@ -64,7 +68,7 @@ def _ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         else:
             good = (edge[:m] | edge[3:]) & ~edge[1:m + 1] & ~edge[2:m + 2]
         mixed = value[good] * np.uint64(0x9E3779B97F4A7C15)
-        hashed.append((mixed >> np.uint64(40)) % np.uint64(BUCKETS))
+        hashed.append((mixed >> np.uint64(40)) % np.uint64(buckets))
         owners.append(owner[:m][good])
     return np.concatenate(hashed).astype(np.int64), np.concatenate(owners)
 
@@ -75,12 +79,14 @@ class Field:
     def __init__(self, labels: list[str], lexicon: dict[str, list[int]]):
         n = len(labels)
         self.labels, self.lexicon = labels, lexicon
-        self.weights = np.zeros((BUCKETS + n, n))  # the last n rows: listed in the lexicon of a language
+        # as many buckets as keep the weights of many labels within WEIGHTS
+        self.buckets = min(BUCKETS, 1 << (WEIGHTS // max(n, 1)).bit_length() - 1)
+        self.weights = np.zeros((self.buckets + n, n))  # the last n rows: listed in the lexicon of a language
         self.trans = np.eye(n) * 2.0
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        hashed, owners = _ngrams(words)
-        extra = [(BUCKETS + k, i) for i, w in enumerate(words) for k in self.lexicon.get(w, ())]
+        hashed, owners = _ngrams(words, self.buckets)
+        extra = [(self.buckets + k, i) for i, w in enumerate(words) for k in self.lexicon.get(w, ())]
         if extra:
             more = np.array(extra, np.int64)
             hashed, owners = np.concatenate([hashed, more[:, 0]]), np.concatenate([owners, more[:, 1]])
@@ -234,11 +240,13 @@ class Labeller:
         lengths = np.array([len(c) for c in chains], np.int64)
         e = np.concatenate(chains)
         begins = np.cumsum(lengths) - lengths
-        blocks = -(-lengths // BLOCK)
+        # blocks grow with the square of many labels, so that their matrices take no more memory a word
+        block = BLOCK * max(1, n * n // BLOCK_ENTRIES)
+        blocks = -(-lengths // block)
         doc = np.repeat(np.arange(len(chains)), blocks)
         nth = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = begins[doc] + nth * BLOCK
-        size = np.minimum(BLOCK, begins[doc] + lengths[doc] - start)
+        start = begins[doc] + nth * block
+        size = np.minimum(block, begins[doc] + lengths[doc] - start)
 
         transfer = np.empty((len(start), n, n))
         for lo in range(0, len(start), SLICE_BLOCKS):
@@ -344,19 +352,18 @@ def _predict(shared, runs: bool):
 def sample(docs: DataFrame, train: Column, text: str, lang: str, key: str) -> list[tuple[str, str]]:
     """The bounded sample of labelled rows: those with the smallest hashes of each language."""
     labelled = docs.where(train & F.col(lang).isNotNull() & (F.octet_length(F.col(text)) > 0))
-    counts = labelled.groupBy(F.col(lang).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = labelled.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return []
     each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(counts)))
+    chars = SAMPLE_CHARS * FEW_LANGUAGES // max(FEW_LANGUAGES, len(counts))
     chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 3.0 * each / r["count"])))])
     draw = F.xxhash64(F.col(key), F.col(text))
     unit = F.pmod(draw, F.lit(1 << 40)) / float(1 << 40)
-    spare = F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1
+    spare = F.greatest(F.length(text) - chars, F.lit(0)) + 1
     begin = (F.pmod(F.shiftright(draw, 8), spare.cast("long")) + 1).cast("int")
     drawn = labelled.where(unit < chance[F.col(lang)]).select(
-        F.col(lang).alias("lang"), unit.alias("u"), F.substring(F.col(text), begin, F.lit(SAMPLE_CHARS)).alias("text"))
+        F.col(lang).alias("lang"), unit.alias("u"), F.substring(F.col(text), begin, F.lit(chars)).alias("text"))
     rows, taken = sorted(drawn.collect(), key=lambda r: (r.lang, r.u, r.text)), {}
     out = []
     for r in rows:
@@ -375,6 +382,8 @@ def identify_language(docs: DataFrame, train: Column | None = None, text: str =
     texts that are null or have no letter, and all texts if nothing could be learned, are
     `und` with score 0 and no runs.  score is the share of words expected in that language;
     of equal shares the first label in order counts.  Repeated rows get the same prediction.
+    Of more than MOST_LANGUAGES values of lang the most frequent are learned (of equally frequent ones
+    the first in order); rows of the others teach nothing and are labelled like all.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
     rows = sample(docs, F.lit(True) if train is None else train, text, lang, key)

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from packmill.llm.language import Field, Labeller, fit, identify_language, op1_crf
+from packmill.llm.language import MOST_LANGUAGES, Field, Labeller, fit, identify_language, op1_crf
 
 SF = "/root/testdata/sf0.001"
 EN = "the cat and the dog were walking with their owner through the garden of the house "
@@ -79,6 +79,33 @@ def test_odd_rows(docs):
     assert {r.lang_pred for r in identify_language(docs([(1, EN), (2, None)])).collect()} == {"und"}
 
 
+def test_more_labels_than_are_learned(docs):
+    rows = [(1000 + k, f"word{k} only{k} here{k}", f"label{k:03}") for k in range(500)]
+    got = identify_language(docs(ROWS + rows)).select("row.doc_id", "lang_pred").collect()
+    learned = {"en", "de"} | {f"label{k:03}" for k in range(MOST_LANGUAGES - 2)}
+    assert len(got) == 540 and {r.lang_pred for r in got} <= learned
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in got if r.doc_id < 40)
+
+
+def test_many_labels_in_larger_blocks():
+    n, rng = 40, np.random.default_rng(3)
+    field = Field([str(k) for k in range(n)], {})
+    field.trans = rng.normal(size=(n, n))
+    labeller, e = Labeller(field), np.exp(rng.normal(size=(1000, n)))
+    [(base, first), *rest] = labeller.posteriors([e])
+    got = np.concatenate([first, *(part for _, part in rest)])
+    alpha, now = [], np.full(n, 1 / n)
+    for row in e:
+        now = (now @ labeller.trans) * row
+        alpha.append(now := now / now.sum())
+    beta, own = np.ones(n), []
+    for k in range(len(e) - 1, -1, -1):
+        own.append(alpha[k] * beta / (alpha[k] @ beta))
+        beta = labeller.trans @ (e[k] * beta)
+        beta /= beta.sum()
+    assert base == 0 and got == pytest.approx(np.array(own[::-1]))
+
+
 def test_prediction_ignores_other_columns(docs):
     train = "doc_id < 40"
     from pyspark.sql import functions as F
