@@ -158,22 +158,13 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
         F.coalesce("best", F.lit(0.0)).alias("score"))
 
 
-def _query(spark, sf_dir: str, windows: bool) -> DataFrame:
+def op2_prefix_filter(spark, sf_dir: str) -> DataFrame:
+    """Blocks are windows of words, so that notices are found wherever lines break."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find_licenses(docs, carry=("doc_id",), windows=windows).select(
+    return find_licenses(docs, carry=("doc_id",), windows=True).select(
         "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-def op2_prefix_filter(spark, sf_dir: str) -> DataFrame:
-    """Blocks are lines, as OP2_SQL has them."""
-    return _query(spark, sf_dir, windows=False)
-
-
-def op2_word_windows(spark, sf_dir: str) -> DataFrame:
-    """The same columns with notices found wherever lines break."""
-    return _query(spark, sf_dir, windows=True)
-
-
 def _sql() -> str:
     words = (r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
              r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
@@ -181,16 +172,20 @@ def _sql() -> str:
         f"SELECT r, p - 1 AS p, '{label}' AS label FROM k WHERE " + " AND ".join(
             f"w[p{f' + {i}' if i else ''}] = '{word}'" for i, word in enumerate(phrase.split()))
         for phrase, label in PHRASES)
-    rows = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for label, text in TEMPLATES.items())
+    rows = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')), {len(text.split())})" for label, text in TEMPLATES.items())
+    needed = f"ceil({THRESHOLD} * len(t) - 1e-9)"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {words.format('text')} AS w FROM documents),
 k AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d WHERE list_contains(w, 'license')),
 b AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list(DISTINCT label) AS labels
       FROM ({places}) GROUP BY r),
-t(label, t) AS (VALUES {rows}),
-l AS (SELECT r, {words.format('line')} AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
-m AS (SELECT r, label, len(list_intersect(list_distinct(w), t)) / len(t) AS score FROM l, t
-      WHERE len(list_intersect(list_distinct(w), t)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
+t(label, t, n) AS (VALUES {rows}),
+l AS (SELECT r, label, t, n, w, (n + 1) // 2 AS step FROM (SELECT r, w, list_distinct(w) AS s FROM d), t
+      WHERE len(list_intersect(s, t)) >= {needed}),
+v AS (SELECT r, label, t, list_distinct(w[k * step + 1 : k * step + 2 * n]) AS w
+      FROM (SELECT *, unnest(range(0, CAST(ceil(greatest(len(w) - 2 * n, 0) / step) AS BIGINT) + 1)) AS k FROM l)),
+m AS (SELECT r, label, len(list_intersect(w, t)) / len(t) AS score FROM v
+      WHERE len(list_intersect(w, t)) >= {needed}),
 s AS (SELECT r, list(DISTINCT label) AS labels, max(score) AS score FROM m GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,

@@ -3,7 +3,7 @@ import re
 import duckdb
 import pytest
 
-from packmill.llm.licenses import OP2_SQL, TEMPLATES, THRESHOLD, find_licenses, op2_prefix_filter, op2_word_windows
+from packmill.llm.licenses import OP2_SQL, TEMPLATES, THRESHOLD, find_licenses, op2_prefix_filter
 
 ROWS = [
     (1, "Released under the MIT License."), (2, "mit license mit license, Apache\n\nLICENSE general public license"),
@@ -48,13 +48,16 @@ def test_against_brute_force(docs):
 
 
 def test_query_equals_sql_and_keeps_empty_tables(spark, tables):
-    folder = tables(ROWS)
+    grant = TEMPLATES["mit-grant"]
+    folder = tables(ROWS + [(12, wrapped(grant.split(), 5, "#") + " tail" * 99), (13, grant.replace(" ", " and so on and on "))])
     got = sorted(op2_prefix_filter(spark, folder).collect(), key=repr)
     db = duckdb.connect()
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     names = [c for c in got[0].asDict()]
     expected = sorted((tuple(r) for r in db.sql(f"SELECT {', '.join(names)} FROM ({OP2_SQL})").fetchall()), key=repr)
     assert sorted((tuple(r) for r in got), key=repr) == expected
+    labels = {r.doc_id: r.labels for r in got}
+    assert labels[10] == "apache,apache-2.0" and labels[12] == "mit-grant" and labels[13] == ""
 
 
 def test_empty_table(docs):
@@ -96,5 +99,5 @@ def test_windows_find_wrapped_notices_and_no_scattered_words(spark, docs, tables
             assert r.score == 0
         elif r.row.text:
             assert labels[r.row.doc_id // 1000] in r.labels.split(",") and r.score == 1
-    assert op2_word_windows(spark, tables(rows)).count() == len(rows)
+    assert op2_prefix_filter(spark, tables(rows)).count() == len(rows)
     assert find_licenses(docs([]), windows=True).count() == 0
