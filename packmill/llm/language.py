@@ -299,21 +299,22 @@ class Labeller:
             yield int(base), alpha
 
     def label(self, texts: list[bytes | None], runs: bool):
-        """Per text: language, score and runs of words (language, first word, words) if asked for."""
+        """Per text: language, score, runs of words (language, first word, words) if asked for, and certainty."""
         chains = [self.chain(t) for t in texts]
         lengths = np.array([len(c) for c in chains], np.int64)
         stops = np.cumsum(lengths)
         totals = np.zeros((len(texts), len(self.field.labels)))
-        best = np.empty(int(lengths.sum()), np.int32)
+        best, sure = np.empty(int(lengths.sum()), np.int32), np.zeros(len(texts))
         for base, part in self.posteriors(chains) if len(best) else ():
             owner = np.searchsorted(stops, np.arange(base, base + len(part)), "right")
             for k in range(totals.shape[1]):
                 totals[:, k] += np.bincount(owner, part[:, k], len(texts))
             best[base:base + len(part)] = part.argmax(axis=1)
+            sure += np.bincount(owner, part.max(axis=1), len(texts))
         out = []
         for k, n in enumerate(lengths.tolist()):
             if not n:
-                out.append((UNDETERMINED, 0.0, []))
+                out.append((UNDETERMINED, 0.0, [], 0.0))
                 continue
             top = int(totals[k].argmax())
             found = []
@@ -321,7 +322,7 @@ class Labeller:
                 own = best[stops[k] - n:stops[k]]
                 cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), n]
                 found = [(self.field.labels[own[a]], a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-            out.append((self.field.labels[top], min(1.0, float(totals[k, top] / n)), found))
+            out.append((self.field.labels[top], min(1.0, float(totals[k, top] / n)), found, min(1.0, float(sure[k] / n))))
         return out
 
 
@@ -339,13 +340,14 @@ def _predict(shared, runs: bool):
                 part.append(text)
                 size += len(text or b"")
                 if size >= BATCH_BYTES or k == len(texts) - 1:
-                    found += labeller.label(part, runs) if labeller else [(UNDETERMINED, 0.0, [])] * len(part)
+                    found += labeller.label(part, runs) if labeller else [(UNDETERMINED, 0.0, [], 0.0)] * len(part)
                     part, size = [], 0
-            langs, scores, spans = zip(*found, strict=True) if found else ((), (), ())
+            langs, scores, spans, sure = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
-                 pa.array([[dict(zip(("lang", "first", "words"), r, strict=True)) for r in x] for x in spans], pa.list_(_RUN))],
-                ["row", "lang_pred", "score", "runs"])
+                 pa.array([[dict(zip(("lang", "first", "words"), r, strict=True)) for r in x] for x in spans], pa.list_(_RUN)),
+                 pa.array(sure, pa.float64())],
+                ["row", "lang_pred", "score", "runs", "certainty"])
     return predict
 
 
@@ -375,13 +377,14 @@ def sample(docs: DataFrame, train: Column, text: str, lang: str, key: str) -> li
 
 def identify_language(docs: DataFrame, train: Column | None = None, text: str = "text", lang: str = "lang",
                       key: str = "doc_id", runs: bool = True) -> DataFrame:
-    """Documents (struct `row`) with lang_pred, score (0 to 1) and runs of words by language.
+    """Documents (struct `row`) with lang_pred, score (0 to 1), runs of words by language and certainty.
 
     The field learns from text and non-null lang of the rows where `train` holds (all, if not
     given).  A prediction uses the text alone, the whole of it.  lang_pred is a learned value;
     texts that are null or have no letter, and all texts if nothing could be learned, are
     `und` with score 0 and no runs.  score is the share of words expected in that language;
-    of equal shares the first label in order counts.  Repeated rows get the same prediction.
+    of equal shares the first label in order counts.  certainty is the mean probability of
+    each word's likeliest language: high where every word is labelled surely, in however many languages.  Repeated rows get the same prediction.
     Of more than MOST_LANGUAGES values of lang the most frequent are learned (of equally frequent ones
     the first in order); rows of the others teach nothing and are labelled like all.  An empty table gives an empty one.
     """
@@ -390,7 +393,7 @@ def identify_language(docs: DataFrame, train: Column | None = None, text: str =
     shared = spark.sparkContext.broadcast(fit(rows) if rows else None)
     rows = bundled(docs, text=F.col(text))
     return map_batches(rows, _predict(shared, runs), extended(
-        rows, ["text"], "lang_pred string, score double, runs array<struct<lang:string,first:bigint,words:bigint>>"))
+        rows, ["text"], "lang_pred string, score double, runs array<struct<lang:string,first:bigint,words:bigint>>, certainty double"))
 
 
 def op1_crf(spark, sf_dir: str) -> DataFrame:

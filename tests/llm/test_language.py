@@ -61,9 +61,10 @@ def test_code_switched_text_and_learned_transitions():
     field = fit([(t, lang) for _, t, lang in ROWS])
     assert (np.diag(field.trans) > field.trans[[0, 1], [1, 0]]).all()
     text = (EN * 3 + DE * 2).encode()
-    [(lang, score, runs)] = Labeller(field).label([text], True)
+    [(lang, score, runs, sure)] = Labeller(field).label([text], True)
     assert lang == "en" and 0.5 < score < 0.7
     assert [r[0] for r in runs] == ["en", "de"] and sum(r[2] for r in runs) == len(text.split())
+    assert sure > 0.95  # each word is labelled surely, though no language has all of them
 
 
 def test_odd_rows(docs):

@@ -60,3 +60,14 @@ def test_near_copies_between_four_fifths_and_nine_tenths(spark, tables):
     docs = spark.read.parquet(f"{tables(rows)}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, None).collect()}
     assert kept == {a for a, _ in pairs} | {a + 1 for a, near in pairs if not near}
+
+
+def test_clean_text_in_three_languages_stays(spark):
+    spoken = {"en": "the cat and the dog were walking with their owner through the garden of the house ",
+              "de": "der hund und die katze gingen mit ihrem besitzer durch den garten hinter dem haus ",
+              "es": "el perro y el gato caminaban con sus amigos por las calles de una ciudad vieja "}
+    rows = [(k, spoken[lang] * (1 + k % 5), lang) for k, lang in enumerate([*spoken] * 15)]
+    rows += [(100, "".join(spoken.values()), None), (101, "12 34 --", "en"), (102, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == set(range(45)) | {100}
