@@ -15,15 +15,15 @@ from packmill.llm.mixing import mix_sources
 from packmill.llm.partenum import drop_near_copies
 from packmill.llm.sharding import hilbert_shards
 
-# A document stays if at least so large a share of its words is expected in one language.
-LEAST_SCORE = 0.5
+# A document stays if the likeliest languages of its words are so probable in the mean, be it one language or several.
+LEAST_CERTAINTY = 0.5
 # Near copies share four fifths of their shingles of five words.
 SHINGLE_WORDS, SHARED_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = identify_language(docs, runs=False)
-    return unbundled(found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)))
+    return unbundled(found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("certainty") >= LEAST_CERTAINTY)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
