@@ -71,8 +71,12 @@ def _column(value: Column, kind: str = "string") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: project_id, rel_path, base, doc_id, byte_kind, rule_kind, text."""
-    return _table(spark, sf_dir, "documents").select(
-        _column(F.expr(DOC_PROJECT)).alias("project_id"), _column(F.expr(DOC_PATH)).alias("rel_path"),
+    return _as_files(_table(spark, sf_dir, "documents"), _column)
+
+
+def _as_files(table: DataFrame, column) -> DataFrame:
+    return table.select(
+        column(F.expr(DOC_PROJECT)).alias("project_id"), column(F.expr(DOC_PATH)).alias("rel_path"),
         F.expr(DOC_BASE).alias("base"), "doc_id", (F.col("doc_id") % 11).alias("byte_kind"),
         F.expr(RULE_KIND).alias("rule_kind"), "text")
 
@@ -90,6 +94,18 @@ def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as bytes in many encodings, some broken, the text in all: adds `content`.
 
     It is a plain expression above the paths, so a filter on paths comes before it."""
+    return _with_bytes(documents(spark, sf_dir))
+
+
+def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files(project_id, rel_path, content) of the documents as they arrive in their folder."""
+    table = f"{sf_dir}/documents.parquet"
+    # a stream takes one file as its source only through a pattern; a folder of files fits it too
+    arriving = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{table}*")
+    return _with_bytes(_as_files(arriving, lambda value: value)).select("project_id", "rel_path", "content")
+
+
+def _with_bytes(docs: DataFrame) -> DataFrame:
     def hx(digits):
         return F.unhex(F.lit(digits))
 
@@ -115,7 +131,7 @@ def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(kind == 7, F.concat(hx("FFFE"), F.encode(text, "UTF-16LE"), hx("41")))
                .when(kind == 8, F.concat(hx("FEFF"), F.encode(text, "UTF-16BE")))
                .otherwise(plain))
-    return documents(spark, sf_dir).withColumn("content", content)
+    return docs.withColumn("content", content)
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -443,6 +443,17 @@ def _oracles() -> dict[str, str]:
                               "WHERE size_bytes > 9000 OR decode_reason IS NOT NULL"),
         "transcoded_files": _with(DOCS, DECODED, select="SELECT project_id, rel_path, encoding FROM decoded "
                                   "WHERE encoding IN ('cp1251', 'latin-1', 'utf-16', 'utf-32')"),
+        "streamed_facts": _with(
+            DOCS, DECODED, f"layered AS (SELECT *, coalesce({builtin('rel_path', 'TRUE')}, CASE WHEN "
+            f"{_PACK_HITS.format('rel_path')} THEN 'user_glob' END, {LEFTOVER}) AS ignore_reason FROM decoded)",
+            "reasons AS (SELECT *, CASE WHEN ignore_reason IS NULL THEN coalesce(CASE WHEN size_bytes > 9000 THEN "
+            "'exceeds size limit (8.8 KB)' END, decode_reason) END AS skip_reason FROM layered)",
+            "shown AS (SELECT * EXCLUDE (text, encoding), CASE WHEN ignore_reason IS NULL AND skip_reason IS NULL THEN text "
+            "END AS text, CASE WHEN ignore_reason IS NULL AND skip_reason IS NULL THEN encoding END AS encoding FROM reasons)",
+            select=f"SELECT project_id, rel_path, {name('rel_path')} AS name, {parent('rel_path')} AS parent, "
+            f"{suffix('rel_path')} AS suffix, len({parts('rel_path')}) AS depth, {language('rel_path')} AS language, "
+            f"ignore_reason, size_bytes, skip_reason, encoding, CASE WHEN text IS NOT NULL THEN {lines} END AS lines, "
+            "CAST(floor(length(text) / 4 + 0.5) AS BIGINT) AS tokens, md5(text) AS text_md5 FROM shown"),
         "line_counts": _with(DOCS, TICKED, select=f"SELECT doc_id, {lines} AS lines FROM ticked"),
         "token_heuristic": "SELECT doc_id, CAST(floor(length(text) / 4 + 0.5) AS BIGINT) AS tokens FROM documents",
         "project_totals": _with(

@@ -1,5 +1,7 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame."""
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from packmill.catalog import corpora
@@ -7,12 +9,13 @@ from packmill.functions import decode, render, text as tx
 from packmill.functions.paths import base_name, depth, order_key, parent, suffix
 from packmill.functions.patterns import excluded
 from packmill.operators import classify, filters, inventory, links, rules, tree
-from packmill.operators.durable import durable
+from packmill.operators.durable import durable, shared_folder
 from packmill.operators.ordering import with_position
 from packmill.options import PackOptions
 from packmill.plans import exact
 from packmill.plans.pack import Pack
 from packmill.session import ship_package
+from packmill.streaming.facts import write_facts
 
 STAMP = "2026-01-01 00:00:00"
 GLOBS = ("docs/*", "*.toml", "B_*[0-4].md", "?_1*.txt", "[!a-h]un_*", "src/a_*")
@@ -219,6 +222,17 @@ def transcoded_files(spark, sf_dir):
         "project_id", "rel_path", "encoding")
 
 
+@query
+def streamed_facts(spark, sf_dir):
+    """Facts of all files, taken by a stream that ends when it has read what is there."""
+    folder = f"{shared_folder(spark)}/facts-{uuid.uuid4()}"
+    write_facts(corpora.document_stream(spark, sf_dir), f"{folder}/rows", f"{folder}/progress",
+                PackOptions(exclude_patterns=("src/a_*", "data/"), max_file_size="9000B")).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select(
+        "project_id", "rel_path", "name", "parent", "suffix", "depth", "language", "ignore_reason", "size_bytes",
+        "skip_reason", "encoding", "lines", "tokens", "text_md5")
+
+
 # ---- text statistics
 
 @query
