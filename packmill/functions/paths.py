@@ -35,6 +35,17 @@ def ancestors(path: Column, own: bool = False) -> Column:
     return F.when(path == "", root).otherwise(chain)
 
 
+def preorder_key(path: Column) -> Column:
+    """String in whose binary order a directory is followed by all that lies below it, and
+    by nothing else before `preorder_end`; the root's is ''."""
+    return F.when(path == "", "").otherwise(F.concat(F.replace(path, F.lit("/"), F.lit("\0")), F.lit("\0")))
+
+
+def preorder_end(path: Column) -> Column:
+    """Bound that is above the keys below a directory other than the root and no key's equal."""
+    return F.concat(F.replace(path, F.lit("/"), F.lit("\0")), F.lit("\1"))
+
+
 def _piece(flag: Column, name: Column) -> Column:
     return F.concat(flag, F.lower(name), F.lit("\0"), name, F.lit("\0"))
 

@@ -5,11 +5,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from packmill.functions.paths import ancestors
+from packmill.functions.paths import preorder_end, preorder_key
 from packmill.functions.patterns import excluded
 from packmill.operators import filters, inventory, rules
 from packmill.operators.durable import durable, measured
 from packmill.operators.lookup import Lookup
+from packmill.operators.ordering import in_order, running_max
 from packmill.options import PackOptions
 
 
@@ -121,20 +122,18 @@ def _repeats(dirs: DataFrame, outline: DataFrame) -> tuple[Lookup, DataFrame]:
     """Directories below one whose identity was met before, and `dirs` without them."""
     ids = outline.where((F.col("kind") == "dir") & F.col("dir_id").isNotNull()).select(
         "project_id", F.col("rel_path").alias("dir"), "dir_id")
+    path = F.col("dir")
     repeats = inventory.repeated_directories(dirs.join(ids, ["project_id", "dir"])).select(
-        "project_id", F.col("dir").alias("above"), F.lit(True).alias("repeated"))
-    chain = dirs.select("project_id", "dir", "entries",
-                        F.explode(ancestors(F.col("dir"), own=True)).alias("above"))
-    found = chain.join(repeats, ["project_id", "above"])
+        "project_id", "dir", F.lit(True).alias("repeated"))
+    rows = dirs.join(repeats, ["project_id", "dir"], "left").select(
+        "project_id", "dir", "entries", F.coalesce("repeated", F.lit(False)).alias("repeated"),
+        preorder_key(path).alias("key"))
     # the repeated directory itself stays, with a note; what is below goes
-    inside = found.groupBy("project_id", "dir").agg(
-        F.max("entries").alias("entries"),
-        F.max(F.col("above") == F.col("dir")).alias("repeated"),
-        F.max(F.col("above") != F.col("dir")).alias("below"))
-    marks = Lookup(inside.select("project_id", F.col("dir").alias("parent"), "entries", "repeated", "below",
-                                 F.lit(True).alias("below_repeat")), ["project_id", "parent"], "entries")
-    met = marks.table.select("project_id", F.col("parent").alias("dir"), "repeated", "below")
-    dirs = dirs.join(met, ["project_id", "dir"], "left").where(
-        ~F.coalesce("below", F.lit(False))).select(
-        "project_id", "dir", "entries", F.coalesce("repeated", F.lit(False)).alias("repeated"))
-    return marks, durable(dirs)
+    scanned = running_max(in_order(rows, ["project_id"], ["key"]), ["project_id"],
+                          F.when(F.col("repeated"), preorder_end(path)), "end", own=False)
+    scanned = scanned.select("project_id", "dir", "entries", "repeated",
+                             F.coalesce(F.col("end") > F.col("key"), F.lit(False)).alias("below"))
+    marks = Lookup(scanned.where("repeated or below").select(
+        "project_id", path.alias("parent"), "entries", F.lit(True).alias("below_repeat")),
+        ["project_id", "parent"], "entries")
+    return marks, durable(scanned.where("not below").drop("below"))

@@ -23,12 +23,17 @@ class Lookup:
     HOT_KEYS of them and none above its share of BROADCAST_BYTES; `weight` names the table's
     column with the number of rows per key.  Rows that found theirs get a join key of their
     own, made from `spread`, a column that differs from row to row, and all keys left are
-    light, so the shuffled join is balanced.  The rows are read once.
+    light, so the shuffled join is balanced.  An entry above that share stays where it is but is
+    repeated, the more often the more rows its key has, and each row goes to one of its places.
+    The rows are read once.
     """
 
     def __init__(self, table: DataFrame, keys: list[str], weight: str):
         self.keys, self.weight = keys, weight
-        self.table, found = measured(table, rows=F.count("*"), size=F.coalesce(F.sum(_size(table)), F.lit(0)))
+        self.table, found = measured(table, rows=F.count("*"), size=F.coalesce(F.sum(_size(table)), F.lit(0)),
+                                     weight=F.coalesce(F.sum(weight), F.lit(0)))
+        # a key with more rows is spread over several places
+        self.share = max(1, int(found["weight"]) // HOT_KEYS)
         self.small = found["rows"] <= BROADCAST_ROWS and found["size"] <= BROADCAST_BYTES
 
     def join(self, rows: DataFrame, spread: Column, values: list[str]) -> DataFrame:
@@ -37,13 +42,25 @@ class Lookup:
         if self.small:
             return rows.join(F.broadcast(table.drop(self.weight)), self.keys, "left")
         entries = table.select(*self.keys, self.weight, F.struct(*values).alias("_entry"), _size(table).alias("_size"))
-        heavy = F.broadcast(entries.where(F.col("_size") <= BROADCAST_BYTES // HOT_KEYS).orderBy(
-            F.desc(self.weight)).limit(HOT_KEYS).select(*self.keys, F.col("_entry").alias("_hot")))
+        fits = F.col("_size") <= BROADCAST_BYTES // HOT_KEYS
 
+        def heaviest(condition: Column) -> DataFrame:
+            return entries.where(condition).orderBy(F.desc(self.weight)).limit(HOT_KEYS)
+
+        hot = heaviest(fits).select(*self.keys, F.col("_entry").alias("_hot"))
+        places = F.ceil(F.col(self.weight) / self.share).cast("int")
+        large = heaviest(~fits & (F.col(self.weight) > self.share)).select(*self.keys, places.alias("_places"))
         *outer, last = self.keys
-        probed = rows.join(heavy, self.keys, "left").withColumn(
-            "_key", F.when(F.col("_hot").isNull(), F.col(last)).otherwise(F.concat(F.lit("\0"), spread)))
-        found = probed.join(entries.drop(self.weight, "_size").withColumnRenamed(last, "_key"), [*outer, "_key"], "left")
+        probed = rows.join(F.broadcast(hot.unionByName(large, allowMissingColumns=True)), self.keys, "left")
+        place = F.pmod(F.xxhash64(spread), F.col("_places")).cast("string")
+        probed = probed.withColumn("_key", F.when(F.col("_hot").isNotNull(), F.concat(F.lit("\0"), spread)).when(
+            F.col("_places").isNotNull(), F.concat(F.col(last), F.lit("\0"), place)).otherwise(F.col(last))).drop("_places")
+        repeated = entries.drop(self.weight, "_size").join(F.broadcast(large), self.keys, "left").withColumn(
+            "_place", F.explode(F.when(F.col("_places").isNull(), F.array(F.lit(None).cast("int"))).otherwise(
+                F.sequence(F.lit(0), F.col("_places") - 1))))
+        repeated = repeated.select(*outer, "_entry", F.when(F.col("_place").isNull(), F.col(last)).otherwise(
+            F.concat(F.col(last), F.lit("\0"), F.col("_place").cast("string"))).alias("_key"))
+        found = probed.join(repeated, [*outer, "_key"], "left")
         return found.select(
             *[F.col(c) for c in rows.columns],
             *[F.coalesce(F.col("_hot")[v], F.col("_entry")[v]).alias(v) for v in values])

@@ -2,13 +2,14 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from packmill.constants import TOOL_IGNORE_FILE
 from packmill.functions import ignore_rules as ir
-from packmill.functions.paths import ancestors, base_name, depth, parent
+from packmill.functions.paths import ancestors, base_name, depth, parent, preorder_end, preorder_key
 from packmill.operators.filters import is_ignore_file
 from packmill.operators.lookup import Lookup
+from packmill.operators.ordering import in_order, running_max
 
 
 def ignore_files(entries: DataFrame) -> DataFrame:
@@ -50,7 +51,8 @@ def rules(lines: DataFrame) -> DataFrame:
 
 
 def programs(rule_table: DataFrame) -> DataFrame:
-    """One regex per directory with an ignore file: project_id, scope, program.
+    """One regex per directory with an ignore file: project_id, scope, above (the next such
+    directory above it, if any), program.
 
     It covers that file's rules and those of every directory above.  A list of rules
     is as long as the ignore files on one path from the root, whatever the project's size.
@@ -60,9 +62,11 @@ def programs(rule_table: DataFrame) -> DataFrame:
         F.collect_list(rule).alias("own_rules"))
     chain = own.select("project_id", F.col("scope").alias("below"), F.explode(
         ancestors(F.col("scope"), own=True)).alias("scope"))
+    upper = F.col("scope") != F.col("below")
     merged = chain.join(own, ["project_id", "scope"]).groupBy("project_id", "below").agg(
-        F.array_sort(F.flatten(F.collect_list("own_rules"))).alias("all_rules"))
-    return merged.select("project_id", F.col("below").alias("scope"),
+        F.array_sort(F.flatten(F.collect_list("own_rules"))).alias("all_rules"),
+        F.max_by("scope", F.when(upper, depth(F.col("scope")))).alias("above"))
+    return merged.select("project_id", F.col("below").alias("scope"), "above",
                          ir.program(F.col("all_rules")).alias("program"))
 
 
@@ -78,28 +82,48 @@ class Verdicts:
     programs: Lookup
 
 
+def _in_force(dirs: DataFrame, program_table: DataFrame) -> DataFrame:
+    """Directories in or below one with an ignore file, with `scope`, the nearest such one.
+
+    In the order of the tree a scope begins at its directory, and after its last one the scope
+    above is in force again; the latest of these marks decides.  No directory is unfolded to
+    those above it, so rows are as many as directories.
+    """
+    scope = F.col("scope")
+
+    def mark(key: Column, now: Column) -> DataFrame:
+        return program_table.select(
+            "project_id", F.lit(None).cast("string").alias("dir"), F.lit(None).cast("long").alias("entries"),
+            key.alias("key"), F.struct(key.alias("key"), now.alias("scope")).alias("mark"))
+
+    marks = mark(preorder_key(scope), scope).unionByName(mark(preorder_end(scope), F.col("above")).where(scope != ""))
+    rows = dirs.select("project_id", "dir", "entries", preorder_key(F.col("dir")).alias("key"))
+    ordered = in_order(rows.unionByName(marks, allowMissingColumns=True), ["project_id"],
+                       ["key", F.col("dir").isNotNull()])
+    return running_max(ordered, ["project_id"], F.col("mark"), "latest").where(
+        "dir is not null and latest.scope is not null").select(
+        "project_id", "dir", "entries", "key", F.col("latest.scope").alias("scope"), "_chunk", "_place")
+
+
 def directory_verdicts(dirs: DataFrame, program_table: DataFrame) -> Verdicts:
     """For every directory the scope in force and whether a rule prunes it.
 
     `dirs` has project_id, dir, entries.  A directory is pruned if it or one above it is
-    ignored, each tried as it is and with a slash at its end.  A scope near the root may
-    hold most directories of a project, so both joins on scopes go through a Lookup.
+    ignored, each tried as it is and with a slash at its end.  What a file says holds below
+    its directory, so every directory is tried once, by the rules in force there, and what
+    is below an ignored one is a range of the order.  A scope near the root may hold most
+    directories of a project, so joins on scopes go through a Lookup.
     """
-    scope = ["project_id", "scope"]
-    chain = dirs.select("project_id", "dir", F.explode(
-        ancestors(F.col("dir"), own=True)).alias("scope"))
-    below = chain.groupBy(*scope).agg(F.count("*").alias("below"))
-    programs = Lookup(program_table.join(below, scope).withColumn("has_rules", F.lit(True)), scope, "below")
-    nearest = programs.join(chain, F.col("dir"), ["has_rules"]).where("has_rules").groupBy(
-        "project_id", "dir").agg(F.max_by("scope", depth(F.col("scope"))).alias("scope"))
-    ruled = programs.join(nearest, F.col("dir"), ["program"])
-    program = F.col("program")
-    above = F.filter(ancestors(F.col("dir"), own=True), lambda d: d != "")
-    pruned = F.exists(above, lambda d: ir.ignored_by(d, program)
-                      | ir.ignored_by(F.concat(d, F.lit("/")), program))
-    ruled = ruled.select("project_id", "dir", "scope", pruned.alias("pruned"))
-    found = dirs.join(ruled, ["project_id", "dir"]).select(
-        "project_id", F.col("dir").alias("parent"), "entries", "scope", "pruned")
+    path, program = F.col("dir"), F.col("program")
+    nearest = _in_force(dirs, program_table)
+    below = nearest.groupBy("project_id", "scope").agg(F.sum(F.col("entries") + 1).alias("below"))
+    programs = Lookup(program_table.drop("above").join(below, ["project_id", "scope"]), ["project_id", "scope"], "below")
+    ruled = programs.join(nearest, path, ["program"])
+    ignored = (path != "") & (ir.ignored_by(path, program) | ir.ignored_by(F.concat(path, F.lit("/")), program))
+    ruled = ruled.withColumn("reach", F.when(ignored, preorder_end(path))).drop("program")
+    ends = running_max(ruled, ["project_id"], F.col("reach"), "end")
+    found = ends.select("project_id", path.alias("parent"), "entries", "scope",
+                        F.coalesce(F.col("end") > F.col("key"), F.lit(False)).alias("pruned"))
     return Verdicts(Lookup(found, ["project_id", "parent"], "entries"), programs)
 
 
