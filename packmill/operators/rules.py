@@ -91,12 +91,13 @@ def _in_force(dirs: DataFrame, program_table: DataFrame) -> DataFrame:
     """
     scope = F.col("scope")
 
-    def mark(key: Column, now: Column) -> DataFrame:
-        return program_table.select(
-            "project_id", F.lit(None).cast("string").alias("dir"), F.lit(None).cast("long").alias("entries"),
-            key.alias("key"), F.struct(key.alias("key"), now.alias("scope")).alias("mark"))
+    def mark(key: Column, now: Column) -> Column:
+        return F.struct(key.alias("key"), now.alias("scope"))
 
-    marks = mark(preorder_key(scope), scope).unionByName(mark(preorder_end(scope), F.col("above")).where(scope != ""))
+    marks = program_table.select("project_id", F.explode(F.array_compact(F.array(
+        mark(preorder_key(scope), scope),
+        F.when(scope != "", mark(preorder_end(scope), F.col("above")))))).alias("mark")).select(
+        "project_id", F.col("mark.key").alias("key"), "mark")
     rows = dirs.select("project_id", "dir", "entries", preorder_key(F.col("dir")).alias("key"))
     ordered = in_order(rows.unionByName(marks, allowMissingColumns=True), ["project_id"],
                        ["key", F.col("dir").isNotNull()])
