@@ -1,9 +1,9 @@
 """Shards along a Hilbert curve through several metadata dimensions.
 
-Each dimension is quantised into cells of about equal weight, the cells' place on the curve
-orders the rows, and runs of the order with equal bytes become shards.  Neighbours on the
-curve are neighbours in every dimension, so a shard covers a small box of each and files
-can be skipped by their minima and maxima in any of them.
+Each dimension is quantised into cells of about equal weight by the quantiles of all rows, the
+cells' place on the curve orders the rows, and runs of the order with equal bytes become
+shards.  Neighbours on the curve are neighbours in every dimension, so a shard covers a small
+box of each and files can be skipped by their minima and maxima in any of them.
 """
 
 import numpy as np
@@ -16,8 +16,6 @@ from packmill.llm.common import Scratch, bundled, extended, map_batches
 SHARDS = 24
 BITS = 10
 OVERHEAD = 8
-# Cells are cut on a hashed sample of the distinct combinations of values, about so many.
-SAMPLE_COMBINATIONS = 20_000
 _PREFIX = 7
 
 
@@ -68,22 +66,51 @@ def _codes(docs: DataFrame, dims: list[str]) -> list[Column]:
     return codes
 
 
+def _counted(batches):
+    """Adds, within the task: its number, the row's place, the sizes up to and with it."""
+    part, place, size = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n = batch.num_rows
+        upto = np.cumsum(np.asarray(batch.column("size"))) + size
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(place, place + n)), pa.array(upto)],
+            [*batch.schema.names, "part", "place", "upto"])
+        place, size = place + n, int(upto[-1]) if n else size
+
+
+def _summed(rows: DataFrame, order: list[str], drop: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows (less the columns `drop`) in order, with what `_counted` adds, as a table; and per
+    task of the sort the sums of sizes and rows before it and the total of all."""
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop(*drop)
+    ordered = scratch.table(map_batches(ordered, _counted, extended(ordered, [], "part int, place long, upto long")))
+    parts = ordered.groupBy("part").agg(F.max("upto").alias("bytes"), F.count("*").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the sort
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return ordered, parts.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
+                                 F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
+                                 F.sum("bytes").over(everything).alias("total"))
+
+
 def _cuts(rows: DataFrame, names: list[str], bits: int) -> list[np.ndarray]:
-    """Per dimension the codes at which cells begin, by weighted quantiles of the sample."""
-    found = rows.groupBy(*names).agg(F.count("*").alias("_weight"))
-    many = found.count()
-    if many > SAMPLE_COMBINATIONS:
-        found = found.where(F.pmod(F.xxhash64(*names), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_COMBINATIONS / many))
-    got = found.collect()
-    cuts = []
-    for name in names:
-        values = np.array([r[name] for r in got], np.int64)
-        order = np.argsort(values, kind="stable")
-        upto = np.cumsum(np.array([r["_weight"] for r in got], np.float64)[order])
-        marks = np.arange(1, 1 << bits) / (1 << bits) * (upto[-1] if len(upto) else 0)
-        places = np.searchsorted(upto, marks, "left")
-        cuts.append(values[order][np.minimum(places, max(len(values) - 1, 0))] if len(values) else values)
-    return cuts
+    """Per dimension the codes at which cells begin: the quantiles of all rows.
+
+    Values are counted and sorted; those at which the count passes a mark come to the driver, at
+    most 2 ** bits - 1 of each dimension.
+    """
+    scratch, marks = Scratch(rows.sparkSession), (1 << bits) - 1
+    values = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("dim"), F.col(n).alias("code"))
+                                             for k, n in enumerate(names)])).alias("value")).select("value.*")
+    counts = values.groupBy("dim", "code").agg(F.count("*").alias("size"))
+    ordered, parts = _summed(counts, ["dim", "code"], [], scratch)
+    # every dimension counts all rows, so dimension k begins after k times as many
+    each = f"(total div {len(names)})"
+    passed = lambda upto: F.expr(f"least({marks}, ({upto} - dim * {each}) * {1 << bits} div {each})")
+    got = ordered.join(F.broadcast(parts), "part").select(
+        "dim", "code", passed("bytes_before + upto").alias("upto"), passed("bytes_before + upto - size").alias("before"))
+    got = sorted(got.where("upto > before").collect())
+    scratch.drop(ordered)
+    return [np.repeat(np.array([r.code for r in got if r.dim == k], np.int64),
+                      np.array([r.upto - r.before for r in got if r.dim == k], np.int64)) for k in range(len(names))]
 
 
 def _placed(cuts: list[np.ndarray], bits: int):
@@ -100,18 +127,6 @@ def _placed(cuts: list[np.ndarray], bits: int):
     return placed
 
 
-def _counted(batches):
-    """Adds, within the task: its number, the row's place, the sizes up to and with it."""
-    part, place, size = TaskContext.get().partitionId(), 0, 0
-    for batch in batches:
-        n = batch.num_rows
-        upto = np.cumsum(np.asarray(batch.column("size"))) + size
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(place, place + n)), pa.array(upto)],
-            [*batch.schema.names, "part", "place", "upto"])
-        place, size = place + n, int(upto[-1]) if n else size
-
-
 def hilbert_shards(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang", "n_bytes"), text: str = "text",
                    key: str = "doc_id", shards: int = SHARDS, bits: int = BITS, size: Column | None = None,
                    crc: Column | None = None) -> DataFrame:
@@ -126,7 +141,7 @@ def hilbert_shards(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang", "
     numbers the rows of a shard from 0 in this order.  Nulls come first in every dimension;
     repeated rows keep each a slot of its own.  Equal texts lie together where their
     dimensions agree; a group of copies larger than a shard is cut like any run.  The input is read several times
-    (ranges of the dimensions, cells, a sample, the sort), so it should be a table.
+    (ranges of the dimensions, cells, the sort), so it should be a table.
     """
     scratch = Scratch(docs.sparkSession)
     size = text_sizes(F.col(text)) if size is None else size
@@ -140,16 +155,7 @@ def hilbert_shards(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang", "
     # the sort samples its input first; the row number splits rows equal in all else
     placed = map_batches(rows, _placed(cuts, bits), extended(rows, names, "curve long")).withColumn(
         "nth", F.monotonically_increasing_id())
-    order = ["curve", "text_crc32", "id", "nth"]
-    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("nth", "id")
-    ordered = scratch.table(map_batches(ordered, _counted, extended(ordered, [], "part int, place long, upto long")))
-
-    parts = ordered.groupBy("part").agg(F.max("upto").alias("bytes"), F.count("*").alias("rows"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the sort
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = parts.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
-                         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
-                         F.sum("bytes").over(everything).alias("total"))
+    ordered, parts = _summed(placed, ["curve", "text_crc32", "id", "nth"], ["nth", "id"], scratch)
     shard = F.expr(f"{shards} * (2 * (bytes_before + upto) - size) div (2 * total)")
     cut = ordered.join(parts, "part").select(
         "row", "size", "text_crc32", "curve", F.least(shard, F.lit(shards - 1)).cast("int").alias("shard"),

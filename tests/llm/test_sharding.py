@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from packmill.llm.sharding import hilbert_index, hilbert_shards, op3_hilbert, write_shards
+from packmill.llm.sharding import _cuts, hilbert_index, hilbert_shards, op3_hilbert, write_shards
 
 
 @pytest.mark.parametrize("dims, bits", [(2, 1), (2, 4), (3, 3), (4, 2)])
@@ -53,6 +53,19 @@ def test_odd_rows(docs):
     assert hilbert_shards(docs([])).count() == 0
 
 
+def test_cells_are_cut_by_all_rows(spark):
+    n, bits = 30_000, 6  # that many different combinations, each row counts
+    rows = spark.range(n, numPartitions=7).selectExpr(
+        "id * 7919 % 30011 * 5 AS a", "CASE WHEN id % 3 = 0 THEN -1 ELSE id % 50 END AS b", "id * id AS c", "7L AS d")
+    got = _cuts(rows, ["a", "b", "c", "d"], bits)
+    for name, cuts in zip("abcd", got, strict=True):
+        values = sorted(r[0] for r in rows.select(name).collect())
+        # the least value up to which there are k / 64 of all rows
+        assert cuts.tolist() == [values[-(-k * n // (1 << bits)) - 1] for k in range(1, 1 << bits)]
+    assert [c.tolist() for c in _cuts(rows.limit(1), ["d"], bits)] == [[7] * 63]
+    assert [c.tolist() for c in _cuts(rows.limit(0), ["a", "d"], bits)] == [[], []]
+
+
 def test_files_can_be_skipped(spark, docs, tmp_path):
     rows = corpus(2000)
     sharded = hilbert_shards(docs(rows), shards=8)
