@@ -5,29 +5,39 @@ membership score each word, learned transitions tie neighbours, and forward-back
 every word its distribution over languages, also where a text switches.  A document's
 language is the one with most expected words.
 
-The field is fitted on the driver, on a bounded sample of labelled rows whose segments are
-also chained across languages so that the transitions see switches.  Scoring runs in the
+The field is fitted piecewise, on all words of all labelled rows: word scores on the counts
+of words by language, transitions on the counts of neighbours, where half of the texts count
+as they are and half as segments between segments of other texts, so that switches are seen.
+The tasks count, and sum the gradient if the distinct words are many.  Scoring runs in the
 tasks, over whole texts: chains are cut into blocks, whose transfer matrices are multiplied
 up side by side, so that long texts take as many numpy steps as short ones.
 """
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from packmill.llm.common import bundled, extended, held_out, map_batches, utf8
+from packmill.llm.common import Scratch, bundled, extended, held_out, map_batches, utf8
 
-# The bound of the sample the field is fitted on: rows in all, rows of one language, and
-# characters of one row (a window at a hashed place of a longer text).
-SAMPLE_ROWS = 800
-SAMPLE_PER_LANGUAGE = 160
-SAMPLE_CHARS = 6000
 MOST_LANGUAGES = 400
+# A language of more words weighs as much as one of so many; each of its words counts, for less.
+EVEN_WORDS = 200_000
+# Words of an artificial segment, in the mean.
+SEGMENT = 25
 LEXICON = 400
 BUCKETS = 1 << 17
 WEIGHTS = 1 << 22
-# up to this many languages the windows of the sample have SAMPLE_CHARS, beyond it fewer, as memory has
-FEW_LANGUAGES = 16
+# Up to so many distinct words the gradient is taken on the driver, beyond it in the tasks.
+DRIVER_WORDS = 100_000
+# The steps take the batches of words in turn, again and again: batches of so many words at least, and so many batches at most.
+BATCH_WORDS, BATCHES = 200_000, 10
+# Words of a task that sums the gradient; the gradients themselves are added up in chunks of entries.
+TASK_WORDS, SLOPE_CHUNK = 100_000, 1 << 14
+# What a task counts before it hands on, and characters of words, times labels, handled at once.
+TALLY_ENTRIES, TALLY_BYTES = 60_000, 8 << 20
+SLOPE_CHARS = 1 << 18
 UNDETERMINED = "und"
 
 BLOCK = 64
@@ -102,94 +112,162 @@ def _scaled(scores: np.ndarray) -> np.ndarray:
     return np.exp(scores - scores.max(axis=-1, keepdims=True))
 
 
-def fit(rows: list[tuple[str, str]], iterations: int = 30, length: int = 48, seed: int = 7) -> Field | None:
-    """Fits a field on (text, language) rows by gradient steps with per-weight scaling (Adam).
+class Tally:
+    """Counts of the words of labelled texts; the word "" counts the texts."""
 
-    Half of the chains are texts as they are, half are segments of different texts in turn.
-    """
-    labels = sorted({lang for _, lang in rows})
-    rng = np.random.default_rng(seed)
-    place: dict[str, int] = {}
-    ids, tags, chains = [], [], []
-    counts = [dict() for _ in labels]
-    for text, lang in rows:
-        tag = labels.index(lang)
-        own = []
-        for w in _split(text.encode("utf-8", "ignore")):
-            word = w.decode("utf-8", "ignore").lower()
-            if any(c.isalpha() for c in word):
-                own.append(place.setdefault(word, len(place)))
-                counts[tag][word] = counts[tag].get(word, 0) + 1
-        if own:
-            chains.append((np.array(own), tag))
-    if not chains:
-        return None
-    lexicon: dict[str, list[int]] = {}
-    for tag, found in enumerate(counts):
-        for word in sorted((w for w, n in found.items() if n > 1), key=lambda w: (-found[w], w))[:LEXICON]:
-            lexicon.setdefault(word, []).append(tag)
-    for own, tag in chains:
-        ids.append(own)
-        tags.append(np.full(len(own), tag))
-    segments = []
-    for own, tag in chains:
-        at = 0
-        while at < len(own):
-            n = int(rng.integers(4, length))
-            segments.append((own[at:at + n], np.full(len(own[at:at + n]), tag)))
-            at += n
-    for k in rng.permutation(len(segments)):
-        ids.append(segments[k][0])
-        tags.append(segments[k][1])
-    flat, gold = np.concatenate(ids), np.concatenate(tags)
-    lanes = max(1, len(flat) // length)
-    steps = min(length, len(flat))
-    flat, gold = flat[:lanes * steps].reshape(lanes, steps), gold[:lanes * steps].reshape(lanes, steps)
-
-    field, n = Field(labels, lexicon), len(labels)
-    hashed, owners = field.features(list(place))
-    used, hashed_at = np.unique(hashed, return_inverse=True)
-    size = lanes * steps
-    true_types = np.stack([np.bincount(flat[gold == k], minlength=len(place)) for k in range(n)], axis=1)
-    true_trans = np.zeros((n, n))
-    np.add.at(true_trans, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
-    weights, trans = np.zeros((len(used), n)), field.trans
-    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, trans)]
+    def __init__(self):
+        self.counts: dict[str, Counter] = {}
+        self.size = 0
+
+    def add(self, lang: str, text: bytes) -> None:
+        words = _split(text)
+        if words:
+            own = self.counts.setdefault(lang, Counter())
+            own.update(words)
+            own[b""] += 1
+            self.size += len(text)
+
+    def full(self) -> bool:
+        return self.size >= TALLY_BYTES or sum(map(len, self.counts.values())) >= TALLY_ENTRIES
+
+    def taken(self) -> list[tuple[str, str, int]]:
+        """The counts, lower-cased, of what has a letter; the tally is empty then."""
+        out = []
+        for lang, own in self.counts.items():
+            words = Counter()
+            for raw, n in own.items():
+                words[raw.decode("utf-8", "ignore").lower()] += n
+            out += [(lang, w, n) for w, n in words.items() if not w or any(c.isalpha() for c in w)]
+        self.__init__()
+        return out
+
+
+def _tallied(batches):
+    tally, names = Tally(), ["lang", "word", "n"]
+    types = [pa.string(), pa.string(), pa.int64()]
+
+    def handed():
+        found = list(zip(*tally.taken(), strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types, strict=True)], names)
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text")), strict=True):
+            tally.add(lang, text)
+            if tally.size >= TALLY_BYTES:
+                yield handed()
+        if tally.full():
+            yield handed()
+    yield handed()
+
+
+def _blocks(field: Field, shares: np.ndarray, batches):
+    """Per block of words: their features, each feature's word, and the weighted counts of the words by label."""
+    n = len(field.labels)
+    chars = max(1 << 12, SLOPE_CHARS // max(n, 4))
+    for batch in batches:
+        words = batch.column("word").to_pylist()
+        ends = np.cumsum([len(w) + 1 for w in words])
+        cuts = [0, *(np.flatnonzero(np.diff(ends // chars)) + 1).tolist(), len(words)] if words else []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            found = batch.column("found").slice(lo, hi - lo)
+            label, count = (np.asarray(c) for c in found.flatten().flatten())
+            mass = np.zeros((hi - lo, n))
+            mass[np.repeat(np.arange(hi - lo), np.asarray(found.value_lengths())), label] = count * shares[label]
+            hashed, owners = field.features(words[lo:hi])
+            yield hashed, owners, mass
+
+
+def _slope(field: Field, blocks) -> np.ndarray:
+    """The gradient of the words' log loss, summed over their weighted counts."""
+    weights = np.ascontiguousarray(field.weights.T)
+    slope = np.zeros_like(weights)
+    for hashed, owners, mass in blocks:
+        chance = _scaled(np.stack([np.bincount(owners, own[hashed], len(mass)) for own in weights], axis=1))
+        gap = chance * (mass.sum(axis=1) / chance.sum(axis=1))[:, None] - mass
+        for own, part in zip(slope, np.ascontiguousarray(gap.T), strict=True):
+            own += np.bincount(hashed, part[owners], len(own))
+    return slope.T
+
+
+def _slope_in_tasks(words: DataFrame, field: Field, shares: np.ndarray) -> np.ndarray:
+    shared = words.sparkSession.sparkContext.broadcast((field, shares))
+
+    def sloped(batches):
+        field, shares = shared.value
+        flat = np.ascontiguousarray(_slope(field, _blocks(field, shares, batches))).ravel()
+        for at in range(0, len(flat), SLOPE_CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([flat[at:at + SLOPE_CHUNK].tobytes()])],
+                                             ["chunk", "slope"])
+
+    def summed(table):
+        total = np.sum([np.frombuffer(part.as_buffer()) for part in table.column("slope")], axis=0)
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "slope": pa.array([total.tobytes()])})
+    schema = "chunk long, slope binary"
+    parts = map_batches(words, sloped, extended(words, words.columns, schema))
+    got = sorted(parts.groupBy("chunk").applyInArrow(summed, schema).collect())
+    shared.destroy()
+    return np.concatenate([np.frombuffer(r.slope) for r in got]).reshape(field.weights.shape)
+
+
+def _transitions(texts: np.ndarray, words: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Log chances of a word's label after its neighbour's, by the expected counts of neighbours."""
+    starts = texts + (words - texts) / SEGMENT / 2  # half of the words are in texts cut into segments
+    share = starts * shares / (starts * shares).sum()
+    pairs = np.diag((words - starts) * shares) + np.outer(starts * shares, share)
+    pairs += 0.5 / len(pairs)
+    return np.log(pairs / pairs.sum(axis=1, keepdims=True))
+
+
+def _fitted(labels: list[str], texts: list[int], words: list[int], lexicon: dict[str, list[int]], slopes,
+            iterations: int) -> Field:
+    """A field by gradient steps with per-weight scaling (Adam); slopes(field, shares) gives the function
+    that returns the gradient at the field of a step, from 0."""
+    field, words = Field(labels, lexicon), np.array(words, float)
+    shares = np.minimum(1.0, EVEN_WORDS / words)
+    size, slope_of = float((words * shares).sum()), slopes(field, shares)
+    m, v = np.zeros_like(field.weights), np.zeros_like(field.weights)
     for step in range(1, iterations + 1):
-        scores = np.stack([np.bincount(owners, weights[hashed_at, k], len(place)) for k in range(n)], axis=1)
-        e, t = _scaled(scores)[flat], np.exp(trans - trans.max())
-        alpha = np.empty((lanes, steps, n))
-        now = np.full((lanes, n), 1.0 / n)
-        for i in range(steps):
-            now = (now if i == 0 else now @ t) * e[:, i]
-            now /= now.sum(axis=1, keepdims=True)
-            alpha[:, i] = now
-        beta, expected = np.ones((lanes, n)), np.zeros((n, n))
-        gamma = np.empty_like(alpha)
-        for i in range(steps - 1, -1, -1):
-            gamma[:, i] = alpha[:, i] * beta
-            gamma[:, i] /= gamma[:, i].sum(axis=1, keepdims=True)
-            if i:
-                ahead = e[:, i] * beta
-                norm = np.einsum("ij,ij->i", alpha[:, i - 1] @ t, ahead)
-                expected += t * ((alpha[:, i - 1] / norm[:, None]).T @ ahead)
-                beta = ahead @ t.T
-                beta /= beta.sum(axis=1, keepdims=True)
-        types = np.stack([np.bincount(flat.ravel(), gamma[:, :, k].ravel(), len(place)) for k in range(n)], axis=1)
-        gap = (types - true_types) / size
-        slope = np.stack([np.bincount(hashed_at, gap[owners, k], len(used)) for k in range(n)], axis=1) + 1e-6 * weights
-        for x, g, (m, v), rate in ((weights, slope, moments[0], 0.15),
-                                   (trans, (expected - true_trans) / size + 1e-6 * trans, moments[1], 0.15)):
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.99
-            v += 0.01 * g * g
-            x -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
-    field.weights[used] = weights
-    field.trans = trans
+        slope = slope_of(field, step - 1) / size + 1e-6 * field.weights
+        m += 0.1 * (slope - m)
+        v += 0.01 * (slope * slope - v)
+        field.weights -= 0.15 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
+    field.trans = _transitions(np.array(texts, float), words, shares)
     return field
 
 
+def _slopes_here(batches):
+    def slopes(field: Field, shares: np.ndarray):
+        blocks = list(_blocks(field, shares, batches))
+        return lambda field, step: _slope(field, blocks)
+    return slopes
+
+
+_FOUND = pa.list_(pa.struct([("label", pa.int32()), ("n", pa.int64())]))
+
+
+def fit(rows: list[tuple[str, str]], iterations: int = 30) -> Field | None:
+    """Fits a field on (text, language) rows in memory, as `learned` does on a table of few words."""
+    tally = Tally()
+    for text, lang in rows:
+        tally.add(lang, text.encode("utf-8", "ignore"))
+    counts: dict[str, Counter] = {}
+    for lang, word, n in tally.taken():
+        counts.setdefault(lang, Counter())[word] = n
+    texts = {lang: own.pop("") for lang, own in counts.items()}
+    labels = sorted(lang for lang, own in counts.items() if own)
+    if not labels:
+        return None
+    lexicon, found = {}, {}
+    for label, lang in enumerate(labels):
+        own = counts[lang]
+        for word in sorted((w for w, n in own.items() if n > 1), key=lambda w: (-own[w], w))[:LEXICON]:
+            lexicon.setdefault(word, []).append(label)
+        for word, n in own.items():
+            found.setdefault(word, []).append({"label": label, "n": n})
+    batch = pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), _FOUND)], ["word", "found"])
+    return _fitted(labels, [texts[x] for x in labels], [sum(counts[x].values()) for x in labels], lexicon,
+                   _slopes_here([batch]), iterations)
+
+
 class Labeller:
     """Scores texts with a field; keeps the scores of words it has met, up to a bound."""
 
@@ -351,36 +429,55 @@ def _predict(shared, runs: bool):
     return predict
 
 
-def sample(docs: DataFrame, train: Column, text: str, lang: str, key: str) -> list[tuple[str, str]]:
-    """The bounded sample of labelled rows: those with the smallest hashes of each language."""
-    labelled = docs.where(train & F.col(lang).isNotNull() & (F.octet_length(F.col(text)) > 0))
-    counts = labelled.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return []
-    each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(counts)))
-    chars = SAMPLE_CHARS * FEW_LANGUAGES // max(FEW_LANGUAGES, len(counts))
-    chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 3.0 * each / r["count"])))])
-    draw = F.xxhash64(F.col(key), F.col(text))
-    unit = F.pmod(draw, F.lit(1 << 40)) / float(1 << 40)
-    spare = F.greatest(F.length(text) - chars, F.lit(0)) + 1
-    begin = (F.pmod(F.shiftright(draw, 8), spare.cast("long")) + 1).cast("int")
-    drawn = labelled.where(unit < chance[F.col(lang)]).select(
-        F.col(lang).alias("lang"), unit.alias("u"), F.substring(F.col(text), begin, F.lit(chars)).alias("text"))
-    rows, taken = sorted(drawn.collect(), key=lambda r: (r.lang, r.u, r.text)), {}
-    out = []
-    for r in rows:
-        taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= each:
-            out.append((r.text, r.lang))
-    return out
+def learned(docs: DataFrame, train: Column, text: str, lang: str, iterations: int = 30,
+            driver_words: int = DRIVER_WORDS, batch_words: int = BATCH_WORDS) -> Field | None:
+    """Fits a field on all words of the labelled rows where `train` holds.
+
+    Up to twice `batch_words` distinct words, every step takes the gradient over all; more are dealt into
+    batches, each the turn of one step.  With 30 iterations each word has three turns or more.
+    """
+    scratch = Scratch(docs.sparkSession)
+    labelled = docs.where(train & F.col(lang).isNotNull() & (F.octet_length(F.col(text)) > 0)).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"))
+    tally = map_batches(labelled, _tallied, extended(labelled, ["lang", "text"], "lang string, word string, n long"))
+    tally = scratch.table(tally.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    is_word = F.col("word") != ""
+    totals = tally.groupBy("lang").agg(F.sum(F.when(is_word, F.col("n"))).alias("words"),
+                                       F.sum(F.when(~is_word, F.col("n"))).alias("texts")).where("words > 0")
+    totals = sorted(totals.orderBy(F.desc("texts"), "lang").limit(MOST_LANGUAGES).collect())
+    if not totals:
+        scratch.drop(tally)
+        return None
+    labels = [r.lang for r in totals]
+    label = F.create_map(*[x for k, name in enumerate(labels) for x in (F.lit(name), F.lit(k))])[F.col("lang")]
+    counts = tally.where(is_word).select("word", label.alias("label"), "n").where("label IS NOT NULL")
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "word"))
+    listed = counts.where("n > 1").withColumn("nth", nth).where(F.col("nth") <= LEXICON).select("label", "nth", "word")
+    lexicon: dict[str, list[int]] = {}
+    for r in sorted(listed.collect()):
+        lexicon.setdefault(r.word, []).append(r.label)
+    words = counts.groupBy("word").agg(F.collect_list(F.struct("label", "n")).alias("found"))
+    words = words.withColumn("batch", F.pmod(F.xxhash64("word"), F.lit(BATCHES)).cast("int"))
+    words = scratch.table(words.repartition("batch", F.pmod(F.hash("word"), F.lit(4))), "batch")  # few files
+    many = words.count()
+    if many <= driver_words:
+        slopes = _slopes_here(words.toArrow().to_batches())
+    else:
+        batches = max(1, min(BATCHES, many // batch_words))
+        tasks = -(-many // (batches * TASK_WORDS))
+        slopes = lambda _, shares: lambda field, step: batches * _slope_in_tasks(
+            words.where(F.col("batch") % batches == step % batches).coalesce(tasks), field, shares)
+    field = _fitted(labels, [r.texts for r in totals], [r.words for r in totals], lexicon, slopes, iterations)
+    scratch.drop(tally, words)
+    return field
 
 
 def identify_language(docs: DataFrame, train: Column | None = None, text: str = "text", lang: str = "lang",
-                      key: str = "doc_id", runs: bool = True) -> DataFrame:
+                      runs: bool = True) -> DataFrame:
     """Documents (struct `row`) with lang_pred, score (0 to 1), runs of words by language and certainty.
 
-    The field learns from text and non-null lang of the rows where `train` holds (all, if not
-    given).  A prediction uses the text alone, the whole of it.  lang_pred is a learned value;
+    The field learns from the whole text and non-null lang of all rows where `train` holds (all, if
+    not given); languages weigh alike from EVEN_WORDS words on.  A prediction uses the text alone, the whole of it.  lang_pred is a learned value;
     texts that are null or have no letter, and all texts if nothing could be learned, are
     `und` with score 0 and no runs.  score is the share of words expected in that language;
     of equal shares the first label in order counts.  certainty is the mean probability of
@@ -389,8 +486,7 @@ def identify_language(docs: DataFrame, train: Column | None = None, text: str =
     the first in order); rows of the others teach nothing and are labelled like all.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    rows = sample(docs, F.lit(True) if train is None else train, text, lang, key)
-    shared = spark.sparkContext.broadcast(fit(rows) if rows else None)
+    shared = spark.sparkContext.broadcast(learned(docs, F.lit(True) if train is None else train, text, lang))
     rows = bundled(docs, text=F.col(text))
     return map_batches(rows, _predict(shared, runs), extended(
         rows, ["text"], "lang_pred string, score double, runs array<struct<lang:string,first:bigint,words:bigint>>, certainty double"))

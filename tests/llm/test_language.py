@@ -1,11 +1,14 @@
 import itertools
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from packmill.llm.language import MOST_LANGUAGES, Field, Labeller, fit, identify_language, op1_crf
+import packmill.llm.language
+from packmill.llm.language import MOST_LANGUAGES, Field, Labeller, Tally, fit, identify_language, learned, op1_crf
 
 SF = "/root/testdata/sf0.001"
 EN = "the cat and the dog were walking with their owner through the garden of the house "
@@ -80,6 +83,49 @@ def test_odd_rows(docs):
     assert {r.lang_pred for r in identify_language(docs([(1, EN), (2, None)])).collect()} == {"und"}
 
 
+def test_all_rows_and_whole_texts_teach(docs):
+    signs = [chr(0x4E00 + k) for k in range(4000)]  # no two texts share any; nothing but a text itself teaches its own
+    rows = [(k, f"{c} {c}{c} {c}{c}{c}", "ab"[k % 2]) for k, c in enumerate(signs[:1200])]
+    rows.append((1200, " ".join(c * 9 for c in signs[1200:]), "c"))  # 28,000 characters
+    more = [(2000 + k, f"{c} {c}{c}", None) for k, c in enumerate(signs[1200:])]
+    got = {r.row.doc_id: r.lang_pred for r in identify_language(docs(rows + more)).collect()}
+    assert [k for k, _, lang in rows if got[k] != lang] == []
+    assert [k for k, *_ in more if got[k] != "c"] == []
+
+
+def test_gradient_in_tasks_and_on_the_driver(docs):
+    from pyspark.sql import functions as F
+    rows = [*ROWS, (50, DE * 3, "en"), (51, "日本 — 日本 ΟΔΟΣ", "ja"), (52, "123 —", "none"), (53, None, "de")]
+    here = fit([(t, lang) for _, t, lang in rows if t], iterations=4)
+    assert here.labels == ["de", "en", "ja"]
+    table = docs(rows).repartition(3)
+    for most in (0, 1000):
+        field = learned(table, F.lit(True), "text", "lang", iterations=4, driver_words=most)
+        assert field.labels == here.labels and field.lexicon == here.lexicon
+        assert field.trans == pytest.approx(here.trans)
+        assert abs(field.weights - here.weights).max() < 1e-6 and abs(field.weights).max() > 0.3
+    # in two batches of words, all have turns: weights of features in either are other than before
+    field = learned(table, F.lit(True), "text", "lang", iterations=4, driver_words=0, batch_words=10)
+    assert ((field.weights != 0) == (here.weights != 0)).all() and abs(field.weights - here.weights).max() > 0.01
+    found = Labeller(field).label([t.encode() for _, t, _ in ROWS], False)
+    assert [x[0] for x in found] == [lang for *_, lang in ROWS]
+
+
+def test_tallies_are_handed_on(monkeypatch):
+    monkeypatch.setattr(packmill.llm.language, "TALLY_ENTRIES", 3)
+    texts = [EN, "One two ONE 1 —", "two", "", "— 5"]
+    batches = [pa.record_batch([pa.array(["x"]), pa.array([t])], names=["lang", "text"]) for t in texts]
+    parts = [b.to_pylist() for b in packmill.llm.language._tallied(batches)]
+    assert len(parts) > 2
+    found = Counter()
+    for r in itertools.chain(*parts):
+        found[r["word"]] += r["n"]
+    # the sign alone has no letter, yet its text is counted
+    assert found == Counter(EN.split()) + Counter({"one": 2, "two": 2, "": 4})
+    tally = Tally()
+    assert tally.taken() == [] and not tally.full()
+
+
 def test_more_labels_than_are_learned(docs):
     rows = [(1000 + k, f"word{k} only{k} here{k}", f"label{k:03}") for k in range(500)]
     got = identify_language(docs(ROWS + rows)).select("row.doc_id", "lang_pred").collect()
