@@ -17,6 +17,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packmill.llm.common import Scratch, bundled, extended, held_out, map_batches, utf8
@@ -43,7 +44,7 @@ UNDETERMINED = "und"
 BLOCK = 64
 BLOCK_ENTRIES = 256
 SLICE_BLOCKS = 1 << 13
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 1 << 20
 CACHED_WORDS = 300_000
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -407,25 +408,25 @@ class Labeller:
 _RUN = pa.struct([("lang", pa.string()), ("first", pa.int64()), ("words", pa.int64())])
 
 
-def _predict(shared, runs: bool):
+def _predict(shared, runs: bool, text: str | None):
+    """Predictions in batches of BATCH_BYTES of text, which is the field `text` of the rows or a column beside them."""
     def predict(batches):
         field = shared.value
         labeller = Labeller(field) if field else None
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            found, part, size = [], [], 0
-            for k, text in enumerate(texts):
-                part.append(text)
-                size += len(text or b"")
-                if size >= BATCH_BYTES or k == len(texts) - 1:
-                    found += labeller.label(part, runs) if labeller else [(UNDETERMINED, 0.0, [], 0.0)] * len(part)
-                    part, size = [], 0
-            langs, scores, spans, sure = zip(*found, strict=True) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
-                 pa.array([[dict(zip(("lang", "first", "words"), r, strict=True)) for r in x] for x in spans], pa.list_(_RUN)),
-                 pa.array(sure, pa.float64())],
-                ["row", "lang_pred", "score", "runs", "certainty"])
+            rows = batch.column("row")
+            texts = batch.column("text") if text is None else rows.field(text)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // BATCH_BYTES)) + 1).tolist(), len(texts)] if len(texts) else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = utf8(texts.slice(lo, hi - lo))
+                found = labeller.label(part, runs) if labeller else [(UNDETERMINED, 0.0, [], 0.0)] * len(part)
+                langs, scores, spans, sure = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                     pa.array([[dict(zip(("lang", "first", "words"), r, strict=True)) for r in x] for x in spans], pa.list_(_RUN)),
+                     pa.array(sure, pa.float64())],
+                    ["row", "lang_pred", "score", "runs", "certainty"])
     return predict
 
 
@@ -487,8 +488,10 @@ def identify_language(docs: DataFrame, train: Column | None = None, text: str =
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(learned(docs, F.lit(True) if train is None else train, text, lang))
-    rows = bundled(docs, text=F.col(text))
-    return map_batches(rows, _predict(shared, runs), extended(
+    # a text goes to the Python workers once, within its row, if it is a column
+    within = text if text in docs.columns else None
+    rows = bundled(docs) if within else bundled(docs, text=F.col(text))
+    return map_batches(rows, _predict(shared, runs, within), extended(
         rows, ["text"], "lang_pred string, score double, runs array<struct<lang:string,first:bigint,words:bigint>>, certainty double"))
 
 

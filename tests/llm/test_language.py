@@ -169,3 +169,19 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
     out = [r for r in got if r.held_out]
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in out]) > 0.95
+
+
+@pytest.mark.parametrize("within", ["text", None])
+def test_predictions_come_in_small_batches(monkeypatch, within):
+    monkeypatch.setattr(packmill.llm.language, "BATCH_BYTES", 64)
+    field = fit([(text, lang) for _, text, lang in ROWS], 3)
+    texts = [None, "", EN, "x" * 500, None, DE, "?", EN] * 3
+    row = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(range(len(texts)))], ["text", "k"])
+    given = pa.RecordBatch.from_arrays([row] if within else [row, pa.array(texts, pa.string())], ["row", "text"][:1 if within else 2])
+    shared = type("Shared", (), {"value": field})
+    got = list(packmill.llm.language._predict(shared, False, within)([given]))
+    assert len(got) > 6 and pa.Table.from_batches(got).column("row").combine_chunks().to_pylist() == row.to_pylist()
+    found = [(r["lang_pred"], r["score"], r["certainty"]) for b in got for r in b.to_pylist()]
+    alone = [Labeller(field).label([t and t.encode()], False)[0] for t in texts]
+    assert [f[0] for f in found] == [a[0] for a in alone]
+    assert np.allclose([f[1:] for f in found], [(a[1], a[3]) for a in alone])

@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from packmill.llm.common import Scratch
+from packmill.llm.common import TIDY, Scratch, map_batches
 from packmill.llm.components import components
 from packmill.llm import partenum
 from packmill.llm.partenum import _bitmap, _marked, drop_near_copies, join_shingles, op10_partenum, signatures, size_bands, sketch
@@ -187,3 +188,18 @@ def test_no_key_of_a_star_fills_a_task(spark):
     edges = [(0, k) for k in range(1, 3000)] + [(3000 + 2 * k, 3001 + 2 * k) for k in range(1000)]
     plan = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark))
     assert {(r.node, r.root) for r in plan.collect()} == {(b, a) for a, b in edges}
+
+
+def test_python_workers_get_long_rows_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    before = {key: spark.conf.get(key, None) for key in TIDY}
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "sequence(id, id + 499) AS signs").union(
+        spark.range(0, 2, 1, 1).selectExpr("id", "sequence(id, id + 299999) AS signs"))
+    found = Scratch(spark, tidy=True).table(map_batches(rows, sizes, "n long, size long")).collect()
+    assert sum(r.n for r in found) == 3002  # a row beyond the bound comes as well
+    # by its last row alone a batch may go beyond it
+    assert len(found) >= 12 and sorted(r.size for r in found)[-3] < 2 << 20
+    assert {key: spark.conf.get(key, None) for key in TIDY} == before
