@@ -22,7 +22,11 @@ def write_sections(sections: DataFrame, path: str, per_project: bool = False) ->
     order are the document, byte for byte.  With `per_project` each project gets a folder
     of its own.  Failures raise OSError.
     """
-    rows = sections.select("project_id", "text") if per_project else sections.select("text")
+    # the writer wants rows by project; any other order it would replace by that alone, and lose the order in a project
+    if per_project:
+        rows = sections.sortWithinPartitions("project_id", "section", "sort_key").select("project_id", "text")
+    else:
+        rows = sections.select("text")
     writer = rows.write.mode("overwrite").option("lineSep", "\n")
     try:
         (writer.partitionBy("project_id") if per_project else writer).text(path)
