@@ -21,13 +21,15 @@ classes are compared chunk by chunk, which gives every class its number of links
 """
 
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from packmill.llm.common import Scratch, bundled, extended, map_batches, tokens_of, utf8
+from packmill.llm.common import Scratch, bundled, map_batches, tokens_of, utf8
 from packmill.llm.components import components
 
 WIDTH = 3
@@ -49,9 +51,18 @@ FEW_PAIRS, SLAB = 2000, 4096
 # bits of the bitmaps that thin out rows before a join; their size is fixed (2 MB), so they help less as
 # more keys are marked, and never change a result
 MARKS = 1 << 24
-# slices (a power of two) in which signatures are counted
-TURNS = 4
-
+# slices of the signatures, compared one after the other; each is cut into as many cells as there are shuffle partitions
+TURNS, LEAST_CELLS = 8, 16
+# bits of a signature that are kept: two that agree by chance make a candidate more, about which the sets decide
+SIGN_BITS = 48
+# signatures, and texts, of a task that are packed at a time; signatures of a cell that are compared at a time
+PACKED_SIGNS, PACKED_TEXTS, COMPARED = 1 << 21, 1 << 16, 1 << 21
+# slices (a power of two) of the features, in which sets are compared one after the other
+SLICES = 4
+# tables of fewer bytes are shuffled at once, in all slices
+AT_ONCE = 32 << 20
+
+_SETS = [f"set{k}" for k in range(SLICES)]
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -138,12 +149,65 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _signed(width: int, percent: int):
-    """Sets of the texts the task has not met lately; their copies have the same."""
+# Rows of texts, in the turn TEXTS, and of packed signatures, in the turns from 0 on.
+_SIGNED = pa.schema([(c, pa.int64()) for c in ("t1", "t2", "n", "fp1", "fp2", "rid")] + [
+    ("sketch", pa.list_(pa.int64())), ("cell", pa.int32()), ("base", pa.int64()), ("least", pa.int64()),
+    ("gaps", pa.binary()), ("owners", pa.binary()), ("turn", pa.int32())])
+_SIGNED_DDL = ("t1 long, t2 long, n long, fp1 long, fp2 long, rid long, sketch array<bigint>, "
+               "cell int, base long, least long, gaps binary, owners binary, turn int")
+TEXTS = -1
+
+
+def _rids(numbers: np.ndarray) -> np.ndarray:
+    """The numbers of texts, mixed (one to one), so that their low bits differ."""
+    return _mix(numbers.astype(np.uint64)).view(np.int64)
+
+
+def _cells(signs: np.ndarray, cells: int) -> np.ndarray:
+    """Which of so many equal ranges each signature is in."""
+    return (signs >> np.uint64(SIGN_BITS - 32)) * np.uint64(cells) >> np.uint64(32)
+
+
+def _packed(signs: np.ndarray, owners: np.ndarray, cells: int) -> list[tuple[int, int, bytes, bytes]]:
+    """(cell, least, gaps, owners) of each cell that has signatures: the least of them and the gaps between them, 4 bytes each
+    (8 if one is too wide), and the texts they are of, 2 bytes each."""
+    order = np.argsort(signs)
+    signs, owners = signs[order], owners[order].astype(np.uint16)
+    found, starts = np.unique(_cells(signs, cells), return_index=True)
+    packed = []
+    for cell, start, end in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(signs)][:len(found)], strict=True):
+        gaps = np.diff(signs[start:end], prepend=signs[start])
+        packed.append((cell, int(signs[start]), gaps.astype(np.uint32 if gaps.max() < 1 << 32 else np.uint64).tobytes(),
+                       owners[start:end].tobytes()))
+    return packed
+
+
+def _unpacked(least: int, gaps: bytes, owners: bytes) -> tuple[np.ndarray, np.ndarray]:
+    owners = np.frombuffer(owners, np.uint16)
+    gaps = np.frombuffer(gaps, np.uint32 if len(gaps) == 4 * len(owners) else np.uint64)
+    return np.cumsum(gaps, dtype=np.uint64) + np.uint64(least), owners
+
+
+def _signed(width: int, percent: int, cells: int):
+    """Sets of the texts the task has not met lately (their copies have the same), and their signatures."""
+    def rows(turn: int, many: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns["turn"] = pa.array(np.full(many, turn, np.int32))
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(many, f.type) for f in _SIGNED],
+                                          schema=_SIGNED)
+
+    def packed(base: int, signs: list[np.ndarray]):
+        owners = np.repeat(np.arange(len(signs)), [len(x) for x in signs])
+        found = _packed(np.concatenate(signs), owners, TURNS * cells) if signs else []
+        for turn, own in groupby(found, lambda x: x[0] // cells):
+            cell, least, gaps, owners = zip(*own, strict=True)
+            yield rows(turn, len(cell), cell=pa.array(cell, pa.int32()), base=pa.array([base] * len(cell), pa.int64()),
+                       least=pa.array(least, pa.int64()), gaps=pa.array(gaps, pa.binary()), owners=pa.array(owners, pa.binary()))
+
     def signed(batches):
         hashes, recent = _WordHashes(), {}
+        base, signs, size = TaskContext.get().partitionId() << 33, [], 0
         for batch in batches:
-            keep, sizes, one, two, signs, sketches = [], [], [], [], [], []
+            keep, sizes, one, two, numbers, sketches = [], [], [], [], [], []
             keys = zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist(), strict=True)
             for at, (key, text) in enumerate(zip(keys, utf8(batch.column("text")), strict=True)):
                 if key in recent:
@@ -156,13 +220,18 @@ def _signed(width: int, percent: int):
                 sizes.append(len(found))
                 one.append(int(_mix(found).sum(dtype=np.uint64).astype(np.int64)))
                 two.append(int(_mix(found * _B).sum(dtype=np.uint64).astype(np.int64)))
-                signs.append(signatures(found, size_bands(len(found), percent), percent))
+                numbers.append(base + len(signs))
                 sketches.append(sketch(found))
+                signs.append(signatures(found, size_bands(len(found), percent), percent) >> np.uint64(64 - SIGN_BITS))
+                size += len(signs[-1])
+                if size >= PACKED_SIGNS or len(signs) == PACKED_TEXTS:
+                    yield from packed(base, signs)
+                    base, signs, size = base + len(signs), [], 0
             taken = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("t1").take(taken), batch.column("t2").take(taken),
-                 pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                 _lists(signs), _lists(sketches)], ["t1", "t2", "n", "fp1", "fp2", "signs", "sketch"])
+            yield rows(TEXTS, len(keep), t1=batch.column("t1").take(taken), t2=batch.column("t2").take(taken),
+                       n=pa.array(sizes, pa.int64()), fp1=pa.array(one, pa.int64()), fp2=pa.array(two, pa.int64()),
+                       rid=pa.array(_rids(np.array(numbers, np.int64))), sketch=_lists(sketches))
+        yield from packed(base, signs)
     return signed
 
 
@@ -201,35 +270,50 @@ def _wanted_texts(shared):
     return wanted
 
 
-def _first_signs(firsts, turn: int):
-    """The signatures of one slice of the rows that are marked, one row each."""
-    def signs(batches):
+def _sharing(firsts, cells: int):
+    """(rid, sign) of the marked rows that share a signature with another one; the packed signatures come sorted by cell."""
+    def compared(cell: int, packs: list[tuple]):
+        parts = max(1, -(-sum(len(owners) // 2 for *_, owners in packs) // COMPARED))
+        for part in range(parts):
+            signs, numbers = [], []
+            for base, *pack in packs:
+                sign, owner = _unpacked(*pack)
+                if parts > 1:
+                    inside = _cells(sign, cells * parts) == cell * parts + part
+                    sign, owner = sign[inside], owner[inside]
+                signs.append(sign)
+                numbers.append(owner.astype(np.int64) + base)
+            sign, rid = np.concatenate(signs), _rids(np.concatenate(numbers))
+            keep = _marked(firsts.value, rid)
+            sign, rid = sign[keep], rid[keep]
+            order = np.argsort(sign)
+            sign, rid = sign[order], rid[order]
+            same = np.concatenate([[False], sign[1:] == sign[:-1], [False]])
+            shared = (same[1:] | same[:-1])[:len(sign)]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[shared]), pa.array(sign[shared].view(np.int64))], ["rid", "sign"])
+
+    def sharing(batches):
+        now, packs = None, []
         for batch in batches:
-            keep = np.flatnonzero(_marked(firsts.value, np.asarray(batch.column("mark"))))
-            flat = np.asarray(batch.column("signs").take(pa.array(keep, pa.int64())).flatten())
-            yield pa.RecordBatch.from_arrays([pa.array(flat[flat & (TURNS - 1) == turn], pa.int64())], ["sign"])
-    return signs
-
-
-def _marked_signs(shared, firsts):
-    """One row per signature that is marked, of rows that are."""
-    def marked(batches):
-        for batch in batches:
-            batch = batch.take(pa.array(np.flatnonzero(_marked(firsts.value, np.asarray(batch.column("mark")))), pa.int64()))
-            lists = batch.column("signs")
-            flat = np.asarray(lists.flatten())
-            owner = np.repeat(np.asarray(batch.column("rid")), np.asarray(lists.value_lengths()))
-            keep = _marked(shared.value, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(flat[keep])], ["rid", "sign"])
-    return marked
+            for cell, *pack in zip(*[batch.column(c).to_pylist() for c in ("cell", "base", "least", "gaps", "owners")], strict=True):
+                if cell != now and packs:
+                    yield from compared(now, packs)
+                    packs = []
+                now = cell
+                packs.append(pack)
+        if packs:
+            yield from compared(now, packs)
+    return sharing
 
 
 def _sets(width: int):
     def sets(batches):
         hashes = _WordHashes()
+        cuts = np.arange(1, SLICES, dtype=np.uint64) * np.uint64((1 << 64) // SLICES)
         for batch in batches:
             found = [shingle_set(tokens_of(t), hashes, width) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), _lists(found)], ["rid", "set"])
+            parts = zip(*[np.split(s, np.searchsorted(s, cuts)) for s in found], strict=True) if found else [[]] * SLICES
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), *map(_lists, parts)], ["rid", *_SETS])
     return sets
 
 
@@ -244,6 +328,11 @@ def _near(n: str, m: str, apart: Column, percent: int) -> Column:
     return fits & ((100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m)))
 
 
+def _sliced(table: DataFrame, scratch: Scratch, slices: list) -> list[list]:
+    """The slices that are taken at once: all of a small table, and each by itself of others."""
+    return [slices] if scratch.size(table) < AT_ONCE else [[x] for x in slices]
+
+
 class _Join:
     """The state of one call: candidate rows, their sets, components so far."""
 
@@ -255,16 +344,22 @@ class _Join:
         self.tables = []
 
     def decide(self, pairs: DataFrame) -> None:
-        """Compares the sets of pairs(x, y) and joins the components of those that link."""
-        left, right = (self.sets.select(F.col("rid").alias(c), F.col("set").alias(f"{c}_set")) for c in ("x", "y"))
-        same = F.size(F.array_intersect("x_set", "y_set"))
-        union = F.size("x_set") + F.size("y_set") - same
-        links = (pairs.join(left, "x").join(right, "y").where(100 * same >= self.percent * union)
+        """Compares the sets of pairs(x, y), each of which comes once, and joins the components of those that link.
+
+        A slice of the sets is shuffled and gone before the next."""
+        pairs, parts = self.scratch.table(pairs), []
+        for some in _sliced(self.sets, self.scratch, _SETS):
+            left, right = (self.sets.select(F.col("rid").alias(c), F.concat(*some).alias(f"{c}_set")) for c in ("x", "y"))
+            parts.append(self.scratch.table(pairs.join(left, "x").join(right, "y").select(
+                "x", "y", F.size(F.array_intersect("x_set", "y_set")).alias("same"), (F.size("x_set") + F.size("y_set")).alias("both"))))
+        sums = reduce(DataFrame.union, parts).groupBy("x", "y").agg(F.sum("same").alias("same"), F.sum("both").alias("both"))
+        links = (sums.where(100 * F.col("same") >= self.percent * (F.col("both") - F.col("same")))
                  .select(F.col("x").alias("a"), F.col("y").alias("b")))
         if self.links is not None:
             links = links.union(self.links)
         found = self.scratch.table(components(links, self.scratch).select(
             F.col("node").alias("a"), F.col("root").alias("b")))
+        self.scratch.drop(pairs, *parts)
         self.tables.append(found)
         self.links = found  # stars around the roots say as much as all links so far
         self.roots = found.select(F.col("a").alias("rid"), F.col("b").alias("root"))
@@ -379,7 +474,7 @@ def _link_numbers(state: _Join, weights: DataFrame) -> DataFrame:
         F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_FEATURES)).cast("int").alias("chunks"))
     rows = rows.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    rows = rows.join(state.sets, "rid").select(
+    rows = rows.join(state.sets.select("rid", F.concat(*_SETS).alias("set")), "rid").select(
         "root", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "rid", "n", "w", "sketch", "set")
     meeting = ["root", "one", "two"]
     rows = rows.repartition(*meeting).sortWithinPartitions(*meeting, "own")
@@ -391,40 +486,44 @@ _TEXT = ["t1", "t2"]
 
 def _named(source: DataFrame, scratch: Scratch, width: int, percent: int, links: bool) -> DataFrame:
     """Of source(id, text, t1, t2), one row per text that isn't null: t1, t2, n, n_links, and `first`, the least row of the
-    component as (whether the id is null, id, t1, t2).  Kept in the scratch folder."""
+    component as (whether the id is null, id, t1, t2, how many rows have this id and text).  Kept in the scratch folder."""
     spark = source.sparkSession
     given = source.where(F.col("text").isNotNull())
-    texts = given.groupBy(*_TEXT).agg(F.count("*").alias("w"), F.min(F.struct(F.col("id").isNull().alias("without"), "id")).alias("least"))
-    signed = "t1 long, t2 long, n long, fp1 long, fp2 long, signs array<bigint>, sketch array<bigint>"
-    signed = scratch.table(map_batches(given.select(*_TEXT, "text"), _signed(width, percent), signed).withColumn(
-        "rid", F.monotonically_increasing_id()).withColumn("mark", F.xxhash64("rid")))
+    texts = given.groupBy(*_TEXT, "id").agg(F.count("*").alias("times")).groupBy(*_TEXT).agg(
+        F.sum("times").alias("w"), F.min(F.struct(F.col("id").isNull().alias("without"), "id", "times")).alias("least"))
+    cells = max(LEAST_CELLS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    written = scratch.table(map_batches(given.select(*_TEXT, "text"), _signed(width, percent, cells), _SIGNED_DDL), "turn")
     own = ["fp1", "fp2", "n"]
-    texts = scratch.table(texts.join(signed.select(*_TEXT, *own, "rid").dropDuplicates(_TEXT), _TEXT))
+    signed = written.where(F.col("turn") == TEXTS).select(*_TEXT, *own, "rid", "sketch")
+    texts = scratch.table(texts.join(signed.drop("sketch").dropDuplicates(_TEXT), _TEXT))
 
-    least = F.min(F.struct("least.without", "least.id", *_TEXT))
+    least = F.min(F.struct("least.without", "least.id", *_TEXT, "least.times"))
     # a text stands in `signed` once or more: the row of its class is one of these
     classes = scratch.table(texts.where("n > 0").groupBy(*own).agg(
         F.min(F.struct("t1", "rid")).alias("row"), F.sum("w").alias("w"), least.alias("least")).select(
         *own, "row.t1", "row.rid", "w", "least"))
-    # signatures are most of the data and are not shuffled with their rows: a bitmap picks those of the classes' rows, and
-    # of a few others, which are dropped when rows that share a signature are known.  They are counted slice by slice, since
-    # what one slice shuffled is gone before the next
-    firsts = spark.sparkContext.broadcast(_bitmap(classes.select(F.xxhash64("rid").alias("mark")), "mark"))
-    often = [scratch.table(map_batches(signed.select("mark", "signs"), _first_signs(firsts, turn), "sign long")
-                           .groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign")) for turn in range(TURNS)]
-    shares = reduce(DataFrame.union, often)
-    marks = spark.sparkContext.broadcast(_bitmap(shares, "sign"))
-    shared = map_batches(signed.select("mark", "rid", "signs"), _marked_signs(marks, firsts), "rid long, sign long")
-    shared = scratch.table(shared.join(shares, "sign").join(classes.select("rid"), "rid", "left_semi"))
-    taking = scratch.table(signed.drop("signs", "mark").join(shared.select("rid").distinct(), "rid", "left_semi"))
-    scratch.drop(signed, *often)
+    # signatures are most of the data.  They lie packed in a folder for each turn, which is shuffled by cells and gone before the
+    # next; a bitmap picks those of the classes' rows, and of a few others, which are dropped when rows that share one are known
+    firsts = spark.sparkContext.broadcast(_bitmap(classes, "rid"))
+    shares = []
+    for turns in _sliced(written, scratch, list(range(TURNS))):
+        packs = written.where(F.col("turn").isin(turns)).select("cell", "base", "least", "gaps", "owners")
+        found = map_batches(packs.repartition("cell").sortWithinPartitions("cell"), _sharing(firsts, TURNS * cells), "rid long, sign long")
+        shares.append(scratch.table(found.join(classes.select("rid"), "rid", "left_semi")))
+        for turn in turns:
+            scratch.drop(written, folder=f"turn={turn}")
+    shared = reduce(DataFrame.union, shares)
+    taking = scratch.table(signed.join(shared.select("rid").distinct(), "rid", "left_semi"))
+    scratch.drop(written)
     marks = spark.sparkContext.broadcast(_bitmap(taking, "t1"))
     wanted = given.select(*_TEXT, "text")
-    wanted = map_batches(wanted, _wanted_texts(marks), wanted.schema).join(taking.select("rid", *_TEXT), _TEXT).select("rid", "text")
-    sets = scratch.table(map_batches(wanted, _sets(width), extended(wanted, ["text"], "`set` array<bigint>")).dropDuplicates(["rid"]))
+    wanted = map_batches(wanted, _wanted_texts(marks), wanted.schema).dropDuplicates(_TEXT)
+    wanted = wanted.join(taking.select("rid", *_TEXT), _TEXT).select("rid", "text")
+    sets = scratch.table(map_batches(wanted, _sets(width), "rid long, " + ", ".join(f"{c} array<bigint>" for c in _SETS)))
 
     state = _Join(scratch, taking, shared, sets, percent)
-    state.decide(state.around_leaders(F.col("rid")).union(state.around_leaders(F.xxhash64("rid"))))
+    near = [scratch.table(state.around_leaders(order)) for order in (F.col("rid"), F.xxhash64("rid"))]
+    state.decide(reduce(DataFrame.union, near).distinct())
     state.decide(state.around_leaders(F.xxhash64("root", "rid")))
     state.decide(state.across())
 
@@ -436,7 +535,7 @@ def _named(source: DataFrame, scratch: Scratch, width: int, percent: int, links:
     least = roots.groupBy("root").agg(F.min("least").alias("first"))
     roots = scratch.table(roots.withColumn("n_links", numbers).join(least, "root").select(*own, "n_links", "first"))
     named = scratch.table(texts.select(*_TEXT, *own).join(roots, own, "left").select(*_TEXT, "n", "n_links", "first"))
-    scratch.drop(classes, texts, shared, taking, sets, roots, *state.tables)
+    scratch.drop(classes, texts, *shares, taking, sets, *near, roots, *state.tables)
     return named
 
 
@@ -448,7 +547,7 @@ def _hashed(docs: DataFrame, text: str, key: str, carry: tuple[str, ...] | None)
 
 
 def _is_first() -> Column:
-    return F.struct(F.col("id").isNull().alias("without"), "id", *_TEXT).eqNullSafe(F.col("first"))
+    return reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in ("id", *_TEXT)))
 
 
 def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
@@ -484,13 +583,16 @@ def join_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents that `keep` of `join_shingles` marks, without numbers of links, which are not worked out."""
     rows, source = _hashed(docs, text, key, None)
+    empty = rows.where("empty").select("row.*")
     named = _named(source, Scratch(docs.sparkSession, tidy=True), width, percent, links=False)
-    without = named.where("n = 0").select(*_TEXT)
-    first = named.where("n > 0").select("first").distinct().select("first", "first.t1", "first.t2")
-    candidates = rows.where("not empty").join(first, _TEXT).where(_is_first())
-    nth = F.row_number().over(Window.partitionBy("first").orderBy("id"))  # cut to one row before it is shuffled
-    kept = candidates.withColumn("nth", nth).where("nth = 1").select("row.*")
-    return kept.union(rows.where("empty").select("row.*")).union(rows.join(without, _TEXT, "left_semi").where("not empty").select("row.*"))
+    # of each component the text of its first row, and all texts without shingles; a row goes through one shuffle, and those
+    # equal in id and text, cut to one before, through another
+    first = F.when(F.col("n") > 0, F.col("first")).alias("first")
+    texts = named.where((F.col("n") == 0) | (F.struct(*_TEXT) == F.struct(*[F.col(f"first.{c}") for c in _TEXT]))).select(*_TEXT, first)
+    rows = rows.where("not empty").drop("empty").join(texts, _TEXT).where(F.col("first").isNull() | _is_first())
+    nth = F.row_number().over(Window.partitionBy("first").orderBy("id"))
+    repeated = rows.where("first.times > 1").withColumn("nth", nth).where("nth = 1").select("row.*")
+    return rows.where("first is null or first.times = 1").select("row.*").union(repeated).union(empty)
 
 
 def op10_partenum(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
+import os
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from packmill.llm.common import TIDY, Scratch, map_batches
+from packmill.llm import common
+from packmill.llm.common import SHUFFLE_CLEANUP, TIDY, Scratch, map_batches, tokens_of
 from packmill.llm.components import components
 from packmill.llm import partenum
 from packmill.llm.partenum import _bitmap, _marked, drop_near_copies, join_shingles, op10_partenum, signatures, size_bands, sketch
@@ -203,3 +207,82 @@ def test_python_workers_get_long_rows_in_small_batches(spark):
     # by its last row alone a batch may go beyond it
     assert len(found) >= 12 and sorted(r.size for r in found)[-3] < 2 << 20
     assert {key: spark.conf.get(key, None) for key in TIDY} == before
+
+
+@pytest.mark.parametrize("many, width", [(1, 4), (50, 8), (2_000_000, 4)])
+def test_packed_signatures_come_back(many, width):
+    rng = np.random.default_rng(many)
+    signs = rng.integers(0, 1 << partenum.SIGN_BITS, many).astype(np.uint64)
+    signs[-1] = (1 << partenum.SIGN_BITS) - 1
+    owners = rng.integers(0, min(many, 1 << 16), many)
+    for cells in (1, 7, 408):
+        parts = []
+        for cell, *pack in partenum._packed(signs, owners, cells):
+            parts.append(partenum._unpacked(*pack))
+            assert len(parts[-1][0]) and (partenum._cells(parts[-1][0], cells) == cell).all()
+            assert len(pack[1]) == (4 if len(parts[-1][0]) == 1 else width) * len(parts[-1][0])
+        got, wanted = [np.concatenate(x) for x in zip(*parts, strict=True)], [signs, owners]
+        assert all((a[np.lexsort(got)] == b[np.lexsort(wanted)]).all() for a, b in zip(got, wanted, strict=True))
+    assert partenum._packed(signs[:0], owners[:0], 7) == []
+
+
+@pytest.mark.parametrize("compared", [1 << 21, 40])
+def test_signatures_of_marked_rows_that_share_them(monkeypatch, compared):
+    monkeypatch.setattr(partenum, "COMPARED", compared)
+    rng, cells, rows, wanted = np.random.default_rng(compared), 6, [], {}
+    numbers = (3 << 33) + np.arange(60)
+    rids = partenum._rids(numbers).tolist()
+    assert len(set(rids)) == 60
+    bits = np.zeros(partenum.MARKS // 64, np.int64)
+    for rid in rids[:45]:
+        place = rid % partenum.MARKS
+        bits[place // 64] |= np.int64(np.uint64(1 << place % 64).astype(np.int64))
+    every = rng.integers(0, 1 << partenum.SIGN_BITS, 700).astype(np.uint64)
+    for start in (0, 20, 40):
+        owners = np.repeat(np.arange(20), 30)
+        signs = rng.choice(every, 600)
+        rows += [(cell, int(numbers[start]), *pack) for cell, *pack in partenum._packed(signs, owners, cells)]
+        for owner, sign in zip(owners.tolist(), signs.tolist(), strict=True):
+            if start + owner < 45:
+                wanted.setdefault(sign, []).append((rids[start + owner], sign))
+    batch = pa.RecordBatch.from_pylist([dict(zip(("cell", "base", "least", "gaps", "owners"), r, strict=True)) for r in sorted(rows)])
+    parts = [batch.slice(0, 5), batch.slice(5, 0), batch.slice(5)]
+    found = [tuple(r.values()) for b in partenum._sharing(SimpleNamespace(value=bits), cells)(parts) for r in b.to_pylist()]
+    assert sorted(found) == sorted(x for own in wanted.values() if len(own) > 1 for x in own) and found
+
+
+def test_full_bitmaps_cost_no_room_by_signature(spark, docs, monkeypatch):
+    """On a large input every bit is set.  What is shuffled at once to find rows that share signatures stays a small part of them."""
+    def shuffled():
+        folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+        return {f"{d}/{x}": os.path.getsize(f"{d}/{x}") for top in folders for d, _, names in os.walk(top)
+                for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+    def table(self, df, *folders):
+        before = shuffled()
+        made = written(self, df, *folders)
+        steps.append((df.columns, sum(size for name, size in shuffled().items() if name not in before)))
+        return made
+
+    rng, steps, written = np.random.default_rng(8), [], Scratch.table
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 5000, 800))) for k in range(200)]
+    rows += [(500 + k, rows[k][1] + " end") for k in range(20)]
+    size = sum(len(signatures(s, size_bands(len(s), 80), 80)) for s in (
+        partenum.shingle_set(tokens_of(t.encode()), partenum._WordHashes(), 5) for _, t in rows))
+    given = docs(rows).localCheckpoint()
+    # shuffles stay to be counted; no table counts as small
+    monkeypatch.setattr(common, "TIDY", {**TIDY, SHUFFLE_CLEANUP: "false", "spark.sql.autoBroadcastJoinThreshold": "-1"})
+    monkeypatch.setattr(partenum, "_bitmap", lambda keys, key: np.full(partenum.MARKS // 64, -1, np.int64))
+    monkeypatch.setattr(partenum, "AT_ONCE", 0, raising=False)
+    monkeypatch.setattr(Scratch, "table", table)
+    assert {r.doc_id for r in drop_near_copies(given, width=5, percent=80).collect()} == set(range(200))
+    found = [n for columns, n in steps if columns == ["rid", "sign"]]
+    assert found and max(found) < 3 * size, (found, size)  # bytes a signature
+
+
+def test_rows_equal_in_id_and_text_leave_one(docs):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "en"), (1, text, "de"), (1, text, None), (2, text, "en"), (None, "x y z"), (None, "x y z", "en"), (None, "x y z"),
+            (3, " "), (3, " "), (4, None), (4, None), (5, "x y q")]
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in drop_near_copies(docs(rows)).collect())
+    assert got == [(False, 1), (False, 3), (False, 3), (False, 4), (False, 4), (False, 5), (True, 0)]
